@@ -69,7 +69,7 @@ def leaves_from_tree(tree_id: int, node, lo_hi=None, path=None, out=None, counte
 
 # The hand-written three-tree ensemble used by the oracle-checked
 # scoring and attribution queries (depth <= 2, distinct features per path).
-FIXED_INTERCEPT = -2.0
+FIXED_INTERCEPT = -1.0
 FIXED_TREES = [
     ("split", "EXT_SOURCE_2", 0.35, True, 1000.0,
      ("split", "loan_to_income_ratio", 2.0, False, 300.0, ("leaf", 0.3, 120.0), ("leaf", 0.55, 180.0)),

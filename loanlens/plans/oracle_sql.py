@@ -142,66 +142,75 @@ def _sql_num(v: float) -> str:
     return f"CAST({repr(float(v))} AS DOUBLE)"
 
 
-def leaves_values() -> str:
-    rows = []
-    for lf in E.fixed_ensemble().leaves:
-        p = lf.path + [(None, None, None, None, None)] * (2 - len(lf.path))
-        parts = [str(lf.tree), str(lf.leaf), _sql_num(lf.value)]
-        for feat, lo, hi, nok, z in p:
-            if feat is None:
-                parts += ["CAST(NULL AS VARCHAR)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)",
-                          "CAST(NULL AS BOOLEAN)", "CAST(NULL AS DOUBLE)"]
-            else:
-                parts += [f"'{feat}'", _sql_num(lo), _sql_num(hi), "TRUE" if nok else "FALSE", _sql_num(z)]
-        rows.append("(" + ", ".join(parts) + ")")
-    return ("leaves(tree, leaf, value, f1, lo1, hi1, n1, z1, f2, lo2, hi2, n2, z2) AS (VALUES "
-            + ", ".join(rows) + ")")
+def _cond_sql(feat: str, lo: float, hi: float, null_ok: bool) -> str:
+    x = f"f.{feat}"
+    parts = []
+    if lo != -float("inf"):
+        parts.append(f"{x} > {_sql_num(lo)}")
+    if hi != float("inf"):
+        parts.append(f"{x} <= {_sql_num(hi)}")
+    inside = " AND ".join(parts) or "TRUE"
+    return f"(CASE WHEN {x} IS NULL THEN {'TRUE' if null_ok else 'FALSE'} ELSE ({inside}) END)"
+
+
+def _path_sql(leaf) -> str:
+    return " AND ".join(_cond_sql(feat, lo, hi, nok) for feat, lo, hi, nok, _ in leaf.path) or "TRUE"
+
+
+def margin_sql(ens=None) -> str:
+    """The ensemble's margin as one CASE per tree, added in tree order."""
+    ens = ens or E.fixed_ensemble()
+    by_tree: dict[int, list] = {}
+    for lf in ens.leaves:
+        by_tree.setdefault(lf.tree, []).append(lf)
+    terms = [_sql_num(ens.intercept)]
+    for leaves in by_tree.values():
+        whens = " ".join(f"WHEN {_path_sql(lf)} THEN {_sql_num(lf.value)}" for lf in leaves)
+        terms.append(f"(CASE {whens} ELSE 0e0 END)")
+    return " + ".join(terms)
 
 
-_USED = sorted({p[0] for lf in E.fixed_ensemble().leaves for p in lf.path})
-
-
-def _fval(fcol: str) -> str:
-    return "CASE " + " ".join(f"WHEN {fcol} = '{f}' THEN f.{f}" for f in _USED) + " END"
-
-
-def _cond(i: int) -> str:
-    x = _fval(f"l.f{i}")
-    return f"CASE WHEN {x} IS NULL THEN l.n{i} ELSE ({x} > l.lo{i} AND {x} <= l.hi{i}) END"
-
-
-LEAF_HITS = f"""
-leaf_hits AS (
-  SELECT f.SK_ID_CURR, l.tree, l.leaf, l.value, l.f1, l.z1, l.f2, l.z2,
-    CAST({_cond(1)} AS DOUBLE) AS o1,
-    CASE WHEN l.f2 IS NULL THEN 1e0 ELSE CAST({_cond(2)} AS DOUBLE) END AS o2
-  FROM features f CROSS JOIN leaves l
-)"""
-
 SCORES = f"""
 scores AS (
-  SELECT SK_ID_CURR, {E.FIXED_INTERCEPT}e0 + sum(CASE WHEN o1 = 1 AND o2 = 1 THEN value ELSE 0e0 END) AS margin
-  FROM leaf_hits GROUP BY SK_ID_CURR
+  SELECT f.SK_ID_CURR, f.TARGET, {margin_sql()} AS margin FROM features f
 )"""
 
-SHAP = """
-shap_parts AS (
-  SELECT SK_ID_CURR, f1 AS feature,
-    CASE WHEN f2 IS NULL THEN value * (o1 - z1) ELSE value * (o1 - z1) * (z2 + o2) / 2 END AS phi
-  FROM leaf_hits
-  UNION ALL
-  SELECT SK_ID_CURR, f2 AS feature, value * (o2 - z2) * (z1 + o1) / 2 AS phi
-  FROM leaf_hits WHERE f2 IS NOT NULL
-),
-feature_list(feature, feature_pos) AS (VALUES """ + ", ".join(
-    f"('{f}', {i})" for i, f in enumerate(S.FEATURES)) + """),
-shap AS (
-  SELECT f.SK_ID_CURR, fl.feature, fl.feature_pos, coalesce(s.phi, 0e0) AS shap_value
-  FROM features f CROSS JOIN feature_list fl
-  LEFT JOIN (SELECT SK_ID_CURR, feature, sum(phi) AS phi FROM shap_parts GROUP BY 1, 2) s
-    ON s.SK_ID_CURR = f.SK_ID_CURR AND s.feature = fl.feature
+SCORED = """
+scored AS (
+  SELECT SK_ID_CURR, TARGET, margin, round(1e0 / (1e0 + exp(-margin)), 12) AS probability FROM scores
 )"""
 
+
+def _shap_terms(ens=None) -> dict[str, list[str]]:
+    """Closed-form TreeSHAP for paths of at most two distinct features:
+    one feature: phi = w (o - z); two: phi_1 = w (o_1 - z_1)(z_2 + o_2) / 2."""
+    ens = ens or E.fixed_ensemble()
+    terms: dict[str, list[str]] = {}
+    for lf in ens.leaves:
+        feats = [(feat, f"CAST({_cond_sql(feat, lo, hi, nok)} AS DOUBLE)", _sql_num(z))
+                 for feat, lo, hi, nok, z in lf.path]
+        if len({f for f, _, _ in feats}) != len(feats) or len(feats) > 2:
+            raise ValueError("the SQL oracle handles paths of <= 2 distinct features")
+        w = _sql_num(lf.value)
+        if len(feats) == 1:
+            (f1, o1, z1), = feats
+            terms.setdefault(f1, []).append(f"{w} * ({o1} - {z1})")
+        elif len(feats) == 2:
+            (f1, o1, z1), (f2, o2, z2) = feats
+            terms.setdefault(f1, []).append(f"{w} * ({o1} - {z1}) * ({z2} + {o2}) / 2e0")
+            terms.setdefault(f2, []).append(f"{w} * ({o2} - {z2}) * ({z1} + {o1}) / 2e0")
+    return terms
+
+
+def shap_sql() -> str:
+    terms = _shap_terms()
+    parts = []
+    for i, feat in enumerate(S.FEATURES):
+        phi = " + ".join(terms.get(feat, [])) or "0e0"
+        parts.append(f"SELECT f.SK_ID_CURR, '{feat}' AS feature, {i} AS feature_pos, {phi} AS shap_value FROM features f")
+    return "shap AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
+
+
 DISPLAY = "display_names(feature, display_name) AS (VALUES " + ", ".join(
     "('{}', '{}')".format(f, n) for f, n in S.DISPLAY_NAMES.items()) + ")"
 
@@ -256,7 +265,7 @@ inference_logs AS (
     e.value / (e.value + 2e2) AS default_probability,
     {_SC} AS credit_score, {_GR} AS risk_grade, {_AC} AS recommended_action,
     '/static/assets/shap_plots/pred_' || lpad(CAST(e.event_id AS VARCHAR), 8, '0') || '.png' AS shap_plot_path,
-    e.event_id
+    e.event_id, e.user_id
   FROM events e LEFT JOIN text_features t ON e.user_id = t.SK_ID_CURR
 )"""
 
@@ -266,4 +275,8 @@ def log_ctes(*extra: str) -> str:
 
 
 def shap_ctes(*extra: str) -> str:
-    return with_ctes(FEATURES, leaves_values(), LEAF_HITS, SHAP, *extra)
+    return with_ctes(FEATURES, shap_sql(), *extra)
+
+
+def scored_ctes(*extra: str) -> str:
+    return with_ctes(FEATURES, SCORES, SCORED, *extra)

@@ -74,7 +74,7 @@ def label_encode(spark, sf):
     return enc.transform(app).select("SK_ID_CURR", *S.CATEGORICAL)
 
 
-@query("score_leaf_table", O.with_ctes(O.FEATURES, O.leaves_values(), O.LEAF_HITS, O.SCORES)
+@query("score_leaf_table", O.with_ctes(O.FEATURES, O.SCORES)
        + "SELECT SK_ID_CURR, margin, 1e0 / (1e0 + exp(-margin)) AS probability FROM scores",
        doubles=["margin", "probability"])
 def score_leaf_table(spark, sf):
@@ -184,7 +184,7 @@ SELECT l.id, CAST({_NFAC.replace('event_id', 'l.event_id').replace('applicant_ag
   CASE WHEN {_NFAC.replace('event_id', 'l.event_id').replace('applicant_age', 'l.applicant_age')} = 0 THEN NULL ELSE t.feature END AS top_feature,
   CASE WHEN {_NFAC.replace('event_id', 'l.event_id').replace('applicant_age', 'l.applicant_age')} = 0 THEN NULL ELSE t.shap_value END AS top_shap_value,
   CASE WHEN {_NFAC.replace('event_id', 'l.event_id').replace('applicant_age', 'l.applicant_age')} = 0 THEN NULL ELSE t.direction END AS top_direction
-FROM inference_logs l LEFT JOIN top_factors t ON t.SK_ID_CURR = (SELECT user_id FROM events e WHERE e.event_id = l.event_id) AND t.rank = 1""",
+FROM inference_logs l LEFT JOIN top_factors t ON t.SK_ID_CURR = l.user_id AND t.rank = 1""",
        doubles=["top_shap_value"])
 def parse_risk_factors(spark, sf):
     """A10: JSON factor text back to structs; NULL, empty or bad text -> []."""
