@@ -9,6 +9,7 @@ from loanlens.plans.catalog import REGISTRY, Query
 MODULES = [
     "loanlens.plans.queries_core",
     "loanlens.plans.queries_eval",
+    "loanlens.plans.queries_eda",
 ]
 
 
