@@ -10,6 +10,7 @@ MODULES = [
     "loanlens.plans.queries_core",
     "loanlens.plans.queries_eval",
     "loanlens.plans.queries_eda",
+    "loanlens.plans.queries_attr",
 ]
 
 
