@@ -5,10 +5,12 @@ p-values inside the JVM and reproducible in any SQL dialect."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["normal_cdf", "two_sided_normal_p", "ks_p_value", "KS_TERMS"]
+__all__ = ["normal_cdf", "two_sided_normal_p", "ks_p_value", "chi2_p_value", "KS_TERMS"]
 
 # Abramowitz & Stegun 26.2.17 coefficients (|error| < 7.5e-8).
 AS_P = 0.2316419
@@ -44,3 +46,31 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
         * F.exp(F.lit(-2.0) * k * k * lam * lam))
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(2.0) * series))
     return F.when(d <= 0, F.lit(1.0)).otherwise(p)
+
+
+def chi2_p_value(x: Column, dof: Column) -> Column:
+    """Upper tail of the chi-square distribution with integer ``dof``.
+
+    Q = 1 - P(a, h) with a = dof/2, h = x/2 and the lower regularized gamma
+    series P = sum_n exp(-h + (a+n) ln h - ln Gamma(a+n+1)), summed in log
+    space so that no term overflows.  ln Gamma(a+1) for integer or half-integer
+    a is a finite sum of logs (plus ln sqrt(pi)).  Far in the tail (x beyond
+    dof + 40 sqrt(2 dof) + 200) the p-value is 0 to double precision."""
+    a = dof.cast("double") / F.lit(2.0)
+    h = x.cast("double") / F.lit(2.0)
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(a).cast("int") - F.lit(1), F.lit(0)))
+    lg_a1 = F.aggregate(steps, F.lit(0.0), lambda acc, j: acc + F.when(a - j > 0, F.log(a - j)).otherwise(F.lit(0.0)))
+    lg_a1 = lg_a1 + F.when(F.floor(a) == a, F.lit(0.0)).otherwise(F.lit(0.5 * math.log(math.pi)))
+    n_terms = F.ceil(h + F.lit(12.0) * F.sqrt(h) + F.lit(40.0)).cast("int")
+    init = F.struct(F.lit(0.0).alias("s"), lg_a1.alias("lg"))
+
+    def step(acc, n):
+        lg = F.when(n == 0, acc["lg"]).otherwise(acc["lg"] + F.log(a + n))
+        term = F.exp(-h + (a + n) * F.log(h) - lg)
+        return F.struct((acc["s"] + term).alias("s"), lg.alias("lg"))
+
+    lower = F.aggregate(F.sequence(F.lit(0), n_terms), init, step)["s"]
+    q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - lower))
+    far = x.cast("double") > dof.cast("double") + F.lit(40.0) * F.sqrt(F.lit(2.0) * dof.cast("double")) + F.lit(200.0)
+    return (F.when(x.isNull() | dof.isNull(), F.lit(None).cast("double"))
+             .when((dof <= 0) | (x <= 0), F.lit(1.0)).when(far, F.lit(0.0)).otherwise(q))

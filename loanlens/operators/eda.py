@@ -13,10 +13,8 @@ from pyspark.sql import types as T
 
 from loanlens import schemas as S
 from loanlens.operators.joins import literal_frame
+from loanlens.operators.rank import exact_quantiles
 
-# Exact percentiles keep a map of distinct values per group; above this many
-# rows the bounded-memory approximate percentile is used instead.
-EXACT_PERCENTILE_MAX_ROWS = 5_000_000
 KDE_GRID = 200   # fixed value: evaluation points of the density curve
 KDE_CUT = 3.0    # fixed value: grid extends this many bandwidths past the data
 
@@ -73,23 +71,12 @@ def age_default_rate(app: DataFrame) -> DataFrame:
     return binned_default_rate(eda_base(app), b, S.AGE_BIN_LABELS)
 
 
-def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolation percentiles (as pandas) of the non-null values,
-    exact up to ``EXACT_PERCENTILE_MAX_ROWS`` rows, approximate beyond."""
-    n = df.where(F.col(col).isNotNull()).limit(EXACT_PERCENTILE_MAX_ROWS + 1).count()
-    if n <= EXACT_PERCENTILE_MAX_ROWS:
-        q = F.percentile(F.col(col), list(probs))
-    else:
-        q = F.percentile_approx(F.col(col), list(probs), 100000)
-    return df.where(F.col(col).isNotNull()).groupBy(*by).agg(q.alias("q"))
-
-
 def payment_rate_quintiles(app: DataFrame) -> DataFrame:
     """Equal-frequency quintiles of payment rate (right-closed, lowest
     edge included) and the default rate in each."""
     base = eda_base(app)
     probs = [i / 5 for i in range(6)]
-    edges = quantiles(base, "payment_rate", probs).withColumn("_k", F.lit(0))
+    edges = exact_quantiles(base, "payment_rate", probs).withColumn("_k", F.lit(0))
     b = base.withColumn("_k", F.lit(0)).join(edges, "_k")
     q = F.col("q")
     expr = None

@@ -83,3 +83,42 @@ def hash_rank(df: DataFrame, key: str, partition_cols: Sequence[str] = (), seed:
         out = out.withColumn(f"{rank_col}_n", F.col("_size").cast("long"))
     drop = ["_h", "_bkt", "_off", "_size"] + ([] if partition_cols else ["_part"])
     return out.drop(*drop)
+
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+                    partition_cols: Sequence[str] = (), weight_col: str | None = None,
+                    out: str = "q") -> DataFrame:
+    """Linear-interpolation quantiles (as pandas / ``quantile_cont``) of the
+    non-null ``value_col`` per partition, exact at any size.
+
+    Values are collapsed to (value, weight), ranked with ``running_totals`` and
+    each distinct value checks which of the 2 x len(probs) target positions it
+    covers -- no group's values are ever held by one task.  Returns one row per
+    partition with ``out`` = array of quantiles in ``probs`` order."""
+    df, parts = _ensure_key(df, partition_cols)
+    w = F.col(weight_col) if weight_col else F.lit(1)
+    vc = (df.where(F.col(value_col).isNotNull()).groupBy(*parts, F.col(value_col).alias("_v"))
+            .agg(F.sum(w).alias("_w")).where(F.col("_w") > 0))
+    cum = running_totals(vc, "_v", ["_w"], partition_cols=parts)
+    n = vc.groupBy(*parts).agg(F.sum("_w").alias("_n"))
+    cum = cum.join(n, parts)
+    last = (F.col("_n") - F.lit(1)).cast("double")
+    targets = F.array(*[F.struct(F.lit(i).alias("qi"), (last * F.lit(float(q))).alias("h"),
+                                 F.floor(last * F.lit(float(q))).alias("lo"),
+                                 F.ceil(last * F.lit(float(q))).alias("hi")) for i, q in enumerate(probs)])
+    start, end = F.col("cum__w") - F.col("_w"), F.col("cum__w")
+
+    def covers(pos):
+        return (pos >= start) & (pos < end)
+
+    hits = cum.select(*parts, "_v", start.alias("_s"), end.alias("_e"), F.explode(F.filter(
+        targets, lambda t: covers(t["lo"]) | covers(t["hi"]))).alias("t"))
+    inside = lambda pos: (pos >= F.col("_s")) & (pos < F.col("_e"))
+    per_q = hits.groupBy(*parts, F.col("t.qi").alias("qi")).agg(
+        F.max(F.when(inside(F.col("t.lo")), F.col("_v"))).alias("_xlo"),
+        F.max(F.when(inside(F.col("t.hi")), F.col("_v"))).alias("_xhi"),
+        F.first("t.h").alias("_h"), F.first("t.lo").alias("_lo"))
+    val = F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))
+    packed = per_q.groupBy(*parts).agg(F.array_sort(F.collect_list(F.struct("qi", val.alias("v")))).alias("_qs"))
+    res = packed.select(*parts, F.transform("_qs", lambda s: s["v"]).alias(out))
+    return res if partition_cols else res.drop("_part")

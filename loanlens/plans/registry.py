@@ -11,6 +11,7 @@ MODULES = [
     "loanlens.plans.queries_eval",
     "loanlens.plans.queries_eda",
     "loanlens.plans.queries_attr",
+    "loanlens.plans.queries_drift",
 ]
 
 
