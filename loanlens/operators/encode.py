@@ -56,11 +56,15 @@ class LabelEncoderModel:
         """Code of ``column``.  ``unseen='fallback'``: an unseen label maps to
         'Unknown' when that label was fitted, else to the first label (code 0);
         an unfitted column maps to 0."""
-        labels = self.categories.get(column)
+        return self.code_expr_for(column, F.col(column), unseen)
+
+    def code_expr_for(self, fitted_column: str, value, unseen: str = "fallback"):
+        """Code of ``value`` under the labels fitted for ``fitted_column``."""
+        labels = self.categories.get(fitted_column)
         if not labels:
             return F.lit(0)
         m = F.create_map(*chain.from_iterable((F.lit(lab), F.lit(i)) for i, lab in enumerate(labels)))
-        code = m[_label(column)]
+        code = m[F.coalesce(value.cast("string"), F.lit(S.UNKNOWN_LABEL))]
         if unseen == "fallback":
             fb = labels.index(S.UNKNOWN_LABEL) if S.UNKNOWN_LABEL in labels else 0
             code = F.coalesce(code, F.lit(fb))

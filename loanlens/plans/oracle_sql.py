@@ -280,3 +280,14 @@ def shap_ctes(*extra: str) -> str:
 
 def scored_ctes(*extra: str) -> str:
     return with_ctes(FEATURES, SCORES, SCORED, *extra)
+
+
+CODES = "codes AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code "
+    f"FROM (SELECT DISTINCT coalesce({c}, 'Unknown') AS label FROM application)" for c in S.CATEGORICAL) + ")"
+
+
+def code_sql(col: str, label_expr: str) -> str:
+    """Fitted code of a label; unseen -> 'Unknown' when fitted, else code 0."""
+    return (f"coalesce((SELECT code FROM codes WHERE col = '{col}' AND label = coalesce({label_expr}, 'Unknown')),"
+            f" (SELECT code FROM codes WHERE col = '{col}' AND label = 'Unknown'), 0)")

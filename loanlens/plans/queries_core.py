@@ -201,3 +201,16 @@ FROM inference_logs GROUP BY 1, 2""", doubles=["avg_probability"])
 def daily_grade_counts(spark, sf):
     """M3 (batch twin): count and mean probability per day and grade."""
     return M.daily_grade_counts(book.inference_log(spark, sf, with_factors=False))
+
+
+@query("grade_book", O.scored_ctes() + f"""SELECT risk_grade, recommended_action, count(*) AS applicants,
+  avg(p) AS avg_probability, min(credit_score) AS min_score, max(credit_score) AS max_score FROM (
+  SELECT 1e0 / (1e0 + exp(-margin)) AS p,
+    {O.grade_sql('(1e0 / (1e0 + exp(-margin)))')[0]} AS credit_score,
+    {O.grade_sql('(1e0 / (1e0 + exp(-margin)))')[1]} AS risk_grade,
+    {O.grade_sql('(1e0 / (1e0 + exp(-margin)))')[2]} AS recommended_action FROM scores)
+GROUP BY risk_grade, recommended_action""", doubles=["avg_probability"])
+def grade_book_q(spark, sf):
+    """Flagship: book -> features -> leaf-table scores -> decisions -> count per grade."""
+    from loanlens.plans.flagship import grade_book
+    return grade_book(spark, sf)

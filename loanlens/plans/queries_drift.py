@@ -39,11 +39,6 @@ CATEGORICAL = [c for c in COLUMNS if D.column_kind(c) == "categorical"]
 _LOG_NAME = {v: k for k, v in S.LOG_TO_DRIFT.items()}
 
 
-def _code_sql(col: str, label_expr: str) -> str:
-    return (f"coalesce((SELECT code FROM codes WHERE col = '{col}' AND label = coalesce({label_expr}, 'Unknown')),"
-            f" (SELECT code FROM codes WHERE col = '{col}' AND label = 'Unknown'), 0)")
-
-
 def _long_sql() -> str:
     parts = []
     for side, src in (("reference", "ref_rows"), ("current", "cur_rows")):
@@ -61,14 +56,10 @@ def _cur_select() -> str:
     cols = []
     for c in COLUMNS:
         src = _LOG_NAME[c]
-        cols.append(f"CAST({_code_sql(c, src)} AS INTEGER) AS {c}" if c in CATEGORICAL else f"{src} AS {c}")
+        cols.append(f"CAST({O.code_sql(c, src)} AS INTEGER) AS {c}" if c in CATEGORICAL else f"{src} AS {c}")
     return ", ".join(cols)
 
 
-_CODES = " UNION ALL ".join(
-    f"SELECT '{c}' AS col, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code "
-    f"FROM (SELECT DISTINCT coalesce({c}, 'Unknown') AS label FROM application)" for c in S.CATEGORICAL)
-
 _NUM_IN = ", ".join(f"'{c}'" for c in NUMERIC)
 
 
@@ -105,7 +96,7 @@ split AS (
     SELECT SK_ID_CURR, row_number() OVER (PARTITION BY TARGET ORDER BY {_hash_sql('SK_ID_CURR')}, SK_ID_CURR) AS r,
       count(*) OVER (PARTITION BY TARGET) AS n FROM application)),
 ref_rows AS (SELECT f.* FROM features f JOIN split s ON f.SK_ID_CURR = s.SK_ID_CURR WHERE s.is_validation),
-codes AS ({_CODES}),
+{O.CODES},
 cur_rows AS (SELECT id, {_cur_select()} FROM inference_logs),
 long AS (
   {_long_sql()}

@@ -12,6 +12,7 @@ MODULES = [
     "loanlens.plans.queries_eda",
     "loanlens.plans.queries_attr",
     "loanlens.plans.queries_drift",
+    "loanlens.plans.queries_requests",
 ]
 
 

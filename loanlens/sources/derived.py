@@ -83,3 +83,29 @@ def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(F.col("o_orderstatus") == "F", "Approved")
                       .when(F.col("o_orderstatus") == "O", "Refused")
                       .otherwise("Canceled").alias("NAME_CONTRACT_STATUS")))
+
+
+def requests(spark: SparkSession, sf_dir: str, history=None) -> DataFrame:
+    """Loan-application requests: one per event, carrying the applicant's
+    values as a client would send them (raw employment days, so the
+    "not employed" sentinel arrives as a negative number; absent history as
+    NULL).  ``history``: the per-applicant feature table (text categories)."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
+    app = application(spark, sf_dir).select("SK_ID_CURR", "DAYS_EMPLOYED")
+    right = history.join(app, "SK_ID_CURR")
+    j = ev.join(right, ev["user_id"] == right["SK_ID_CURR"], "left")
+    return j.select(
+        F.col("event_id").alias("request_id"), F.col("ts").alias("received_at"),
+        "applicant_age", "income_total",
+        (-F.col("DAYS_EMPLOYED").cast("double") / F.lit(365.25)).alias("employment_years"),
+        "loan_amount", "loan_annuity", "goods_price",
+        F.col("num_children").cast("int").alias("num_children"),
+        F.col("NAME_EDUCATION_TYPE").alias("education_type"),
+        F.col("NAME_HOUSING_TYPE").alias("housing_type"),
+        F.col("bureau_loans_active").cast("int").alias("bureau_loans_active"),
+        F.col("bureau_overdue_count").cast("int").alias("bureau_overdue_count"),
+        F.col("prev_application_count").cast("int").alias("prev_application_count"),
+        "prev_approved_ratio",
+        F.col("EXT_SOURCE_1").alias("external_source_1"),
+        F.col("EXT_SOURCE_2").alias("external_source_2"),
+        F.col("EXT_SOURCE_3").alias("external_source_3"))
