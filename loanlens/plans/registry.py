@@ -13,6 +13,7 @@ MODULES = [
     "loanlens.plans.queries_attr",
     "loanlens.plans.queries_drift",
     "loanlens.plans.queries_requests",
+    "loanlens.plans.queries_model",
 ]
 
 
