@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loanlens import schemas as S
 from loanlens.functions.exprs import nan_to_null
 from loanlens.functions.stats import chi2_p_value, ks_p_value, two_sided_normal_p
-from loanlens.operators.rank import exact_quantiles, running_totals
+from loanlens.operators.rank import quantiles_from_cumulative, running_totals
 
 KEYS = ("SK_ID_CURR", "id")
 TARGET = "TARGET"
@@ -110,12 +110,18 @@ def feature_sizes(vc: DataFrame) -> DataFrame:
         F.when(F.col("_all_c") > 0, F.lit(1.0) - F.col("n_current") / F.col("_all_c")).alias("null_share_current"))
 
 
-def ks_statistics(vc: DataFrame, sizes: DataFrame, numeric: list) -> DataFrame:
-    """D = max |F_ref - F_cur| over the distinct values of each numeric
-    feature; cumulative counts come from ``running_totals`` (no global sort)."""
+def numeric_cumulative(vc: DataFrame, sizes: DataFrame, numeric: list) -> DataFrame:
+    """Per numeric feature and distinct value: counts and running counts of
+    both sides (``running_totals``, no global sort), with the side totals."""
     vals = vc.where(F.col("x").isNotNull() & F.col("feature").isin(*numeric)).select("feature", "x", "r", "k")
     cum = running_totals(vals, "x", ["r", "k"], partition_cols=["feature"])
-    j = cum.join(sizes.select("feature", "n_reference", "n_current"), "feature")
+    return cum.join(sizes.select("feature", "n_reference", "n_current"), "feature")
+
+
+def ks_statistics(cum: DataFrame) -> DataFrame:
+    """D = max |F_ref - F_cur| over the distinct values of each numeric
+    feature."""
+    j = cum
     diff = F.abs(F.col("cum_r") / F.col("n_reference") - F.col("cum_k") / F.col("n_current"))
     return (j.where((F.col("n_reference") > 0) & (F.col("n_current") > 0))
              .groupBy("feature").agg(F.max(diff).alias("ks_d")))
@@ -136,12 +142,13 @@ def chi2_statistics(vc: DataFrame) -> DataFrame:
     return j.groupBy("feature").agg(F.sum(term).alias("chi2"), (F.first("m") - 1).cast("int").alias("dof"))
 
 
-def psi_table(vc: DataFrame, numeric: list) -> DataFrame:
+def psi_table(vc: DataFrame, cum: DataFrame, numeric: list) -> DataFrame:
     """PSI per feature.  Numeric bins are right-closed between the
-    reference deciles (exact, duplicates removed); categorical bins are the
-    categories; shares are floored at 1e-4."""
+    reference deciles (exact, from the KS running counts; duplicates
+    removed); categorical bins are the categories; shares are floored at
+    1e-4."""
     num_vc = vc.where(F.col("x").isNotNull() & F.col("feature").isin(*numeric))
-    edges = exact_quantiles(num_vc, "x", PSI_QUANTILES, partition_cols=["feature"], weight_col="r").select(
+    edges = quantiles_from_cumulative(cum, "x", "r", "cum_r", "n_reference", PSI_QUANTILES, ["feature"]).select(
         "feature", F.array_sort(F.array_distinct("q")).alias("edges"))
     num = num_vc.join(edges, "feature").select(
         "feature", F.size(F.filter("edges", lambda e: e < F.col("x"))).cast("string").alias("bin"), "r", "k")
@@ -170,9 +177,10 @@ def drift_features(reference: DataFrame, current: DataFrame, encoder=None, compa
     # their plans small.
     vc = value_counts(long).checkpoint(eager=True)
     sizes = feature_sizes(vc)
-    ks = ks_statistics(vc, sizes, numeric)
+    cum = numeric_cumulative(vc, sizes, numeric)
+    ks = ks_statistics(cum)
     chi = chi2_statistics(vc)
-    psi = psi_table(vc, numeric)
+    psi = psi_table(vc, cum, numeric)
     kinds = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(column_kind(c)))])
     order = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
     j = sizes.join(ks, "feature", "left").join(chi, "feature", "left").join(psi, "feature", "left")

@@ -23,6 +23,16 @@ from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
 HASH_PREFIX_HEX = 4  # 65,536 hash ranges
+# Inputs whose optimizer size estimate (an upper bound for scans, filters,
+# projections and aggregates; computed without a job) is below this run the
+# plain window: one task per partition value is then cheap by proof.
+SMALL_INPUT_BYTES = 32 * 1024 * 1024
+
+
+def _proven_small(df: DataFrame) -> bool:
+    from loanlens.operators.joins import estimated_bytes
+    est = estimated_bytes(df)
+    return est is not None and est <= SMALL_INPUT_BYTES
 
 
 def _ensure_key(df: DataFrame, partition_cols: Sequence[str]):
@@ -42,6 +52,10 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     df, parts = _ensure_key(df, partition_cols)
     o = F.col(order_col).cast("double")
     df = df.withColumn("_ord", -o if descending else o)
+    if _proven_small(df):
+        w = Window.partitionBy(*parts).orderBy("_ord").rangeBetween(Window.unboundedPreceding, 0)
+        out = df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in sum_cols})
+        return out.drop("_ord", *([] if partition_cols else ["_part"]))
     fracs = [i / buckets for i in range(1, buckets)]
     edges = df.groupBy(*parts).agg(F.percentile_approx("_ord", fracs, 10000).alias("_edges"))
     df = df.join(edges, parts)
@@ -70,6 +84,11 @@ def hash_rank(df: DataFrame, key: str, partition_cols: Sequence[str] = (), seed:
     With ``with_size`` the partition's row count is added as ``<rank_col>_n``."""
     df, parts = _ensure_key(df, partition_cols)
     df = df.withColumn("_h", hash_key(key, seed))
+    if _proven_small(df):
+        out = df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*parts).orderBy("_h", key)).cast("long"))
+        if with_size:
+            out = out.withColumn(f"{rank_col}_n", F.count(F.lit(1)).over(Window.partitionBy(*parts)).cast("long"))
+        return out.drop("_h", *([] if partition_cols else ["_part"]))
     df = df.withColumn("_bkt", F.conv(F.substring("_h", 1, HASH_PREFIX_HEX), 16, 10).cast("int"))
     counts = df.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,17 +120,26 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
             .agg(F.sum(w).alias("_w")).where(F.col("_w") > 0))
     cum = running_totals(vc, "_v", ["_w"], partition_cols=parts)
     n = vc.groupBy(*parts).agg(F.sum("_w").alias("_n"))
-    cum = cum.join(n, parts)
-    last = (F.col("_n") - F.lit(1)).cast("double")
+    res = quantiles_from_cumulative(cum.join(n, parts), "_v", "_w", "cum__w", "_n", probs, parts, out)
+    return res if partition_cols else res.drop("_part")
+
+
+def quantiles_from_cumulative(cum: DataFrame, value_col: str, weight_col: str, cum_col: str, n_col: str,
+                              probs: Sequence[float], partition_cols: Sequence[str], out: str = "q") -> DataFrame:
+    """Quantiles from a table of distinct values with their weight, inclusive
+    running weight and the partition total (as made by ``running_totals``)."""
+    parts = list(partition_cols)
+    cum = cum.where(F.col(weight_col) > 0)
+    last = (F.col(n_col) - F.lit(1)).cast("double")
     targets = F.array(*[F.struct(F.lit(i).alias("qi"), (last * F.lit(float(q))).alias("h"),
                                  F.floor(last * F.lit(float(q))).alias("lo"),
                                  F.ceil(last * F.lit(float(q))).alias("hi")) for i, q in enumerate(probs)])
-    start, end = F.col("cum__w") - F.col("_w"), F.col("cum__w")
+    start, end = F.col(cum_col) - F.col(weight_col), F.col(cum_col)
 
     def covers(pos):
         return (pos >= start) & (pos < end)
 
-    hits = cum.select(*parts, "_v", start.alias("_s"), end.alias("_e"), F.explode(F.filter(
+    hits = cum.select(*parts, F.col(value_col).alias("_v"), start.alias("_s"), end.alias("_e"), F.explode(F.filter(
         targets, lambda t: covers(t["lo"]) | covers(t["hi"]))).alias("t"))
     inside = lambda pos: (pos >= F.col("_s")) & (pos < F.col("_e"))
     per_q = hits.groupBy(*parts, F.col("t.qi").alias("qi")).agg(
@@ -120,5 +148,4 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         F.first("t.h").alias("_h"), F.first("t.lo").alias("_lo"))
     val = F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))
     packed = per_q.groupBy(*parts).agg(F.array_sort(F.collect_list(F.struct("qi", val.alias("v")))).alias("_qs"))
-    res = packed.select(*parts, F.transform("_qs", lambda s: s["v"]).alias(out))
-    return res if partition_cols else res.drop("_part")
+    return packed.select(*parts, F.transform("_qs", lambda s: s["v"]).alias(out))

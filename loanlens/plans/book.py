@@ -45,7 +45,7 @@ def inference_log(spark: SparkSession, sf_dir: str, with_factors: bool = True) -
     the applicant key; a hot applicant is split by AQE's skew-join handling
     instead of landing in one task."""
     text_feats, _ = book_features(spark, sf_dir, encoded=False)
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
+    ev = derived.read_parquet(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
     cols = [
         log_id(F.col("event_id")).alias("id"),
         F.col("ts").alias("timestamp"),

@@ -16,13 +16,63 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def load_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
-    names = names or ["region", "nation", "customer", "orders", "lineitem", "events"]
-    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
+_READS: dict = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet`` once per session and path (the file listing and
+    footer read are done once, as when a table is registered in a catalog)."""
+    key = (spark.sparkContext.applicationId, path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
-def _null_when(cond, value):
-    return F.when(~cond, value)
+def clear_reads() -> None:
+    """Forget registered reads (call after the input files change)."""
+    _READS.clear()
+
+
+def load_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
+    names = names or ["region", "nation", "customer", "orders", "lineitem", "events"]
+    return {n: read_parquet(spark, f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
+
+
+# The derivation of the loan tables from the benchmark tables
+# (one SQL expression per output column; a second engine runs the same text).
+APPLICATION_EXPRS = [
+    "CAST(c_custkey AS BIGINT) AS SK_ID_CURR",
+    "CAST(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS INT) AS TARGET",
+    "CAST(-(7500 + (c_custkey * 7919) % 17500) AS INT) AS DAYS_BIRTH",
+    "CAST(CASE WHEN c_custkey % 6 = 0 THEN 365243 ELSE -((c_custkey * 6151) % 12000) END AS INT) AS DAYS_EMPLOYED",
+    "25000e0 + ((c_custkey * 3571) % 4000) * 1e2 AS AMT_INCOME_TOTAL",
+    "45000e0 + ((c_custkey * 2971) % 9000) * 1e2 AS AMT_CREDIT",
+    "CASE WHEN c_custkey % 500 = 3 THEN NULL ELSE (45000e0 + ((c_custkey * 2971) % 9000) * 1e2)"
+    " * (3e-2 + ((c_custkey * 1409) % 90) / 1e3) END AS AMT_ANNUITY",
+    "CASE WHEN c_custkey % 300 = 7 THEN NULL ELSE (45000e0 + ((c_custkey * 2971) % 9000) * 1e2) * 9e-1 END"
+    " AS AMT_GOODS_PRICE",
+    "CAST(c_custkey % 4 AS INT) AS CNT_CHILDREN",
+    "c_mktsegment AS NAME_EDUCATION_TYPE",
+    "CASE WHEN c_custkey % 50 = 11 THEN NULL ELSE r_name END AS NAME_HOUSING_TYPE",
+    "CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE ((c_custkey * 7817) % 1000) / 1e3 END AS EXT_SOURCE_1",
+    "CASE WHEN c_custkey % 400 = 9 THEN NULL ELSE (c_acctbal + 1e3) / 22e3 + ((c_custkey * 4729) % 1000) / 2e3 END"
+    " AS EXT_SOURCE_2",
+    "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE ((c_custkey * 6367) % 1000) / 1e3 END AS EXT_SOURCE_3",
+]
+BUREAU_EXPRS = [
+    "CAST(o_custkey AS BIGINT) AS SK_ID_CURR",
+    "CASE l_returnflag WHEN 'A' THEN 'Active' WHEN 'R' THEN 'Closed' ELSE 'Sold' END AS CREDIT_ACTIVE",
+    "CAST(CASE WHEN l_linestatus = 'F' AND l_discount > 8e-2 THEN CAST(l_quantity AS INT) ELSE 0 END AS INT)"
+    " AS CREDIT_DAY_OVERDUE",
+    "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS AMT_CREDIT_SUM",
+    "CASE WHEN l_tax < 5e-3 THEN NULL ELSE l_extendedprice * l_discount * 1e1 END AS AMT_CREDIT_SUM_DEBT",
+]
+PREVIOUS_EXPRS = [
+    "CAST(o_orderkey AS BIGINT) AS SK_ID_PREV",
+    "CAST(o_custkey AS BIGINT) AS SK_ID_CURR",
+    "CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Refused' ELSE 'Canceled' END AS NAME_CONTRACT_STATUS",
+]
 
 
 def application(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,27 +84,7 @@ def application(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("n_regionkey") == F.col("r_regionkey")))
     c = t["customer"].select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     df = c.join(broadcast_if_bounded(geo), F.col("c_nationkey") == F.col("n_nationkey"))
-    k = F.col("c_custkey")
-    credit = F.lit(45000.0) + ((k * 2971) % 9000) * F.lit(1e2)
-    out = df.select(
-        k.cast("long").alias("SK_ID_CURR"),
-        F.when(F.col("c_acctbal") < 0, 1).otherwise(0).cast("int").alias("TARGET"),
-        (-(F.lit(7500) + (k * 7919) % 17500)).cast("int").alias("DAYS_BIRTH"),
-        F.when(k % 6 == 0, F.lit(S.DAYS_EMPLOYED_SENTINEL))
-         .otherwise(-((k * 6151) % 12000)).cast("int").alias("DAYS_EMPLOYED"),
-        (F.lit(25000.0) + ((k * 3571) % 4000) * F.lit(1e2)).alias("AMT_INCOME_TOTAL"),
-        credit.alias("AMT_CREDIT"),
-        _null_when(k % 500 == 3, credit * (F.lit(3e-2) + ((k * 1409) % 90) / F.lit(1e3))).alias("AMT_ANNUITY"),
-        _null_when(k % 300 == 7, credit * F.lit(9e-1)).alias("AMT_GOODS_PRICE"),
-        (k % 4).cast("int").alias("CNT_CHILDREN"),
-        F.col("c_mktsegment").alias("NAME_EDUCATION_TYPE"),
-        _null_when(k % 50 == 11, F.col("r_name")).alias("NAME_HOUSING_TYPE"),
-        _null_when(k % 2 == 0, ((k * 7817) % 1000) / F.lit(1e3)).alias("EXT_SOURCE_1"),
-        _null_when(k % 400 == 9, (F.col("c_acctbal") + F.lit(1e3)) / F.lit(22e3)
-                   + ((k * 4729) % 1000) / F.lit(2e3)).alias("EXT_SOURCE_2"),
-        _null_when(k % 5 == 0, ((k * 6367) % 1000) / F.lit(1e3)).alias("EXT_SOURCE_3"),
-    )
-    return out
+    return df.selectExpr(*APPLICATION_EXPRS)
 
 
 def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,27 +92,12 @@ def bureau(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = t["orders"].select("o_orderkey", "o_custkey").where(F.col("o_custkey") % 7 != 0)
     li = t["lineitem"].select("l_orderkey", "l_returnflag", "l_linestatus", "l_discount",
                               "l_quantity", "l_linenumber", "l_extendedprice", "l_tax")
-    df = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return df.select(
-        F.col("o_custkey").cast("long").alias("SK_ID_CURR"),
-        F.when(F.col("l_returnflag") == "A", "Active").when(F.col("l_returnflag") == "R", "Closed")
-         .otherwise("Sold").alias("CREDIT_ACTIVE"),
-        F.when((F.col("l_linestatus") == "F") & (F.col("l_discount") > 8e-2),
-               F.col("l_quantity").cast("int")).otherwise(0).cast("int").alias("CREDIT_DAY_OVERDUE"),
-        _null_when(F.col("l_linenumber") == 7, F.col("l_extendedprice")).alias("AMT_CREDIT_SUM"),
-        _null_when(F.col("l_tax") < 5e-3,
-                   F.col("l_extendedprice") * F.col("l_discount") * F.lit(1e1)).alias("AMT_CREDIT_SUM_DEBT"),
-    )
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(*BUREAU_EXPRS)
 
 
 def previous_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load_tables(spark, sf_dir, ["orders"])["orders"]
-    return (o.where(F.col("o_custkey") % 9 != 0)
-             .select(F.col("o_orderkey").cast("long").alias("SK_ID_PREV"),
-                     F.col("o_custkey").cast("long").alias("SK_ID_CURR"),
-                     F.when(F.col("o_orderstatus") == "F", "Approved")
-                      .when(F.col("o_orderstatus") == "O", "Refused")
-                      .otherwise("Canceled").alias("NAME_CONTRACT_STATUS")))
+    return o.where(F.col("o_custkey") % 9 != 0).selectExpr(*PREVIOUS_EXPRS)
 
 
 def requests(spark: SparkSession, sf_dir: str, history=None) -> DataFrame:
@@ -90,7 +105,7 @@ def requests(spark: SparkSession, sf_dir: str, history=None) -> DataFrame:
     values as a client would send them (raw employment days, so the
     "not employed" sentinel arrives as a negative number; absent history as
     NULL).  ``history``: the per-applicant feature table (text categories)."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
+    ev = read_parquet(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
     app = application(spark, sf_dir).select("SK_ID_CURR", "DAYS_EMPLOYED")
     right = history.join(app, "SK_ID_CURR")
     j = ev.join(right, ev["user_id"] == right["SK_ID_CURR"], "left")
