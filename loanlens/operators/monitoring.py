@@ -88,3 +88,22 @@ def daily_grade_counts(log: DataFrame) -> DataFrame:
     """Per UTC day and grade: count and mean probability (batch twin of the stream)."""
     return (log.groupBy(F.to_date("timestamp").alias("day"), "risk_grade")
                .agg(F.count(F.lit(1)).alias("n"), F.avg("default_probability").alias("avg_probability")))
+
+
+def with_model_info(stats: DataFrame, model_version: str, trained_at: str | None) -> DataFrame:
+    """L4: stamp the stats row with the serving model's version and its real
+    training time (from the saved model's metadata), instead of constants."""
+    return stats.withColumns({"model_version": F.lit(model_version),
+                              "model_trained_at": F.lit(trained_at).cast("timestamp")})
+
+
+def model_trained_at(spark, model_path: str) -> str | None:
+    """Training time recorded in a saved Spark ML model's metadata (UTC)."""
+    try:
+        meta = spark.read.json(f"{model_path.rstrip('/')}/metadata").first()
+    except Exception:  # noqa: BLE001 - no model, no time
+        return None
+    if meta is None or meta["timestamp"] is None:
+        return None
+    import datetime as _dt
+    return _dt.datetime.fromtimestamp(meta["timestamp"] / 1000, _dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")

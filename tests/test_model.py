@@ -66,3 +66,15 @@ def test_random_search_and_best_trial(spark):
     b = MD.best_trial(trials).first()
     assert b.mean_auc == max(r.mean_auc for r in rows)
     assert MD.sample_params(3, space, seed=1) == MD.sample_params(3, space, seed=1)
+
+
+def test_model_info_in_stats(spark, trained, tmp_path):
+    from loanlens.operators import monitoring as M
+    _, model = trained
+    MD.save(model, str(tmp_path / "m"))
+    when = M.model_trained_at(spark, str(tmp_path / "m"))
+    assert when is not None
+    stats = spark.createDataFrame([(1,)], "total_predictions long")
+    row = M.with_model_info(stats, "v1", when).first()
+    assert row.model_version == "v1" and row.model_trained_at is not None
+    assert M.model_trained_at(spark, str(tmp_path / "none")) is None
