@@ -207,17 +207,18 @@ SHAP_STRUCT = T.StructType([
 
 
 def tree_shap(df: DataFrame, ens: Ensemble, key: str = "SK_ID_CURR") -> DataFrame:
-    """Per row: ``key`` and ``shap`` = array of (feature, feature_pos, shap_value)
-    for all model features, computed in Arrow batches on the executors.
+    """Per row: ``key``, ``margin_check`` (base + sum of values) and ``shap`` =
+    array of (feature, feature_pos, shap_value) for all model features.
 
-    Cost is rows x leaves x depth^2; the work is spread over the input's
-    partitions, nothing is shuffled."""
+    The Shapley values are computed in Arrow batches on the executors as one
+    NumPy matrix per batch (no per-row Python); names are attached in the JVM.
+    Cost is rows x leaves x depth^2; nothing is shuffled."""
     feats = list(ens.features)
     key_type = dict(df.dtypes)[key]
     out_schema = T.StructType([
         T.StructField(key, T._parse_datatype_string(key_type)),
         T.StructField("margin_check", T.DoubleType()),
-        T.StructField("shap", T.ArrayType(SHAP_STRUCT)),
+        T.StructField("_phi", T.ArrayType(T.DoubleType())),
     ])
     plan = _leaf_plan(ens)
     base = base_value(ens)
@@ -226,12 +227,15 @@ def tree_shap(df: DataFrame, ens: Ensemble, key: str = "SK_ID_CURR") -> DataFram
         for pdf in batches:
             X = pdf[feats].astype("float64").to_numpy(na_value=np.nan)
             phi = shap_matrix(X, ens, plan)
-            rows = [[(f, i, float(v)) for i, (f, v) in enumerate(zip(feats, r))] for r in phi]
             yield pd.DataFrame({key: pdf[key].to_numpy(), "margin_check": phi.sum(axis=1) + base,
-                                "shap": rows})
+                                "_phi": list(phi)})
 
     cols = [F.col(key)] + [F.col(c).cast("double").alias(c) for c in feats]
-    return df.select(*cols).mapInPandas(run, out_schema)
+    names = F.array(*[F.lit(f) for f in feats])
+    out = df.select(*cols).mapInPandas(run, out_schema)
+    shap = F.transform(F.col("_phi"), lambda v, i: F.struct(names[i].alias("feature"), i.cast("int").alias("feature_pos"),
+                                                             v.alias("shap_value")))
+    return out.select(key, "margin_check", shap.alias("shap"))
 
 
 def shap_long(shap_df: DataFrame, key: str = "SK_ID_CURR") -> DataFrame:
