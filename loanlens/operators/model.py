@@ -67,13 +67,20 @@ def gbt_pipeline(params: dict | None = None, early_stopping: bool = True, seed:
     return Pipeline(stages=[assembler, gbt])
 
 
-def train(df: DataFrame, params: dict | None = None, early_stopping: bool = True, seed: int = 42) -> PipelineModel:
-    """Fit on ``df`` (features + TARGET [+ is_validation])."""
-    data, _ = with_class_weight(prepare(df))
+def train(df: DataFrame, params: dict | None = None, early_stopping: bool = True, seed: int = 42,
+          materialize: bool = True) -> PipelineModel:
+    """Fit on ``df`` (features + TARGET [+ is_validation]).
+    ``materialize=False`` when ``df`` is already a checkpoint or a table."""
+    data = prepare(df)
     if early_stopping and VALIDATION not in data.columns:
         early_stopping = False
     if early_stopping:
         data = data.withColumn(VALIDATION, F.col(VALIDATION).cast("boolean"))
+    # Boosting passes over the rows once per tree level and re-plans the input
+    # for every pass: materialise the training set once (reliable checkpoint
+    # in the shared checkpoint folder) so each pass reads it back with a
+    # one-node plan instead of re-analysing and recomputing the lineage.
+    data, _ = with_class_weight(data.checkpoint(eager=True) if materialize else data)
     return gbt_pipeline(params, early_stopping, seed).fit(data)
 
 
@@ -148,8 +155,8 @@ def random_search(df: DataFrame, n_trials: int, fold_col: str = "fold", parallel
     """Cross-validated random search; ``df`` carries features, TARGET and a
     stratified ``fold`` column (``sampling.stratified_kfold``).  Returns
     (trial table, best fitted model on all rows)."""
-    data, _ = with_class_weight(prepare(df))
-    data = data.withColumn(fold_col, F.col(fold_col).cast("int"))
+    data = prepare(df).withColumn(fold_col, F.col(fold_col).cast("int")).checkpoint(eager=True)
+    data, _ = with_class_weight(data)
     pipe = gbt_pipeline(early_stopping=False, seed=seed)
     gbt = pipe.getStages()[1]
     trials = sample_params(n_trials, space, seed)

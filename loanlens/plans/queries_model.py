@@ -32,8 +32,9 @@ def model_dir(spark) -> str:
 def trained_book(spark, sf):
     """(features, split flag, fitted model)."""
     feats, _ = book.book_features(spark, sf)
-    data = stratified_split(feats, TEST_FRACTION)
-    return data, MD.train(data, BOOK_PARAMS)
+    # training, scoring and explanation all read the book: materialise it once
+    data = stratified_split(feats, TEST_FRACTION).checkpoint(eager=True)
+    return data, MD.train(data, BOOK_PARAMS, materialize=False)
 
 
 @query("score_book")
