@@ -48,8 +48,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     when it is unset -- local tests -- a fresh scratch folder is created.
     """
     sc = spark.sparkContext
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="loanlens-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        conf_dir = tempfile.mkdtemp(prefix="loanlens-ckpt-", dir="/tmp")  # local runs and tests only
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -120,3 +120,17 @@ def test_nan_becomes_null_at_the_scan(spark, tmp_path):
     path = str(tmp_path / "app.parquet")
     spark.createDataFrame([(1, float("nan"))], "SK_ID_CURR long, EXT_SOURCE_1 double").write.parquet(path)
     assert read_table(spark, path).first().EXT_SOURCE_1 is None
+
+
+def test_csv_scan_with_declared_schema(spark, tmp_path):
+    from loanlens.sources.readers import read_optional, scan_application
+    path = tmp_path / "application.csv"
+    path.write_text("SK_ID_CURR,TARGET,DAYS_BIRTH,DAYS_EMPLOYED,AMT_INCOME_TOTAL,AMT_CREDIT,AMT_ANNUITY,"
+                    "AMT_GOODS_PRICE,CNT_CHILDREN,NAME_EDUCATION_TYPE,NAME_HOUSING_TYPE,EXT_SOURCE_1,EXT_SOURCE_2,"
+                    "EXT_SOURCE_3,EXTRA\n"
+                    "1,0,-12000,365243,1000,5000,,4500,1,Higher education,,0.5,NaN,0.2,x\n")
+    df = scan_application(spark, str(path))
+    r = df.first()
+    assert r.SK_ID_CURR == 1 and r.AMT_ANNUITY is None and r.EXT_SOURCE_2 is None and r.NAME_HOUSING_TYPE is None
+    assert "EXTRA" not in df.columns
+    assert read_optional(spark, str(tmp_path / "bureau.csv"), S.BUREAU_SCHEMA) is None
