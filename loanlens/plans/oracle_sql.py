@@ -265,7 +265,7 @@ inference_logs AS (
     e.value / (e.value + 2e2) AS default_probability,
     {_SC} AS credit_score, {_GR} AS risk_grade, {_AC} AS recommended_action,
     '/static/assets/shap_plots/pred_' || lpad(CAST(e.event_id AS VARCHAR), 8, '0') || '.png' AS shap_plot_path,
-    e.event_id, e.user_id
+    e.event_id, e.user_id, e.event_type
   FROM events e LEFT JOIN text_features t ON e.user_id = t.SK_ID_CURR
 )"""
 

@@ -152,7 +152,7 @@ def risk_distribution(spark, sf):
     return M.risk_distribution(book.inference_log(spark, sf, with_factors=False))
 
 
-_NFAC = ("CASE WHEN event_id % 103 = 5 OR event_id % 101 = 7 OR event_id % 97 = 3 "
+_NFAC = ("CASE WHEN event_type = 'error' "
          "OR applicant_age IS NULL THEN 0 ELSE 6 END")
 
 
@@ -180,10 +180,10 @@ def history_page_info(spark, sf):
 
 
 @query("parse_risk_factors", O.shap_ctes(O.DISPLAY, O.TOP_FACTORS, O.TEXT_FEATURES, O.LOG) + f"""
-SELECT l.id, CAST({_NFAC.replace('event_id', 'l.event_id').replace('applicant_age', 'l.applicant_age')} AS INTEGER) AS n_factors,
-  CASE WHEN {_NFAC.replace('event_id', 'l.event_id').replace('applicant_age', 'l.applicant_age')} = 0 THEN NULL ELSE t.feature END AS top_feature,
-  CASE WHEN {_NFAC.replace('event_id', 'l.event_id').replace('applicant_age', 'l.applicant_age')} = 0 THEN NULL ELSE t.shap_value END AS top_shap_value,
-  CASE WHEN {_NFAC.replace('event_id', 'l.event_id').replace('applicant_age', 'l.applicant_age')} = 0 THEN NULL ELSE t.direction END AS top_direction
+SELECT l.id, CAST({_NFAC.replace('event_type', 'l.event_type').replace('applicant_age', 'l.applicant_age')} AS INTEGER) AS n_factors,
+  CASE WHEN {_NFAC.replace('event_type', 'l.event_type').replace('applicant_age', 'l.applicant_age')} = 0 THEN NULL ELSE t.feature END AS top_feature,
+  CASE WHEN {_NFAC.replace('event_type', 'l.event_type').replace('applicant_age', 'l.applicant_age')} = 0 THEN NULL ELSE t.shap_value END AS top_shap_value,
+  CASE WHEN {_NFAC.replace('event_type', 'l.event_type').replace('applicant_age', 'l.applicant_age')} = 0 THEN NULL ELSE t.direction END AS top_direction
 FROM inference_logs l LEFT JOIN top_factors t ON t.SK_ID_CURR = l.user_id AND t.rank = 1""",
        doubles=["top_shap_value"])
 def parse_risk_factors(spark, sf):
