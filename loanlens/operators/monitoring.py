@@ -46,16 +46,20 @@ def risk_distribution(log: DataFrame) -> DataFrame:
         for g in S.GRADES])).alias("x")).select("x.*")
 
 
-def history_page(log: DataFrame, page: int = 1, limit: int = 20, risk_grade: str | None = None) -> DataFrame:
-    """Newest first (id breaks ties), optional grade filter, limit/offset page.
-
-    ``orderBy + offset + limit`` is planned as a bounded top-k (each task keeps
-    at most ``page * limit`` rows), not a global sort."""
+def page_rows(log: DataFrame, page: int = 1, limit: int = 20, risk_grade: str | None = None) -> DataFrame:
+    """The raw log rows of one page: newest first (id breaks ties), optional
+    grade filter, limit/offset.  ``orderBy + offset + limit`` is planned as a
+    bounded top-k (each task keeps at most ``page * limit`` rows), not a
+    global sort."""
     if page < 1 or not 1 <= limit <= MAX_PAGE_LIMIT:
         raise ValueError("page >= 1 and 1 <= limit <= 100")
     df = log if risk_grade is None else log.where(F.col("risk_grade") == risk_grade)
-    top = df.orderBy(F.desc("timestamp"), F.asc("id")).offset((page - 1) * limit).limit(limit)
-    return top.select(
+    return df.orderBy(F.desc("timestamp"), F.asc("id")).offset((page - 1) * limit).limit(limit)
+
+
+def project_page(rows: DataFrame) -> DataFrame:
+    """L1: the 12 output columns of a page, newest first."""
+    return rows.orderBy(F.desc("timestamp"), F.asc("id")).select(
         F.col("id").alias("prediction_id"),
         iso_utc("timestamp").alias("timestamp"),
         F.concat(F.lit(S.APPLICANT_NAME_PREFIX), F.right(F.col("id"), F.lit(4))).alias("applicant_name"),
@@ -66,6 +70,11 @@ def history_page(log: DataFrame, page: int = 1, limit: int = 20, risk_grade: str
     )
 
 
+def history_page(log: DataFrame, page: int = 1, limit: int = 20, risk_grade: str | None = None) -> DataFrame:
+    """One page of the history."""
+    return project_page(page_rows(log, page, limit, risk_grade))
+
+
 def history_page_after(log: DataFrame, after_ts, after_id: str, limit: int = 20,
                        risk_grade: str | None = None) -> DataFrame:
     """Keyset form for deep pages: rows strictly after (ts, id) in page order."""

@@ -38,12 +38,12 @@ def log_id(event_id) -> "F.Column":
     return F.concat(F.lit("pred_"), F.lpad(event_id.cast("string"), 8, "0"))
 
 
-def inference_log(spark: SparkSession, sf_dir: str, with_factors: bool = True) -> DataFrame:
+def inference_log(spark: SparkSession, sf_dir: str, with_factors: bool = True, keep=()) -> DataFrame:
     """Events scored against the applicant's features (27 log columns).
 
     The fact table (events) joins the one-row-per-applicant feature table on
     the applicant key; a hot applicant is split by AQE's skew-join handling
-    instead of landing in one task."""
+    instead of landing in one task.  ``keep``: extra event columns."""
     text_feats, _ = book_features(spark, sf_dir, encoded=False)
     ev = derived.read_parquet(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type",
                                                                          "value")
@@ -64,21 +64,31 @@ def inference_log(spark: SparkSession, sf_dir: str, with_factors: bool = True) -
         "loan_to_income_ratio", "annuity_to_income_ratio", "credit_to_goods_ratio",
         (F.col("value") / (F.col("value") + F.lit(2e2))).alias("default_probability"),
     ]
-    right = text_feats
+    df = ev.join(text_feats, ev["user_id"] == text_feats["SK_ID_CURR"], "left")
+    extra = sorted({"user_id", "event_type", *keep})
+    out = classify(df.select(*cols, *extra)).drop("clamped_probability")
+    out = out.withColumn("shap_plot_path", F.concat(F.lit("/static/assets/shap_plots/"), F.col("id"), F.lit(".png")))
     if with_factors:
-        enc_feats, _ = book_features(spark, sf_dir, encoded=True)
-        factors = E.top_factors(E.tree_shap(enc_feats, E.fixed_ensemble()))
-        right = text_feats.join(factors.select("SK_ID_CURR", "top_risk_factors"), "SK_ID_CURR", "left")
-    df = ev.join(right, ev["user_id"] == right["SK_ID_CURR"], "left")
-    out = classify(df.select(*cols, *(["event_type", "top_risk_factors"] if with_factors else ["event_type"])))
-    out = out.drop("clamped_probability").withColumn("shap_plot_path",
-                                                     F.concat(F.lit("/static/assets/shap_plots/"), F.col("id"), F.lit(".png")))
-    if with_factors:
-        # Fixture rule: an 'error' event stored a truncated factor text; an
-        # applicant without features has no explanation (NULL).
-        js = (F.when(F.col("event_type") == "error", F.lit("{"))
-               .otherwise(risk_factors_json(F.col("top_risk_factors"))))
-        out = out.withColumn("top_risk_factors_json", js).drop("top_risk_factors")
+        out = attach_factor_json(spark, sf_dir, out)
     else:
         out = out.withColumn("top_risk_factors_json", F.lit(None).cast("string"))
-    return out.drop("event_type")
+    return out.drop(*[c for c in extra if c not in keep])
+
+
+def attach_factor_json(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """The stored explanation text of log rows (``user_id``, ``event_type``):
+    top-6 TreeSHAP factors of the applicant as JSON.  Explanations are
+    computed only for the applicants present in ``rows`` (a page needs a page
+    worth of SHAP, the whole log needs every applicant once).
+
+    Fixture rule: an 'error' event stored a truncated factor text; an applicant
+    without features has no explanation (NULL)."""
+    enc_feats, _ = book_features(spark, sf_dir, encoded=True)
+    users = rows.select(F.col("user_id").alias("SK_ID_CURR")).distinct()
+    feats = enc_feats.join(users, "SK_ID_CURR", "left_semi")
+    factors = E.top_factors(E.tree_shap(feats, E.fixed_ensemble())).select(
+        F.col("SK_ID_CURR").alias("user_id"), "top_risk_factors")
+    j = rows.join(factors, "user_id", "left")
+    js = (F.when(F.col("event_type") == "error", F.lit("{"))
+           .otherwise(risk_factors_json(F.col("top_risk_factors"))))
+    return j.withColumn("top_risk_factors_json", js).drop("top_risk_factors")

@@ -166,7 +166,9 @@ ORDER BY timestamp DESC, id LIMIT {LIMIT} OFFSET {(PAGE - 1) * LIMIT}""",
        doubles=["applicant_age", "income_total", "loan_amount", "default_probability"])
 def history_page(spark, sf):
     """One page of the history, newest first."""
-    page = M.history_page(book.inference_log(spark, sf), PAGE, LIMIT, PAGE_GRADE)
+    plain = book.inference_log(spark, sf, with_factors=False, keep=("user_id", "event_type"))
+    rows = M.page_rows(plain.drop("top_risk_factors_json"), PAGE, LIMIT, PAGE_GRADE)
+    page = M.project_page(book.attach_factor_json(spark, sf, rows))
     return page.withColumn("n_top_risk_factors", F.size("top_risk_factors")).drop("top_risk_factors")
 
 
