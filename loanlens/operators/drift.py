@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loanlens import schemas as S
 from loanlens.functions.exprs import nan_to_null
 from loanlens.functions.stats import chi2_p_value, ks_p_value, two_sided_normal_p
+from loanlens.session import materialize
 from loanlens.operators.rank import quantiles_from_cumulative, running_totals
 
 KEYS = ("SK_ID_CURR", "id")
@@ -175,7 +176,7 @@ def drift_features(reference: DataFrame, current: DataFrame, encoder=None, compa
     # Materialise the reduced table once (a reliable checkpoint in the shared
     # checkpoint folder): four statistics read it, and the cut lineage keeps
     # their plans small.
-    vc = value_counts(long).checkpoint(eager=True)
+    vc = materialize(value_counts(long))
     sizes = feature_sizes(vc)
     cum = numeric_cumulative(vc, sizes, numeric)
     ks = ks_statistics(cum)

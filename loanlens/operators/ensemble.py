@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens import schemas as S
+from loanlens.session import ship_package
 
 INF = float("inf")
 
@@ -230,6 +231,7 @@ def tree_shap(df: DataFrame, ens: Ensemble, key: str = "SK_ID_CURR") -> DataFram
             yield pd.DataFrame({key: pdf[key].to_numpy(), "margin_check": phi.sum(axis=1) + base,
                                 "_phi": list(phi)})
 
+    ship_package(df.sparkSession)
     cols = [F.col(key)] + [F.col(c).cast("double").alias(c) for c in feats]
     names = F.array(*[F.lit(f) for f in feats])
     out = df.select(*cols).mapInPandas(run, out_schema)

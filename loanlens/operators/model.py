@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from loanlens import schemas as S
 from loanlens.operators import ensemble as E
+from loanlens.session import materialize as materialize_df
 
 # GBT refuses NaN/NULL inputs; missing values become a sentinel far below
 # every real value, so a split sends them left, as a native missing-value
@@ -80,7 +81,7 @@ def train(df: DataFrame, params: dict | None = None, early_stopping: bool = True
     # for every pass: materialise the training set once (reliable checkpoint
     # in the shared checkpoint folder) so each pass reads it back with a
     # one-node plan instead of re-analysing and recomputing the lineage.
-    data, _ = with_class_weight(data.checkpoint(eager=True) if materialize else data)
+    data, _ = with_class_weight(materialize_df(data) if materialize else data)
     return gbt_pipeline(params, early_stopping, seed).fit(data)
 
 
@@ -155,7 +156,7 @@ def random_search(df: DataFrame, n_trials: int, fold_col: str = "fold", parallel
     """Cross-validated random search; ``df`` carries features, TARGET and a
     stratified ``fold`` column (``sampling.stratified_kfold``).  Returns
     (trial table, best fitted model on all rows)."""
-    data = prepare(df).withColumn(fold_col, F.col(fold_col).cast("int")).checkpoint(eager=True)
+    data = materialize_df(prepare(df).withColumn(fold_col, F.col(fold_col).cast("int")))
     data, _ = with_class_weight(data)
     pipe = gbt_pipeline(early_stopping=False, seed=seed)
     gbt = pipe.getStages()[1]

@@ -16,7 +16,7 @@ from loanlens.operators.sampling import stratified_kfold, stratified_split
 from loanlens.plans import book
 from loanlens.plans.catalog import query
 from loanlens.plans.queries_eval import K_FOLDS, TEST_FRACTION
-from loanlens.session import checkpoint_dir
+from loanlens.session import checkpoint_dir, materialize
 
 # The book model (early stopping on the validation split).
 BOOK_PARAMS = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1}
@@ -33,7 +33,7 @@ def trained_book(spark, sf):
     """(features, split flag, fitted model)."""
     feats, _ = book.book_features(spark, sf)
     # training, scoring and explanation all read the book: materialise it once
-    data = stratified_split(feats, TEST_FRACTION).checkpoint(eager=True)
+    data = materialize(stratified_split(feats, TEST_FRACTION))
     return data, MD.train(data, BOOK_PARAMS, materialize=False)
 
 

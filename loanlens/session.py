@@ -58,3 +58,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="loanlens-ckpt-", dir="/tmp")  # local runs and tests only
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared
+    checkpoint folder (survives lost executors; never ``localCheckpoint``)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``loanlens`` importable in the executors' Python workers (the
+    TreeSHAP batches run there): zip the package once per application and
+    ``addPyFile`` it, as for any Python dependency of a Spark job."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="loanlens-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "loanlens"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                  base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
