@@ -62,3 +62,23 @@ def test_sampling_sizes(spark):
     # reproducible
     a = sorted(r.SK_ID_CURR for r in sample_n(df, 50).collect())
     assert a == sorted(r.SK_ID_CURR for r in sample_n(df.repartition(7), 50).collect())
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(-20, 20), st.integers(1, 5)), min_size=1, max_size=60),
+       st.booleans())
+def test_running_totals_property(spark, monkeypatch, rows, descending):
+    """Bucketed running totals equal a direct cumulative sum on any input."""
+    monkeypatch.setattr(R, "SMALL_INPUT_BYTES", -1)
+    df = spark.createDataFrame(rows, "g int, x int, w int").groupBy("g", "x").agg(F.sum("w").alias("w"))
+    got = {(r.g, r.x): r.cum_w for r in R.running_totals(df, "x", ["w"], ["g"], descending=descending, buckets=4).collect()}
+    agg = {}
+    for g, x, w in rows:
+        agg[(g, x)] = agg.get((g, x), 0) + w
+    for (g, x), v in got.items():
+        want = sum(w for (g2, x2), w in agg.items() if g2 == g and ((x2 >= x) if descending else (x2 <= x)))
+        assert v == want
