@@ -210,7 +210,9 @@ DRIFT_RECOMMENDATIONS = {
     "some": "Một số thuộc tính đầu vào quan trọng có sự lệch nhẹ. Cần tiếp tục theo dõi các chỉ số.",
     "stable": "Hệ thống hoạt động ổn định. Phân phối dữ liệu thực tế khớp tốt với dữ liệu huấn luyện.",
     "not_enough": "Chưa đủ dữ liệu thực tế để so sánh. Cần thực hiện tối thiểu 10 lượt chấm điểm tín dụng (hiện có: {n}).",
-    "no_reference": "Lỗi: Không tìm thấy tệp reference_data.parquet. Cần chạy ml/train.py để xuất tệp chuẩn.",
+    # the reference's text names its own training script; ours names our writer
+    "no_reference": "Lỗi: Không tìm thấy tệp reference_data.parquet. Cần huấn luyện và ghi mẫu chuẩn "
+                    "(loanlens.sources.write_reference) để xuất tệp chuẩn.",
 }
 
 # Exploratory bins.
