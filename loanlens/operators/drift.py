@@ -223,10 +223,8 @@ def drift_summary(features: DataFrame, current_rows: DataFrame) -> DataFrame:
         F.count_if(F.col("is_drifted")).alias("_n_drifted"),
         F.max(F.when(tgt, F.col("is_drifted").cast("int"))).alias("_t_drift"),
         F.max(F.when(tgt, F.col("mean_reference"))).alias("_t_ref"),
-        F.max(F.when(tgt, F.col("mean_current"))).alias("_t_cur"),
-        F.lit(0).alias("_k"))
-    n = current_rows.agg(F.count(F.lit(1)).alias("total_predictions_since_deploy"), F.lit(0).alias("_k"))
-    j = n.join(agg, "_k")
+        F.max(F.when(tgt, F.col("mean_current"))).alias("_t_cur"))
+    j = agg.withColumn("total_predictions_since_deploy", F.lit(current_rows.count()).cast("long"))
     enough = F.col("total_predictions_since_deploy") >= F.lit(S.DRIFT_MIN_ROWS)
     share = F.coalesce(F.col("_share"), F.lit(0.0))
     dataset = share >= F.lit(S.DRIFT_SHARE_THRESHOLD)

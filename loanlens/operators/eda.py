@@ -76,9 +76,10 @@ def payment_rate_quintiles(app: DataFrame) -> DataFrame:
     edge included) and the default rate in each."""
     base = eda_base(app)
     probs = [i / 5 for i in range(6)]
-    edges = exact_quantiles(base, "payment_rate", probs).withColumn("_k", F.lit(0))
-    b = base.withColumn("_k", F.lit(0)).join(edges, "_k")
-    q = F.col("q")
+    edges = exact_quantiles(base, "payment_rate", probs).first()  # six numbers
+    qs = list(edges["q"]) if edges is not None and edges["q"] else [None] * len(probs)
+    q = F.array(*[F.lit(v).cast("double") for v in qs])
+    b = base
     expr = None
     for i, lab in enumerate(S.PAYMENT_RATE_LABELS):
         lo, hi = q[i], q[i + 1]
@@ -86,10 +87,10 @@ def payment_rate_quintiles(app: DataFrame) -> DataFrame:
         cond = lower & (F.col("payment_rate") <= hi)
         expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
     out = binned_default_rate(b, expr, S.PAYMENT_RATE_LABELS)
-    bounds = edges.select(F.explode(F.array(*[
-        F.struct(F.lit(lab).alias("bin"), F.col("q")[i].alias("lower_edge"), F.col("q")[i + 1].alias("upper_edge"))
-        for i, lab in enumerate(S.PAYMENT_RATE_LABELS)])).alias("e")).select("e.*")
-    return out.join(bounds, "bin")
+    bounds = {lab: (qs[i], qs[i + 1]) for i, lab in enumerate(S.PAYMENT_RATE_LABELS)}
+    lower = F.element_at(F.create_map(*[x for lab, (lo, _) in bounds.items() for x in (F.lit(lab), F.lit(lo).cast("double"))]), F.col("bin"))
+    upper = F.element_at(F.create_map(*[x for lab, (_, hi) in bounds.items() for x in (F.lit(lab), F.lit(hi).cast("double"))]), F.col("bin"))
+    return out.withColumns({"lower_edge": lower, "upper_edge": upper})
 
 
 def class_density(df: DataFrame, col: str, label: str = "TARGET", grid: int = KDE_GRID,

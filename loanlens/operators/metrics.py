@@ -95,9 +95,9 @@ def curve_points(df: DataFrame, label: str = "TARGET", prob_col: str = "probabil
     """Per distinct threshold (highest first) cumulative tp/fp and the
     class totals, plus the previous point's values for trapezoids."""
     sc = score_counts(df, label, prob_col)
-    totals = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.lit(0).alias("_k"))
+    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # one row of class totals
     cum = running_totals(sc, "threshold", ["pos", "neg"], descending=True)
-    cum = cum.withColumn("_k", F.lit(0)).join(totals, "_k").drop("_k")
+    cum = cum.withColumns({"P": F.lit(tot["P"] or 0).cast("long"), "N": F.lit(tot["N"] or 0).cast("long")})
     return cum.select("threshold", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                       (F.col("cum_pos") - F.col("pos")).alias("tp_prev"),
                       (F.col("cum_neg") - F.col("neg")).alias("fp_prev"), "P", "N")

@@ -57,9 +57,17 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         out = df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in sum_cols})
         return out.drop("_ord", *([] if partition_cols else ["_part"]))
     fracs = [i / buckets for i in range(1, buckets)]
-    edges = df.groupBy(*parts).agg(F.percentile_approx("_ord", fracs, 10000).alias("_edges"))
-    df = df.join(edges, parts)
-    df = df.withColumn("_bkt", F.size(F.filter("_edges", lambda e: e < F.col("_ord")))).drop("_edges")
+    if partition_cols:
+        edges = df.groupBy(*parts).agg(F.percentile_approx("_ord", fracs, 10000).alias("_edges"))
+        df = df.join(edges, parts)
+        edge_col = F.col("_edges")
+    else:
+        # one partition: its buckets - 1 edges are a bounded literal, no join
+        found = df.agg(F.percentile_approx("_ord", fracs, 10000)).first()[0] or []
+        edge_col = F.array(*[F.lit(float(v)) for v in found]) if found else F.array().cast("array<double>")
+    df = df.withColumn("_bkt", F.size(F.filter(edge_col, lambda e: e < F.col("_ord"))))
+    if partition_cols:
+        df = df.drop("_edges")
     totals = df.groupBy(*parts, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*parts, "_bkt", *[
@@ -119,8 +127,11 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     vc = (df.where(F.col(value_col).isNotNull()).groupBy(*parts, F.col(value_col).alias("_v"))
             .agg(F.sum(w).alias("_w")).where(F.col("_w") > 0))
     cum = running_totals(vc, "_v", ["_w"], partition_cols=parts)
-    n = vc.groupBy(*parts).agg(F.sum("_w").alias("_n"))
-    res = quantiles_from_cumulative(cum.join(n, parts), "_v", "_w", "cum__w", "_n", probs, parts, out)
+    if partition_cols:
+        cum = cum.join(vc.groupBy(*parts).agg(F.sum("_w").alias("_n")), parts)
+    else:
+        cum = cum.withColumn("_n", F.lit(vc.agg(F.sum("_w")).first()[0] or 0))
+    res = quantiles_from_cumulative(cum, "_v", "_w", "cum__w", "_n", probs, parts, out)
     return res if partition_cols else res.drop("_part")
 
 
