@@ -128,26 +128,27 @@ def ks_statistics(cum: DataFrame) -> DataFrame:
              .groupBy("feature").agg(F.max(diff).alias("ks_d")))
 
 
-def chi2_statistics(vc: DataFrame) -> DataFrame:
+def chi2_statistics(vc: DataFrame, sizes: DataFrame) -> DataFrame:
     """Chi-square of side x category over the categories seen on either
-    side; degrees of freedom = categories - 1."""
+    side; degrees of freedom = categories - 1.  Side totals are the
+    non-null counts of ``sizes``."""
     cats = vc.where(F.col("c").isNotNull()).select("feature", "c", "r", "k")
-    tot = cats.groupBy("feature").agg(F.sum("r").alias("tot_r"), F.sum("k").alias("tot_k"),
-                                      F.count(F.lit(1)).alias("m"))
-    j = cats.join(tot, "feature")
+    j = cats.join(sizes.select("feature", F.col("n_reference").alias("tot_r"), F.col("n_current").alias("tot_k")),
+                  "feature")
     n = (F.col("tot_r") + F.col("tot_k")).cast("double")
     er = (F.col("r") + F.col("k")) * F.col("tot_r") / n
     ek = (F.col("r") + F.col("k")) * F.col("tot_k") / n
     term = (F.when(er > 0, (F.col("r") - er) * (F.col("r") - er) / er).otherwise(F.lit(0.0))
             + F.when(ek > 0, (F.col("k") - ek) * (F.col("k") - ek) / ek).otherwise(F.lit(0.0)))
-    return j.groupBy("feature").agg(F.sum(term).alias("chi2"), (F.first("m") - 1).cast("int").alias("dof"))
+    return j.groupBy("feature").agg(F.sum(term).alias("chi2"), (F.count(F.lit(1)) - 1).cast("int").alias("dof"))
 
 
-def psi_table(vc: DataFrame, cum: DataFrame, numeric: list) -> DataFrame:
+def psi_table(vc: DataFrame, cum: DataFrame, numeric: list, sizes: DataFrame) -> DataFrame:
     """PSI per feature.  Numeric bins are right-closed between the
     reference deciles (exact, from the KS running counts; duplicates
     removed); categorical bins are the categories; shares are floored at
-    1e-4."""
+    1e-4.  Bins cover every non-null value, so side totals come from
+    ``sizes``."""
     num_vc = vc.where(F.col("x").isNotNull() & F.col("feature").isin(*numeric))
     edges = quantiles_from_cumulative(cum, "x", "r", "cum_r", "n_reference", PSI_QUANTILES, ["feature"]).select(
         "feature", F.array_sort(F.array_distinct("q")).alias("edges"))
@@ -155,8 +156,8 @@ def psi_table(vc: DataFrame, cum: DataFrame, numeric: list) -> DataFrame:
         "feature", F.size(F.filter("edges", lambda e: e < F.col("x"))).cast("string").alias("bin"), "r", "k")
     cat = vc.where(F.col("c").isNotNull()).select("feature", F.col("c").alias("bin"), "r", "k")
     counts = num.unionByName(cat).groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("k").alias("k"))
-    tot = counts.groupBy("feature").agg(F.sum("r").alias("tot_r"), F.sum("k").alias("tot_k"))
-    j = counts.join(tot, "feature")
+    j = counts.join(sizes.select("feature", F.col("n_reference").alias("tot_r"), F.col("n_current").alias("tot_k")),
+                    "feature")
     rs = F.greatest(F.lit(PSI_FLOOR), F.when(F.col("tot_r") > 0, F.col("r") / F.col("tot_r")).otherwise(F.lit(0.0)))
     ks = F.greatest(F.lit(PSI_FLOOR), F.when(F.col("tot_k") > 0, F.col("k") / F.col("tot_k")).otherwise(F.lit(0.0)))
     return j.groupBy("feature").agg(F.sum((ks - rs) * F.log(ks / rs)).alias("psi"))
@@ -180,8 +181,8 @@ def drift_features(reference: DataFrame, current: DataFrame, encoder=None, compa
     sizes = feature_sizes(vc)
     cum = numeric_cumulative(vc, sizes, numeric)
     ks = ks_statistics(cum)
-    chi = chi2_statistics(vc)
-    psi = psi_table(vc, cum, numeric)
+    chi = chi2_statistics(vc, sizes)
+    psi = psi_table(vc, cum, numeric, sizes)
     kinds = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(column_kind(c)))])
     order = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
     j = sizes.join(ks, "feature", "left").join(chi, "feature", "left").join(psi, "feature", "left")
@@ -203,7 +204,7 @@ def drift_features(reference: DataFrame, current: DataFrame, encoder=None, compa
     drifted = p < F.lit(S.DRIFT_P_THRESHOLD)
     out = j.select(
         "feature", order[F.col("feature")].alias("feature_pos"), kind.alias("kind"), test.alias("test"),
-        stat.alias("statistic"), p.alias("p_value"),
+        stat.alias("statistic"), F.when(kind == "categorical", F.col("dof")).alias("dof"), p.alias("p_value"),
         F.when(kind != "target", F.col("psi")).alias("psi"),
         "n_reference", "n_current", "null_share_reference", "null_share_current",
         "mean_reference", "mean_current", drifted.alias("is_drifted"))

@@ -168,6 +168,7 @@ feat AS (
     CASE kd.kind WHEN 'numeric' THEN 'ks' WHEN 'categorical' THEN 'chi_square' ELSE 'z_test' END AS test,
     CASE kd.kind WHEN 'numeric' THEN ks.ks_d WHEN 'categorical' THEN chi.chi2
       ELSE CASE WHEN zt.var > 0 THEN zt.diff / sqrt(zt.var) END END AS statistic,
+    CASE WHEN kd.kind = 'categorical' THEN chi.dof END AS dof,
     coalesce(CASE kd.kind WHEN 'numeric' THEN {_ks_p('ks.ks_d', 's.n_reference', 's.n_current')}
       WHEN 'categorical' THEN {_chi2_p('chi.chi2', 'chi.dof')}
       ELSE CASE WHEN zt.var > 0 THEN 2e0 * {_phi_upper('zt.diff / sqrt(zt.var)')}
@@ -240,16 +241,12 @@ def drift_z(spark, sf):
         "feature", F.col("statistic").alias("z"), "p_value", "mean_reference", "mean_current")
 
 
-@query("drift_chi2", drift_ctes() + """SELECT d.feature, d.statistic AS chi2, c.dof, d.p_value
-FROM drift_features d JOIN chi c ON c.feature = d.feature WHERE d.test = 'chi_square'""", doubles=["chi2", "p_value"])
+@query("drift_chi2", drift_ctes() + """SELECT feature, statistic AS chi2, dof, p_value
+FROM drift_features WHERE test = 'chi_square'""", doubles=["chi2", "p_value"])
 def drift_chi2(spark, sf):
     """Chi-square statistic, degrees of freedom and p-value of every
     categorical feature."""
-    ref, cur, enc = drift_inputs(spark, sf)
-    long, _ = D.long_table(ref, cur, enc)
-    chi = D.chi2_statistics(D.value_counts(long))
-    feats = D.drift_features(ref, cur, enc).where("test = 'chi_square'")
-    return feats.join(chi.select("feature", "dof"), "feature").select(
+    return _features(spark, sf).where("test = 'chi_square'").select(
         "feature", F.col("statistic").alias("chi2"), "dof", "p_value")
 
 
