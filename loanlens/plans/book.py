@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens import schemas as S
 from loanlens.operators import ensemble as E
 from loanlens.operators.decision import classify
 from loanlens.operators.encode import fit_label_encoder

@@ -15,7 +15,7 @@ from loanlens.operators.decision import classify
 from loanlens.operators.sampling import stratified_kfold, stratified_split
 from loanlens.plans import book
 from loanlens.plans.catalog import query
-from loanlens.plans.queries_eval import K_FOLDS, TEST_FRACTION
+from loanlens.plans.queries_eval import TEST_FRACTION
 from loanlens.session import checkpoint_dir, materialize
 
 # The book model (early stopping on the validation split).

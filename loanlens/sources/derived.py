@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens import schemas as S
 from loanlens.operators.joins import broadcast_if_bounded
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",

@@ -1,10 +1,5 @@
 """Decision rules: the reference's literal cases plus boundaries and nulls."""
 
-import math
-
-import pytest
-from pyspark.sql import functions as F
-
 from loanlens.operators.decision import classify, prediction_id
 
 

@@ -1,7 +1,5 @@
 """Training, persistence, scoring and the model -> leaf-table conversion."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 

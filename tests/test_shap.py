@@ -63,8 +63,6 @@ def test_leaf_shap_equals_brute_force():
 
 
 def test_top_factor_text_and_order(spark):
-    from loanlens import schemas as S
-    from pyspark.sql import functions as F
     shap = [("applicant_age", 0, 0.0625), ("income_total", 1, -0.5), ("loan_amount", 2, 0.0), ("x_unnamed", 3, 0.5)]
     df = spark.createDataFrame([(1, [s for s in shap])], "SK_ID_CURR long, shap array<struct<feature:string,"
                                                          "feature_pos:int,shap_value:double>>")

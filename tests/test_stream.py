@@ -1,7 +1,5 @@
 """Streaming scoring equals batch scoring; dedup and daily counts."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from loanlens.operators import ensemble as E
