@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.operators.rank import running_totals
+from loanlens.session import materialize
 
 LOG_LOSS_EPS = 1e-15
 
@@ -94,7 +95,9 @@ def score_counts(df: DataFrame, label: str = "TARGET", prob_col: str = "probabil
 def curve_points(df: DataFrame, label: str = "TARGET", prob_col: str = "probability") -> DataFrame:
     """Per distinct threshold (highest first) cumulative tp/fp and the
     class totals, plus the previous point's values for trapezoids."""
-    sc = score_counts(df, label, prob_col)
+    # the per-score table is read three times (totals, range edges, running
+    # sums): materialise the reduced table once
+    sc = materialize(score_counts(df, label, prob_col))
     tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # one row of class totals
     cum = running_totals(sc, "threshold", ["pos", "neg"], descending=True)
     cum = cum.withColumns({"P": F.lit(tot["P"] or 0).cast("long"), "N": F.lit(tot["N"] or 0).cast("long")})

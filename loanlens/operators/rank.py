@@ -126,6 +126,10 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     w = F.col(weight_col) if weight_col else F.lit(1)
     vc = (df.where(F.col(value_col).isNotNull()).groupBy(*parts, F.col(value_col).alias("_v"))
             .agg(F.sum(w).alias("_w")).where(F.col("_w") > 0))
+    if not partition_cols:
+        # read for the total, the range edges and the running sums: materialise once
+        from loanlens.session import materialize
+        vc = materialize(vc)
     cum = running_totals(vc, "_v", ["_w"], partition_cols=parts)
     if partition_cols:
         cum = cum.join(vc.groupBy(*parts).agg(F.sum("_w").alias("_n")), parts)
