@@ -56,3 +56,17 @@ def test_factor_json_parsing(spark):
                                  '"description":"d"}]',), ("not json",), ("",), (None,)], "j string")
     sizes = [r[0] for r in df.select(F.size(parse_risk_factors("j"))).collect()]
     assert sizes == [1, 0, 0, 0]
+
+
+def test_append_log_partitions_by_day(spark, tmp_path):
+    from loanlens.sources.readers import append_log, read_log
+    log = book.inference_log(spark, "/root/testdata/sf0.001", with_factors=False)
+    path = str(tmp_path / "inference_logs")
+    append_log(log, path)
+    append_log(log.limit(5), path)  # a second append adds rows, keeps the old ones
+    back = read_log(spark, path)
+    assert back.count() == log.count() + 5
+    today = back.where(F.col("log_date") == F.lit("2024-01-30").cast("date"))
+    plan = today._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "log_date" in plan
+    assert read_log(spark, str(tmp_path / "absent")) is None
