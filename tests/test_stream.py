@@ -69,3 +69,27 @@ def test_daily_counts_stream_matches_batch(spark, tmp_path):
     got = {(r.day, r.risk_grade): r.n for r in spark.table("daily_counts_test").collect()}
     want = {(r.day, r.risk_grade): r.n for r in daily_grade_counts(log).collect()}
     assert got == want
+
+
+def test_daily_counts_drop_rows_behind_the_watermark(spark, tmp_path):
+    import datetime as dt
+    import time as _time
+    schema = "id string, timestamp timestamp, risk_grade string, default_probability double"
+    src = str(tmp_path / "log")
+    first = [(f"a{i}", dt.datetime(2024, 1, 5, 10), "Good", 0.2) for i in range(3)] + \
+            [(f"b{i}", dt.datetime(2024, 1, 1, 10), "Good", 0.2) for i in range(2)]
+    late = [(f"c{i}", dt.datetime(2024, 1, 1, 11), "Good", 0.2) for i in range(4)]
+    middle = [("m0", dt.datetime(2024, 1, 5, 12), "Good", 0.2)]
+    # the file source takes files in modification order; late rows are judged
+    # against the watermark of the batch before (Spark's rule for chained
+    # stateful operators), so the late file comes third
+    for rows in (first, middle, late):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        _time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (daily_grade_counts_stream(stream).writeStream.outputMode("update").format("memory")
+         .queryName("late_rows_test").trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = spark.table("late_rows_test").collect()
+    jan1 = max(r.n for r in rows if str(r.day) == "2024-01-01")
+    assert jan1 == 2  # the four rows more than a day behind the newest were dropped
