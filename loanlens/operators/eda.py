@@ -7,7 +7,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,8 @@ def eda_base(app: DataFrame) -> DataFrame:
 def class_share(df: DataFrame, label: str = "TARGET") -> DataFrame:
     """rows and percentage share per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    # the class table has one row per label value: the empty window is bounded
-    return counts.withColumn("share_pct", F.col("n") * F.lit(100.0) / F.sum("n").over(Window.partitionBy()))
+    total = df.count()  # one number; the shares need no window over the classes
+    return counts.withColumn("share_pct", F.col("n") * F.lit(100.0) / F.lit(float(total) if total else None))
 
 
 def right_closed_bin(x, edges: Sequence[float], labels: Sequence[str], include_lowest: bool = False):
