@@ -39,14 +39,15 @@ def application_features(app: DataFrame, ddof: int = 1) -> DataFrame:
 
 
 def bureau_features(bureau: DataFrame) -> DataFrame:
-    """One row per applicant: active loans, overdue loans, debt/credit ratio.
+    """One row per applicant: active loans, overdue loans, debt/credit ratio
+    (rows without an applicant key form no group).
 
     A single ``groupBy`` with partial (map-side) aggregation: a hot applicant
     holding a third of all bureau rows is reduced to one row per map task before
     the shuffle."""
     credit = F.coalesce(to_number(F.col("AMT_CREDIT_SUM")), F.lit(0.0))
     debt = F.coalesce(to_number(F.col("AMT_CREDIT_SUM_DEBT")), F.lit(0.0))
-    agg = bureau.groupBy(KEY).agg(
+    agg = bureau.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
         F.count_if(F.col("CREDIT_ACTIVE") == "Active").alias("bureau_loans_active"),
         F.count_if(F.col("CREDIT_DAY_OVERDUE") > 0).alias("bureau_overdue_count"),
         F.sum(credit).alias("_credit"),
@@ -59,7 +60,7 @@ def bureau_features(bureau: DataFrame) -> DataFrame:
 
 def previous_features(prev: DataFrame) -> DataFrame:
     """One row per applicant: number of previous applications and approved share."""
-    agg = prev.groupBy(KEY).agg(
+    agg = prev.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
         F.count("SK_ID_PREV").alias("prev_application_count"),
         F.count_if(F.col("NAME_CONTRACT_STATUS") == "Approved").alias("_approved"))
     return agg.select(

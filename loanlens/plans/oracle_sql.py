@@ -80,7 +80,7 @@ bureau_feat AS (
     count_if(CREDIT_ACTIVE = 'Active') AS bureau_loans_active,
     count_if(CREDIT_DAY_OVERDUE > 0) AS bureau_overdue_count,
     sum(coalesce(AMT_CREDIT_SUM_DEBT, 0e0)) / nullif(sum(coalesce(AMT_CREDIT_SUM, 0e0)) + 1, 0) AS bureau_debt_to_credit_ratio
-  FROM bureau GROUP BY SK_ID_CURR
+  FROM bureau WHERE SK_ID_CURR IS NOT NULL GROUP BY SK_ID_CURR
 )"""
 
 PREVIOUS_FEATURES = """
@@ -88,7 +88,7 @@ prev_feat AS (
   SELECT SK_ID_CURR,
     count(SK_ID_PREV) AS prev_application_count,
     count_if(NAME_CONTRACT_STATUS = 'Approved') / nullif(count(SK_ID_PREV) + 1e-5, 0) AS prev_approved_ratio
-  FROM previous_application GROUP BY SK_ID_CURR
+  FROM previous_application WHERE SK_ID_CURR IS NOT NULL GROUP BY SK_ID_CURR
 )"""
 
 
