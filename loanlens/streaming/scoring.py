@@ -26,9 +26,11 @@ REQUEST_STREAM_SCHEMA = T.StructType(
 LOG_WATERMARK = "1 day"
 
 
-def score_requests_frame(requests: DataFrame, ens: E.Ensemble, encoder, model_version: str = "v1"):
+def score_requests_frame(requests: DataFrame, ens, encoder, model_version: str = "v1"):
     """(scored valid rows in log layout, quarantined rows).  Works on batch and
-    streaming DataFrames alike: every step is row-local, no join."""
+    streaming DataFrames alike: every step is row-local, no join.  ``ens`` is a
+    leaf-table ``Ensemble`` or a fitted GBT ``PipelineModel`` (large models are
+    better scored by the model itself than by one CASE branch per leaf)."""
     return _stream_scored(requests, ens, encoder, model_version)
 
 
@@ -41,7 +43,12 @@ def _stream_scored(requests: DataFrame, ens, encoder, model_version):
     carried = valid.withColumns(raw_cols)
     feats = request_features(carried, encoder=encoder, ddof=0,
                              keep=("request_id", "received_at", *raw_cols.keys()))
-    scored = classify(E.score(feats, ens), prob_col="probability")
+    if isinstance(ens, E.Ensemble):
+        scored = E.score(feats, ens)          # leaf table as CASE expressions
+    else:
+        from loanlens.operators.model import predict_proba
+        scored = predict_proba(ens, feats)    # a fitted PipelineModel, scored in the JVM
+    scored = classify(scored, prob_col="probability")
     log = scored.select(
         prediction_id("request_id", model_version=model_version).alias("id"),
         F.col("received_at").cast("timestamp").alias("timestamp"),
@@ -58,7 +65,7 @@ def dedupe_predictions(log: DataFrame, watermark: str = LOG_WATERMARK) -> DataFr
 
 
 def start_scoring(spark: SparkSession, source_dir: str, log_dir: str, quarantine_dir: str,
-                  checkpoint_root: str, ens: E.Ensemble, encoder, model_version: str = "v1",
+                  checkpoint_root: str, ens, encoder, model_version: str = "v1",
                   available_now: bool = True, max_files_per_trigger: int | None = None, dedupe: bool = False):
     """M1: file source of request Parquet files -> scored log (Parquet,
     partitioned by day, append) and quarantine; returns the two queries.

@@ -93,3 +93,20 @@ def test_daily_counts_drop_rows_behind_the_watermark(spark, tmp_path):
     rows = spark.table("late_rows_test").collect()
     jan1 = max(r.n for r in rows if str(r.day) == "2024-01-01")
     assert jan1 == 2  # the four rows more than a day behind the newest were dropped
+
+
+def test_stream_scores_with_a_fitted_model(spark, tmp_path):
+    from loanlens.operators import model as MD
+    from loanlens.operators.sampling import stratified_split
+    feats, enc = book.book_features(spark, SF)
+    model = MD.train(stratified_split(feats, 0.2), {"maxIter": 5, "maxDepth": 3})
+    req = _requests(spark)
+    src = str(tmp_path / "incoming")
+    req.coalesce(2).write.parquet(src)
+    q1, q2 = start_scoring(spark, src, str(tmp_path / "log"), str(tmp_path / "q"), str(tmp_path / "ckpt"),
+                           model, enc)
+    q1.awaitTermination()
+    q2.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "log")).select("id", "default_probability")
+    want, _ = score_requests_frame(req, model, enc)
+    assert sorted(got.collect()) == sorted(want.select("id", "default_probability").collect())
