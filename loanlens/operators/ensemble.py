@@ -158,9 +158,10 @@ def _leaf_plan(ens: Ensemble):
     return plan
 
 
-def shap_matrix(X: np.ndarray, ens: Ensemble, plan=None) -> np.ndarray:
-    """SHAP values (rows x features) of the margin.  NaN in ``X`` = missing."""
-    plan = plan or _leaf_plan(ens)
+def shap_matrix(X: np.ndarray, ens: Ensemble | None, plan=None) -> np.ndarray:
+    """SHAP values (rows x features) of the margin.  NaN in ``X`` = missing.
+    ``plan`` (from ``_leaf_plan``) may be given instead of ``ens``."""
+    plan = plan if plan is not None else _leaf_plan(ens)
     n, m = X.shape
     phi = np.zeros((n, m))
     weights_cache: dict[int, np.ndarray] = {}
@@ -221,13 +222,14 @@ def tree_shap(df: DataFrame, ens: Ensemble, key: str = "SK_ID_CURR") -> DataFram
         T.StructField("margin_check", T.DoubleType()),
         T.StructField("_phi", T.ArrayType(T.DoubleType())),
     ])
-    plan = _leaf_plan(ens)
-    base = base_value(ens)
+    # the leaf plan is model-sized: ship it once per executor, not per task
+    shipped = df.sparkSession.sparkContext.broadcast((_leaf_plan(ens), base_value(ens)))
 
     def run(batches):
+        plan, base = shipped.value
         for pdf in batches:
             X = pdf[feats].astype("float64").to_numpy(na_value=np.nan)
-            phi = shap_matrix(X, ens, plan)
+            phi = shap_matrix(X, None, plan)
             yield pd.DataFrame({key: pdf[key].to_numpy(), "margin_check": phi.sum(axis=1) + base,
                                 "_phi": list(phi)})
 
