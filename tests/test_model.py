@@ -76,3 +76,19 @@ def test_model_info_in_stats(spark, trained, tmp_path):
     row = M.with_model_info(stats, "v1", when).first()
     assert row.model_version == "v1" and row.model_trained_at is not None
     assert M.model_trained_at(spark, str(tmp_path / "none")) is None
+
+
+def test_score_book_record(spark):
+    """K7: one full prediction record per applicant: probability, decision and
+    six explained factors whose SHAP values are ranked by magnitude."""
+    import __spark_entry__ as entry
+    df = entry.queries()["score_book"](spark, "/root/testdata/sf0.001")
+    rows = df.collect()
+    n_app = book.book_features(spark, "/root/testdata/sf0.001")[0].count()
+    assert len(rows) == n_app
+    for r in rows[:50]:
+        assert 0.0 <= r.probability <= 1.0 and 300 <= r.credit_score <= 850
+        assert r.risk_grade in {"Excellent", "Good", "Fair", "Poor"}
+        mags = [abs(f.shap_value) for f in r.top_risk_factors]
+        assert len(mags) == 6 and mags == sorted(mags, reverse=True)
+        assert r.total_features_analyzed == 24
