@@ -12,7 +12,7 @@ from loanlens import schemas as S
 __all__ = [
     "as_col", "nan_to_null", "safe_div", "to_number", "row_mean", "row_std",
     "clamp_probability", "credit_score", "risk_grade", "recommended_action",
-    "grade_attribute", "iso_utc", "round_to",
+    "grade_attribute", "iso_utc",
 ]
 
 
@@ -99,7 +99,3 @@ def grade_attribute(p: Column | str, attribute: str) -> Column:
 def iso_utc(ts: Column | str) -> Column:
     """ISO-8601 text with a ``Z`` suffix and fixed microsecond width."""
     return F.date_format(as_col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-
-
-def round_to(c: Column | str, digits: int = 6) -> Column:
-    return F.round(as_col(c).cast("double"), digits)

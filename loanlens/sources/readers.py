@@ -3,8 +3,6 @@ a full pass at scale and drifts between files."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,7 +75,3 @@ def parse_risk_factors(c: Column | str) -> Column:
 
 def risk_factors_json(c: Column | str) -> Column:
     return F.to_json(as_col(c))
-
-
-def has_path(path: str) -> bool:
-    return os.path.exists(path)
