@@ -37,3 +37,18 @@ def test_oracle_smoke(spark, name):
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(dcols, res.fetchall())
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import subprocess
+    import sys
+    env = dict(os.environ, BENCH_SF_DIR=SF, BENCH_QUERIES="monitoring_stats,feature_bureau", BENCH_CPUS="2")
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, os.path.join(repo, "bench.py")], env=env, capture_output=True, text=True,
+                         timeout=600, cwd="/tmp")
+    lines = [ln for ln in out.stdout.splitlines() if ln.strip()]
+    assert len(lines) == 1
+    rec = json.loads(lines[0])
+    assert rec["unit"] == "sec" and set(rec["queries"]) == {"monitoring_stats", "feature_bureau"}
+    assert rec["value"] > 0 and "errors" not in rec
