@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROUND_DIGITS = 9
 
@@ -26,8 +25,8 @@ REGISTRY: dict[str, Query] = {}
 def rounded(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
     """Round double outputs so that two engines' last-bit differences (from a
     different summation order) do not change the result."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c)
-                       for c, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}`, {digits}) AS `{c}`" if t == "double" else f"`{c}`"
+                           for c, t in df.dtypes])
 
 
 def wrap_sql(sql: str, doubles) -> str:
