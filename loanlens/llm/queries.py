@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loanlens.llm import line_dedup
+from loanlens.llm import line_dedup, token_counts
 
 QUERIES = {
+    "op6_token_counts": token_counts.op6,
     "op8_line_dedup": line_dedup.op8,
 }
 
