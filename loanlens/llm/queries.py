@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loanlens.llm import line_dedup, packing, token_counts
+from loanlens.llm import line_dedup, packing, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op5_best_fit_packing": packing.op5,
     "op6_token_counts": token_counts.op6,
     "op8_line_dedup": line_dedup.op8,
