@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loanlens.llm import embedding_dedup, line_dedup, near_dedup, packing, token_counts, toxicity
+from loanlens.llm import embedding_dedup, fingerprints, line_dedup, near_dedup, packing, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_embedding_dedup": embedding_dedup.op2,
+    "op4_fingerprints": fingerprints.op4,
     "op5_best_fit_packing": packing.op5,
     "op6_token_counts": token_counts.op6,
     "op7_near_dedup": near_dedup.op7,
