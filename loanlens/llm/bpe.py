@@ -23,51 +23,60 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
-class Merges:
-    """Pair ranks of one vocabulary, as an open-addressed hash table in numpy arrays."""
+class IntTable:
+    """Places of distinct non-negative or negative int64 keys: an open-addressed hash table in numpy arrays."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, end_of_word: str | None):
-        chars = byte_symbols()
-        self.first = np.array([vocab[c] for c in chars], np.int64)
-        self.last = np.array([vocab[c + end_of_word] for c in chars], np.int64) if end_of_word else None
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
-        made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.bits = 18
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(10, 2 + int(len(keys)).bit_length())
         size = 1 << self.bits
-        self.keys, self.ranks, self.made = np.full(size, -1, np.int64), np.full(size, NONE), np.zeros(size, np.int64)
+        self.keys, self.place = np.zeros(size, np.int64), np.full(size, -1, np.int64)
         slot, left, self.probes = self._slot(keys), np.arange(len(keys)), 0
-        while len(left):  # each round places the first key of every free slot, the others move on by one
+        while len(left):  # each round places one key in every free slot, the others move on by one
             self.probes += 1
-            free = self.keys[slot[left]] < 0
+            free = self.place[slot[left]] < 0
             _, pick = np.unique(np.where(free, slot[left], -1 - left), return_index=True)
             pick = pick[free[pick]]
             put = left[pick]
-            self.keys[slot[put]], self.ranks[slot[put]], self.made[slot[put]] = keys[put], put, made[put]
+            self.keys[slot[put]], self.place[slot[put]] = keys[put], put
             left = np.delete(left, pick)
             slot[left] = (slot[left] + 1) & (size - 1)
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for one that is not held."""
+        slot = self._slot(keys)
+        place = self.place[slot]
+        for _ in range(self.probes):
+            off = np.flatnonzero((place >= 0) & (self.keys[slot] != keys))
+            if not len(off):
+                return place
+            slot[off] = (slot[off] + 1) & (len(self.keys) - 1)
+            place[off] = self.place[slot[off]]
+        return np.where(self.keys[slot] == keys, place, -1)
+
+
+class Merges:
+    """Pair ranks of one vocabulary."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, end_of_word: str | None):
+        chars = byte_symbols()
+        self.first = np.array([vocab[c] for c in chars], np.int64)
+        self.last = np.array([vocab[c + end_of_word] for c in chars], np.int64) if end_of_word else None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        self.find = IntTable(np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64))
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+
     @classmethod
     def from_json(cls, text: str) -> "Merges":
         model = json.loads(text)["model"]
         return cls(model["vocab"], model["merges"], model.get("end_of_word_suffix") or None)
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged symbol) of each pair; NONE where there is no merge."""
-        key = a << 20 | b
-        slot = self._slot(key)
-        found = self.keys[slot]
-        for _ in range(self.probes):
-            off = np.flatnonzero((found != key) & (found >= 0))
-            if not len(off):
-                break
-            slot[off] = (slot[off] + 1) & (len(self.keys) - 1)
-            found[off] = self.keys[slot[off]]
-        hit = found == key
-        return np.where(hit, self.ranks[slot], NONE), self.made[slot]
+        rank = self.find(a << 20 | b)
+        return np.where(rank >= 0, rank, NONE), self.made[rank]
 
     def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``tokens`` (each not empty) one after the other, and how many each has."""

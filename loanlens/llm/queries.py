@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanlens.llm import embedding_dedup, fingerprints, line_dedup, near_dedup, packing, token_counts, toxicity
+from loanlens.llm import embedding_dedup, fingerprints, line_dedup, near_dedup, packing, sentencepieces, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6,
     "op7_near_dedup": near_dedup.op7,
     "op8_line_dedup": line_dedup.op8,
+    "op9_sentencepieces": sentencepieces.op9,
 }
 
 ORACLE_SQL = {
