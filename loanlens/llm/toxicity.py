@@ -28,7 +28,7 @@ from loanlens.llm.common import python_stage, table, text_groups
 DECAY, POWER, LEAST = 0.8, 3, 0.03  # kernel values under LEAST count as zero
 SHARE = 0.45  # of a landmark's letter pairs, that a word must have for the kernel to be worked out
 LANDMARKS, LONGEST = 64, 32  # landmark words; letters of a word, longer ones are seen in overlapping windows
-MAX_TOXIC, MAX_CLEAN = 3000, 4000  # labelled documents of each class that the classifier is fitted on, at most
+MAX_TOXIC, MAX_CLEAN = 2000, 5000  # labelled documents of each class that the classifier is fitted on, at most
 _END = re.compile(r"[.!?]+\s|\n")
 _SPACED = re.compile(r"(?<!\w)\w(?:[^\w\n]{1,3}\w(?!\w)){2,}")
 
@@ -174,10 +174,10 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, most: int = 500_000):
         self.model = model
         self.kernel = WordKernel(model.marks) if model.marks else None
-        self.cache = Cache(self._learn, 0.0)
+        self.cache = Cache(self._learn, 0.0, most)
 
     def _learn(self, words: list[str]) -> list[float]:
         """g of each word; of a very long word that of its strongest window."""
@@ -221,11 +221,11 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _landmarks(docs: list[list[set[str]]], toxic: list[int], most: int) -> list[str]:
+def _landmarks(texts: list[str], toxic: list[int], most: int) -> list[str]:
     """Words that set toxic training documents apart, none nearly the same as another (kernel over 0.9)."""
     count = {0: Counter(), 1: Counter()}
-    for sents, t in zip(docs, toxic):
-        count[t].update({letters(w) for s in sents for w in s})
+    for text, t in zip(texts, toxic):
+        count[t].update({letters(w) for s in sentences(text) for w in s})
     n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
     fit = {w: n / n1 * np.log((n / n1 + 0.5 / n1) / (count[0][w] / n0 + 0.5 / n0))
            for w, n in count[1].items() if 3 <= len(w) <= 16 and n >= 3 and n / n1 > 3 * count[0][w] / n0}
@@ -267,27 +267,29 @@ def fit(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> Model:
     none = Model([], np.zeros(0), 0.0, 0.0, -3.0)
     if not texts or sum(toxic) == 0:
         return none
-    docs = [sentences(t) for t in texts]
-    marks = _landmarks(docs, toxic, most)
+    marks = _landmarks(texts, toxic, most)
     if not marks:
         return none
     kernel = WordKernel(marks)
-    words = sorted({w for d in docs for s in d for w in s})
-    parts = [letters(w)[:LONGEST] for w in words]
-    r, c, v = kernel(parts)
-    row = {w: i for i, w in enumerate(words)}
-    feats = np.zeros((len(words), len(marks)), np.float32)
-    feats[r, c] = v
-    useful = feats.max(1) > 0.02
     x, owner, plain = [], [], 0
-    for d, sents in enumerate(docs):
-        for s in sents:
-            at = [i for i in map(row.__getitem__, s) if useful[i]]
-            if at:
-                x.append(feats[at].sum(0))
-                owner.append(d)
-            else:
-                plain += 1
+    for lo in range(0, len(texts), 100):  # a hundred documents at a time: the words of all would fill the driver
+        docs = [sentences(t) for t in texts[lo:lo + 100]]
+        words = sorted({w for d in docs for s in d for w in s})
+        r, c, v = kernel([letters(w)[:LONGEST] for w in words])
+        row: dict[str, np.ndarray] = {}
+        order = np.argsort(r, kind="stable")
+        r, c, v = r[order], c[order], v[order]
+        cuts = np.flatnonzero(np.diff(r)) + 1
+        for k, cs, vs in zip(r[np.append(0, cuts)] if len(r) else [], np.split(c, cuts), np.split(v, cuts)):
+            row[words[k]] = np.bincount(cs, vs, len(marks)).astype(np.float32)
+        for d, sents in enumerate(docs, lo):
+            for s in sents:
+                at = s & row.keys()
+                if at:
+                    x.append(sum(row[w] for w in sorted(at)))
+                    owner.append(d)
+                else:
+                    plain += 1
     if not x:
         return none
     x, owner = np.array(x, np.float64), np.array(owner)
@@ -302,14 +304,14 @@ def fit(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> Model:
         weight = np.append(np.where(label, 1.0, max(share, 1e-3) ** 0.5), plain * max(share, 1e-3) ** 0.5)
         w, b = _svm(z, y, weight)
         f = z[:-1] @ w + b
-        worst = np.full(len(docs), -np.inf)
+        worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, owner, f)
         new = is_toxic & ((f > 0) | (f >= worst[owner]))
         if (new == label).all():
             break
         label = new
     model = Model(marks, root @ w, float(b), 1.0, 0.0)
-    margin = np.array(Scorer(model).values(texts))
+    margin = np.array(Scorer(model, 100_000).values(texts))
     model.slope, model.shift = _logistic(margin, np.array(toxic, float))
     return model
 
