@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loanlens.llm.bpe import Cache
 from loanlens.llm.common import python_stage, table, text_groups
@@ -360,7 +362,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
           carry: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
-    """Score whole texts: ``carry`` columns (default the id), ``score`` in 0..1, ``predicted``.
+    """Score whole texts: ``row`` (struct of the ``carry`` columns, by default the id), ``score`` in 0..1, ``predicted``.
 
     Null and empty texts score as a sentence without words.  Each row is scored by itself: repeated
     rows, null ids and clashing other columns change nothing; an empty table gives an empty result.
@@ -369,7 +371,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     python_stage(spark)
     sent = spark.sparkContext.broadcast(model)
     carry = carry or [id_col]
-    token = id(sent)
+    token = uuid.uuid4().hex
 
     def run(batches):
         scorer = _SCORERS.get(token)
@@ -377,14 +379,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _SCORERS.clear()
             scorer = _SCORERS[token] = sent.value.scorer()
         for b in batches:
-            s = scorer.scores(b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(s, pa.float64())], ["_row", "_score"])
+            texts = b.column("row").field(carry.index(text_col)) if text_col in carry else b.column("_text")
+            s = scorer.scores([t or "" for t in texts.to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s, pa.float64())], ["row", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"),
-                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"_row {kind}, _score double")
-    return out.select("_row.*", F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
+                       *([] if text_col in carry else [F.col(f"`{text_col}`").alias("_text")]))
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 _SCORERS: dict = {}
@@ -395,4 +397,4 @@ def op1(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(*training_sample(docs, labels))
     out = score(docs, model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return out.select("row.doc_id", "score", "predicted").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
