@@ -28,6 +28,7 @@ BOUNDS = frozenset("ul ol dl table tbody article section div body main blockquot
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[^a-z0-9]+")
+_DIGITS = re.compile(r"\d+")
 
 
 class Token(NamedTuple):
@@ -86,7 +87,7 @@ def tokens(page: str) -> list[Token]:
             drop({"p"}, BOUNDS)
         _, path, junk, main, link = stack[-1]
         attrs = " ".join(v.strip("\"'").lower() for _, v in _ATTR.findall(m[3])) if m[3] else ""
-        out.append(Token(xxhash.xxh3_64_intdigest(f"O|{path}|{tag}|{attrs}"), "", path, junk, main, link, not inline))
+        out.append(Token(xxhash.xxh3_64_intdigest(f"O|{path}|{tag}|{_DIGITS.sub('', attrs)}"), "", path, junk, main, link, not inline))
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:
@@ -96,7 +97,8 @@ def tokens(page: str) -> list[Token]:
         junk = junk or tag in BOILERPLATE_TAGS or bool(attrs) and not BOILERPLATE_WORDS.isdisjoint(_WORD.split(attrs))
         if tag in ("html", "body"):
             junk = False  # a class of the whole page says nothing about its parts
-        stack.append((tag, path if inline or tag == "p" else f"{path}/{tag}", junk,
+        name = f"{tag}.{_DIGITS.sub('', attrs)}" if attrs else tag  # numbers in names differ from page to page
+        stack.append((tag, path if inline or tag == "p" else f"{path}/{name}", junk,
                       main or tag in MAIN_TAGS or "role" in m[3].lower() and "main" in attrs.split(), link or tag == "a"))
     return out
 

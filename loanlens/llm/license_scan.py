@@ -11,7 +11,7 @@ from loanlens.llm.common import table
 from loanlens.llm.license_texts import NOTICES, SPELLINGS, TEXTS
 
 # Of a lower-cased line: a line that only says whose copyright it is.
-COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright\b|\(c\)|©).*$"
+COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright\s*(\(c\)|©|[0-9<{:\[]|by\b)|\(c\)\s|©).*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 

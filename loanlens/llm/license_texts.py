@@ -135,5 +135,5 @@ SPELLINGS = [
     ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"),
     ("organisation", "organization"), ("recognise", "recognize"), ("acknowledgement", "acknowledgment"),
     ("favour", "favor"), ("fulfil", "fulfill"), ("judgement", "judgment"), ("merchantibility", "merchantability"),
-    ("whilst", "while"), ("https", "http"),
+    ("whilst", "while"), ("https", "http"), ("unlicence", "unlicense"),
 ]

@@ -30,6 +30,7 @@ from loanlens.llm.common import python_stage, table, text_groups
 DECAY, POWER, LEAST = 0.8, 3, 0.03  # kernel values under LEAST count as zero
 SHARE = 0.45  # of a landmark's letter pairs, that a word must have for the kernel to be worked out
 LANDMARKS, LONGEST = 64, 32  # landmark words; letters of a word, longer ones are seen in overlapping windows
+CHANGED = 0.3  # weight of changed forms of toxic words, as a share of that of the toxic sentences
 MAX_TOXIC, MAX_CLEAN = 2000, 5000  # labelled documents of each class that the classifier is fitted on, at most
 _END = re.compile(r"[.!?]+\s|\n")
 _SPACED = re.compile(r"(?<!\w)\w(?:[^\w\n]{1,3}\w(?!\w)){2,}")
@@ -197,7 +198,7 @@ class Scorer:
         np.maximum.at(out, np.array(owner, int), g)
         low = np.zeros(len(words))
         np.minimum.at(low, np.array(owner, int), g)
-        return np.round(np.where(out > -low, out, low), 6).tolist()
+        return np.round(np.where(out > -low, out, low), 4).tolist()
 
     def values(self, texts: list[str]) -> list[float]:
         """Margin of the worst sentence of each text."""
@@ -229,8 +230,9 @@ def _landmarks(texts: list[str], toxic: list[int], most: int) -> list[str]:
     for text, t in zip(texts, toxic):
         count[t].update({letters(w) for s in sentences(text) for w in s})
     n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    fit = {w: n / n1 * np.log((n / n1 + 0.5 / n1) / (count[0][w] / n0 + 0.5 / n0))
-           for w, n in count[1].items() if 3 <= len(w) <= 16 and n >= 3 and n / n1 > 3 * count[0][w] / n0}
+    # log-likelihood of the word's toxic documents against the share of clean ones; chance seldom gives 12
+    fit = {w: g for w, n in count[1].items() if 3 <= len(w) <= 16 and n / n1 > 3 * count[0][w] / n0
+           and (g := n * np.log((n / n1) / ((count[0][w] + 0.5) / n0))) >= 12}
     picked: list[str] = []
     ranked = sorted(fit, key=lambda w: (-fit[w], w))[:1500]
     for w in ranked:
@@ -312,9 +314,19 @@ def fit(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> Model:
         if (new == label).all():
             break
         label = new
+    # words that are toxic by themselves, with a letter put in or doubled, teach how far a word may be changed
+    strong = [m for m, g in zip(marks, _gram(kernel) @ (root @ w)) if g + b > 0]
+    forms = sorted({m[:i] + c + m[i:] for m in strong for i in range(1, len(m)) for c in ("x", "q", m[i - 1])})
+    r, c, v = kernel(forms)
+    extra = np.zeros((len(forms), len(marks)))
+    extra[r, c] = v
+    part = CHANGED * weight[:-1][label].sum() / max(1, len(forms))
+    w, b = _svm(np.vstack([z, extra @ root]), np.append(y, np.ones(len(forms))), np.append(weight, np.full(len(forms), part)))
     model = Model(marks, root @ w, float(b), 1.0, 0.0)
     margin = np.array(Scorer(model, 100_000).values(texts))
-    model.slope, model.shift = _logistic(margin, np.array(toxic, float))
+    part = CHANGED * sum(toxic) / max(1, len(forms))
+    model.slope, model.shift = _logistic(np.append(margin, extra @ root @ w + b), np.append(np.array(toxic, float), np.ones(len(forms))),
+                                         np.append(np.ones(len(texts)), np.full(len(forms), part)))
     return model
 
 
@@ -327,14 +339,14 @@ def _gram(kernel: WordKernel) -> np.ndarray:
     return np.minimum(g, 1) ** POWER
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope (never negative) and shift of P(y = 1 | x), by damped Newton steps with a small ridge."""
     a = np.stack([x, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = a.T @ (a * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
+        h = a.T @ (a * (weight * p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
+        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - 1e-2 * w)
         w += np.clip(step, -2, 2)
     return max(float(w[0]), 0.0), float(w[1])
 
