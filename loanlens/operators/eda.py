@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens import schemas as S
-from loanlens.operators.joins import broadcast_if_bounded, literal_frame
+from loanlens.operators.joins import literal_frame
 from loanlens.operators.rank import exact_quantiles
 
 KDE_GRID = 200   # fixed value: evaluation points of the density curve
@@ -110,8 +110,7 @@ def class_density(df: DataFrame, col: str, label: str = "TARGET", grid: int = KD
     stats = stats.withColumns({"g0": F.col("lo") - F.lit(cut) * F.col("bw"),
                                "step": (F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("bw")) / F.lit(grid - 1)})
     vals = d.groupBy(label, x.alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    # one row per class: broadcast once the bound is checked
-    j = vals.join(broadcast_if_bounded(stats.select(label, "n", "bw", "g0", "step"), max_rows=10_000), label)
+    j = vals.join(stats.select(label, "n", "bw", "g0", "step"), label)
     norm = F.lit(1.0 / math.sqrt(2 * math.pi))
     pts = j.select(label, "n", "bw", "g0", "step", "w", "v",
                    F.posexplode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid_index", "_i"))

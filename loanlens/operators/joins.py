@@ -1,41 +1,10 @@
-"""Join helpers: broadcast only behind a row-count check."""
+"""Join helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is proven to hold at most this many rows.
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
-# ... or whose optimizer size estimate (from file sizes, no job) is at most this.
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (file sizes and projections,
-    computed without running a job); ``None`` when unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimates are advisory
-        return None
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                         max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` is proven small, else ``df``
-    unchanged so the planner falls back to a shuffle join.
-
-    Proof is the optimizer's size estimate when it is below ``max_bytes`` (no
-    job); otherwise a bounded job (``limit(max_rows + 1).count()``) that never
-    scans more than needed to prove or refute the row bound."""
-    est = estimated_bytes(df)
-    if est is not None and est <= max_bytes:
-        return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def literal_frame(spark, rows, schema) -> DataFrame:
     """A small DataFrame built from constants; its size is bounded by

@@ -4,9 +4,9 @@
 helpers here reach the same exact result with bounded tasks:
 
 * ``running_totals`` -- cumulative sums along a value order.  Rows are cut
-  into value ranges by approximate quantile edges; per-range totals (a table
-  of at most ``partitions x buckets`` rows) give each range its offset, and the
-  exact window runs inside each range.
+  into value ranges by approximate quantile edges, as many as the row count
+  asks for; per-range totals give each range its offset, and the exact window
+  runs inside each range.
 * ``hash_rank`` -- a reproducible random order (md5 of key and seed) with an
   exact rank, the ranges being hash prefixes (uniform by construction).
 
@@ -21,18 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-HASH_PREFIX_HEX = 4  # 65,536 hash ranges
-# Inputs whose optimizer size estimate (an upper bound for scans, filters,
-# projections and aggregates; computed without a job) is below this run the
-# plain window: one task per partition value is then cheap by proof.
-SMALL_INPUT_BYTES = 32 * 1024 * 1024
-
-
-def _proven_small(df: DataFrame) -> bool:
-    from loanlens.operators.joins import estimated_bytes
-    est = estimated_bytes(df)
-    return est is not None and est <= SMALL_INPUT_BYTES
+# Rows that one exact window holds, about: the number of ranges follows from the row count,
+# so every task stays this small at any size.
+RANGE_ROWS = 200_000
 
 
 def _ensure_key(df: DataFrame, partition_cols: Sequence[str]):
@@ -41,42 +32,52 @@ def _ensure_key(df: DataFrame, partition_cols: Sequence[str]):
     return df.withColumn("_part", F.lit(0)), ["_part"]
 
 
+def _ranges(df: DataFrame, buckets: int | None) -> int:
+    """How many ranges ``df`` is cut into (one counting job unless given)."""
+    return buckets if buckets is not None else max(1, -(-df.count() // RANGE_ROWS))
+
+
+def null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the keys of ``df`` are kept."""
+    right = other.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(right[f"_right_{k}"])
+    return df.join(right, cond, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
-                   buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_") -> DataFrame:
+                   buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows of the same partition whose
-    order value comes before or equals this row's (in the given direction).
+    order value comes before or equals this row's (in the given direction;
+    NULL order values come first, and a NULL partition value is a partition).
 
-    Exact; the only unpartitioned pieces are tables of at most
-    ``partitions x buckets`` rows."""
+    Exact for every type that orders: the order value itself is compared, only
+    the edges of the ranges are approximate.  The unpartitioned pieces are
+    tables of at most ``partitions x ranges`` rows."""
     df, parts = _ensure_key(df, partition_cols)
-    o = F.col(order_col).cast("double")
-    df = df.withColumn("_ord", -o if descending else o)
-    if _proven_small(df):
-        w = Window.partitionBy(*parts).orderBy("_ord").rangeBetween(Window.unboundedPreceding, 0)
-        out = df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in sum_cols})
-        return out.drop("_ord", *([] if partition_cols else ["_part"]))
-    fracs = [i / buckets for i in range(1, buckets)]
-    if partition_cols:
-        edges = df.groupBy(*parts).agg(F.percentile_approx("_ord", fracs, 10000).alias("_edges"))
-        df = df.join(edges, parts)
-        edge_col = F.col("_edges")
-    else:
-        # one partition: its buckets - 1 edges are a bounded literal, no join
-        found = df.agg(F.percentile_approx("_ord", fracs, 10000)).first()[0] or []
-        edge_col = F.array(*[F.lit(float(v)) for v in found]) if found else F.array().cast("array<double>")
-    df = df.withColumn("_bkt", F.size(F.filter(edge_col, lambda e: e < F.col("_ord"))))
-    if partition_cols:
-        df = df.drop("_edges")
-    totals = df.groupBy(*parts, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*parts, "_bkt", *[
-        F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    df = df.join(offsets, [*parts, "_bkt"])
-    inside = Window.partitionBy(*parts, "_bkt").orderBy("_ord").rangeBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({f"{prefix}{c}": F.col(f"_o_{c}") + F.sum(c).over(inside) for c in sum_cols})
-    drop = ["_ord", "_bkt"] + [f"_o_{c}" for c in sum_cols] + ([] if partition_cols else ["_part"])
-    return out.drop(*drop)
+    o = F.col(order_col)
+    direction = o.desc_nulls_first() if descending else o.asc_nulls_first()
+    n = _ranges(df, buckets)
+    offsets = {}
+    bucket: list[str] = []
+    if n > 1:
+        fracs = [i / n for i in range(1, n)]
+        edges = df.groupBy(*parts).agg(F.percentile_approx(order_col, fracs, max(10_000, 20 * n)).alias("_edges"))
+        df = null_safe_join(df, edges, parts)
+        before = (lambda e: e > o) if descending else (lambda e: e < o)
+        df = df.withColumn("_bkt", F.when(o.isNull(), -1).otherwise(F.size(F.filter("_edges", before)))).drop("_edges")
+        bucket = ["_bkt"]
+        totals = df.groupBy(*parts, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+        earlier = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        found = totals.select(*parts, "_bkt", *[
+            F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+        df = null_safe_join(df, found, [*parts, "_bkt"])
+        offsets = {c: F.col(f"_o_{c}") for c in sum_cols}
+    inside = Window.partitionBy(*parts, *bucket).orderBy(direction).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({f"{prefix}{c}": F.sum(c).over(inside) + offsets.get(c, F.lit(0)) for c in sum_cols})
+    return out.drop(*bucket, *[f"_o_{c}" for c in sum_cols], *([] if partition_cols else ["_part"]))
 
 
 def hash_key(key: str | Column, seed: int = 42) -> Column:
@@ -86,30 +87,34 @@ def hash_key(key: str | Column, seed: int = 42) -> Column:
 
 
 def hash_rank(df: DataFrame, key: str, partition_cols: Sequence[str] = (), seed: int = 42,
-              rank_col: str = "rank", with_size: bool = False) -> DataFrame:
-    """Exact 1-based rank by ``(md5(key-seed), key)`` within each partition.
-
-    With ``with_size`` the partition's row count is added as ``<rank_col>_n``."""
+              rank_col: str = "rank", with_size: bool = False, at_most: int | None = None,
+              buckets: int | None = None) -> DataFrame:
+    """Exact 1-based rank by ``(md5(key-seed), key)`` within each partition.  A
+    NULL partition value is a partition; rows with a NULL key come first.
+
+    With ``with_size`` the partition's row count is added as ``<rank_col>_n``.
+    With ``at_most`` only ranks up to it are returned, and hash ranges that lie
+    wholly beyond it are left out before the rows are shuffled."""
     df, parts = _ensure_key(df, partition_cols)
+    n = _ranges(df, buckets)
     df = df.withColumn("_h", hash_key(key, seed))
-    if _proven_small(df):
-        out = df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*parts).orderBy("_h", key)).cast("long"))
-        if with_size:
-            out = out.withColumn(f"{rank_col}_n", F.count(F.lit(1)).over(Window.partitionBy(*parts)).cast("long"))
-        return out.drop("_h", *([] if partition_cols else ["_part"]))
-    df = df.withColumn("_bkt", F.conv(F.substring("_h", 1, HASH_PREFIX_HEX), 16, 10).cast("int"))
+    # the first eight hex digits cut the hash space into n equal ranges
+    share = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.lit(n) / F.lit(float(1 << 32))
+    df = df.withColumn("_bkt", F.coalesce(F.floor(share).cast("int"), F.lit(-1)))
     counts = df.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*parts)
     offsets = counts.select(*parts, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                            F.sum("_n").over(whole).alias("_size"))
-    df = df.join(offsets, [*parts, "_bkt"])
+                            F.sum("_n").over(Window.partitionBy(*parts)).alias("_size"))
+    if at_most is not None:
+        offsets = offsets.where(F.col("_off") < at_most)
+    df = null_safe_join(df, offsets, [*parts, "_bkt"])
     inside = Window.partitionBy(*parts, "_bkt").orderBy("_h", key)
     out = df.withColumn(rank_col, (F.col("_off") + F.row_number().over(inside)).cast("long"))
     if with_size:
         out = out.withColumn(f"{rank_col}_n", F.col("_size").cast("long"))
-    drop = ["_h", "_bkt", "_off", "_size"] + ([] if partition_cols else ["_part"])
-    return out.drop(*drop)
+    if at_most is not None:
+        out = out.where(F.col(rank_col) <= at_most)
+    return out.drop("_h", "_bkt", "_off", "_size", *([] if partition_cols else ["_part"]))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
@@ -132,7 +137,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         vc = materialize(vc)
     cum = running_totals(vc, "_v", ["_w"], partition_cols=parts)
     if partition_cols:
-        cum = cum.join(vc.groupBy(*parts).agg(F.sum("_w").alias("_n")), parts)
+        cum = null_safe_join(cum, vc.groupBy(*parts).agg(F.sum("_w").alias("_n")), parts)
     else:
         cum = cum.withColumn("_n", F.lit(vc.agg(F.sum("_w")).first()[0] or 0))
     res = quantiles_from_cumulative(cum, "_v", "_w", "cum__w", "_n", probs, parts, out)

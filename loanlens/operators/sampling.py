@@ -12,7 +12,7 @@ from loanlens.operators.rank import hash_rank
 
 def sample_n(df: DataFrame, n: int, key: str = "SK_ID_CURR", seed: int = 42) -> DataFrame:
     """``n`` rows (all when fewer), chosen by a seeded hash order of ``key``."""
-    return hash_rank(df, key, seed=seed, rank_col="sample_rank").where(F.col("sample_rank") <= n)
+    return hash_rank(df, key, seed=seed, rank_col="sample_rank", at_most=n)
 
 
 def stratified_split(df: DataFrame, test_fraction: float, label: str = "TARGET",

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.operators.joins import broadcast_if_bounded
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -76,13 +75,10 @@ PREVIOUS_EXPRS = [
 
 def application(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load_tables(spark, sf_dir, ["customer", "nation", "region"])
-    # nation and region are dimension tables: broadcast them only after
-    # checking they are as small as a dimension should be.
-    geo = (broadcast_if_bounded(t["nation"].select("n_nationkey", "n_regionkey"))
-           .join(broadcast_if_bounded(t["region"].select("r_regionkey", "r_name")),
-                 F.col("n_regionkey") == F.col("r_regionkey")))
+    geo = (t["nation"].select("n_nationkey", "n_regionkey")
+           .join(t["region"].select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey")))
     c = t["customer"].select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    df = c.join(broadcast_if_bounded(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    df = c.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
     return df.selectExpr(*APPLICATION_EXPRS)
 
 

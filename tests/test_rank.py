@@ -9,7 +9,7 @@ from loanlens.operators.sampling import sample_n, stratified_kfold, stratified_s
 
 
 def _force_scalable(monkeypatch):
-    monkeypatch.setattr(R, "SMALL_INPUT_BYTES", -1)
+    monkeypatch.setattr(R, "RANGE_ROWS", 50)
 
 
 def test_running_totals_matches_window(spark, monkeypatch):
@@ -73,7 +73,7 @@ from hypothesis import strategies as st
        st.booleans())
 def test_running_totals_property(spark, monkeypatch, rows, descending):
     """Bucketed running totals equal a direct cumulative sum on any input."""
-    monkeypatch.setattr(R, "SMALL_INPUT_BYTES", -1)
+    monkeypatch.setattr(R, "RANGE_ROWS", 50)
     df = spark.createDataFrame(rows, "g int, x int, w int").groupBy("g", "x").agg(F.sum("w").alias("w"))
     got = {(r.g, r.x): r.cum_w for r in R.running_totals(df, "x", ["w"], ["g"], descending=descending, buckets=4).collect()}
     agg = {}
@@ -82,3 +82,29 @@ def test_running_totals_property(spark, monkeypatch, rows, descending):
     for (g, x), v in got.items():
         want = sum(w for (g2, x2), w in agg.items() if g2 == g and ((x2 >= x) if descending else (x2 <= x)))
         assert v == want
+
+
+def test_null_groups_and_keys_keep_their_rows(spark, monkeypatch):
+    rows = [(None if i % 10 == 0 else i, None if i % 7 == 0 else i % 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    for ranges in (10**6, 50):
+        monkeypatch.setattr(R, "RANGE_ROWS", ranges)
+        got = R.hash_rank(df, "k", ["y"], with_size=True).collect()
+        assert len(got) == 1000
+        for y in (None, 0, 1):
+            mine = [r for r in got if r.y == y]
+            assert sorted(r["rank"] for r in mine) == list(range(1, len(mine) + 1)) and {r.rank_n for r in mine} == {len(mine)}
+        assert stratified_split(df, 0.2, "y", "k").count() == stratified_kfold(df, 5, "y", "k").count() == 1000
+        assert sample_n(df, 37, "k").count() == 37
+        sums = R.running_totals(spark.createDataFrame([(None, 1, 1), (None, 2, 1), (3, None, 1), (3, 5, 1)], "g int, x int, w int"),
+                                "x", ["w"], ["g"]).collect()
+        assert sorted((r.g or 0, r.x or 0, r.cum_w) for r in sums) == [(0, 1, 1), (0, 2, 2), (3, 0, 1), (3, 5, 2)]
+
+
+def test_running_totals_keep_large_integers_apart(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANGE_ROWS", 2)
+    big = [2**60 + i for i in range(6)]
+    df = spark.createDataFrame([(x, 1) for x in big], "x long, w int")
+    for down in (False, True):
+        got = {r.x: r.cum_w for r in R.running_totals(df, "x", ["w"], descending=down).collect()}
+        assert got == {x: (6 - i if down else i + 1) for i, x in enumerate(big)}
