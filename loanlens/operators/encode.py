@@ -1,23 +1,19 @@
 """Label encoding of categorical columns.
 
 Codes are 0..n-1 in sorted label order (binary/code-point order) after
-replacing NULL by 'Unknown'.  The fitted state is a small category table
-``(column, label, code)``; it is applied as a literal map expression, so
-encoding needs no join and no shuffle."""
+replacing NULL by 'Unknown'.  The fitted state is a category table
+``(column, label, code)`` with one row per distinct label; it is applied by an
+equi-join on the label, so it may be of any size and the planner broadcasts it
+when it is measured to be small."""
 
 from __future__ import annotations
 
-from itertools import chain
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens import schemas as S
-
-# A categorical column with more labels than this is not a category; fitting
-# refuses it instead of shipping an unbounded dictionary to every task.
-MAX_CATEGORIES = 100_000
+from loanlens.session import materialize
 
 CATEGORY_SCHEMA = T.StructType([
     T.StructField("column", T.StringType(), False),
@@ -26,65 +22,77 @@ CATEGORY_SCHEMA = T.StructType([
 ])
 
 
-def _label(c: str):
-    return F.coalesce(F.col(c).cast("string"), F.lit(S.UNKNOWN_LABEL))
+def _label(c):
+    return F.coalesce(c.cast("string"), F.lit(S.UNKNOWN_LABEL))
+
+
+def _coded(labels: DataFrame) -> DataFrame:
+    """Distinct (column, label) rows with their codes."""
+    order = Window.partitionBy("column").orderBy("label")
+    return labels.select("column", "label", (F.row_number().over(order) - 1).cast("int").alias("code"))
 
 
 class LabelEncoderModel:
-    def __init__(self, categories: dict[str, list[str]]):
-        self.categories = {c: sorted(v) for c, v in categories.items()}
+    """``categories``: a category table, or ``{column: labels}`` for a few known labels."""
+
+    def __init__(self, categories: DataFrame | dict[str, list[str]], columns=None):
+        if isinstance(categories, dict):
+            self._rows = [(c, lab, i) for c, labels in categories.items() for i, lab in enumerate(sorted(labels))]
+            self._table = None
+            self.columns = list(columns or categories)
+        else:
+            self._rows, self._table = None, categories
+            self.columns = list(columns or [r["column"] for r in categories.select("column").distinct().collect()])
+        self._fallbacks: dict[str, int] = {}
 
     # -- persistence (A8) -------------------------------------------------
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(c, lab, i) for c, labels in self.categories.items() for i, lab in enumerate(labels)]
-        return spark.createDataFrame(rows, CATEGORY_SCHEMA)
+        return self._table if self._table is not None else spark.createDataFrame(self._rows, CATEGORY_SCHEMA)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.table(spark).coalesce(1).write.mode("overwrite").parquet(path)
+        self.table(spark).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "LabelEncoderModel":
-        tab = spark.read.parquet(path)
-        rows = tab.limit(MAX_CATEGORIES * 4 + 1).collect()
-        cats: dict[str, list[str]] = {}
-        for r in sorted(rows, key=lambda r: (r["column"], r["code"])):
-            cats.setdefault(r["column"], []).append(r["label"])
-        return cls(cats)
+        return cls(spark.read.parquet(path))
 
     # -- application ------------------------------------------------------
-    def code_expr(self, column: str, unseen: str = "null"):
-        """Code of ``column``.  ``unseen='fallback'``: an unseen label maps to
-        'Unknown' when that label was fitted, else to the first label (code 0);
-        an unfitted column maps to 0."""
-        return self.code_expr_for(column, F.col(column), unseen)
-
-    def code_expr_for(self, fitted_column: str, value, unseen: str = "fallback"):
-        """Code of ``value`` under the labels fitted for ``fitted_column``."""
-        labels = self.categories.get(fitted_column)
-        if not labels:
-            return F.lit(0)
-        m = F.create_map(*chain.from_iterable((F.lit(lab), F.lit(i)) for i, lab in enumerate(labels)))
-        code = m[F.coalesce(value.cast("string"), F.lit(S.UNKNOWN_LABEL))]
-        if unseen == "fallback":
-            fb = labels.index(S.UNKNOWN_LABEL) if S.UNKNOWN_LABEL in labels else 0
-            code = F.coalesce(code, F.lit(fb))
-        return code.cast("int")
+    def fallback(self, spark: SparkSession, column: str) -> int:
+        """Code of an unseen label: that of 'Unknown' when it was fitted, else 0."""
+        if column not in self._fallbacks:
+            row = self.table(spark).where((F.col("column") == column) & (F.col("label") == S.UNKNOWN_LABEL)).first()
+            self._fallbacks[column] = row["code"] if row else 0
+        return self._fallbacks[column]
+
+    def with_codes(self, df: DataFrame, targets: dict[str, tuple[str, str]], unseen: str = "fallback") -> DataFrame:
+        """Add or replace columns ``{out: (fitted column, value column)}`` by codes.
+
+        ``unseen='fallback'``: an unseen label maps to 'Unknown' when that label
+        was fitted, else to the first label (code 0); ``'null'``: to NULL.  A
+        column that was not fitted maps to 0."""
+        spark = df.sparkSession
+        for out, (fitted, value) in targets.items():
+            if fitted not in self.columns:
+                df = df.withColumn(out, F.lit(0))
+                continue
+            codes = (self.table(spark).where(F.col("column") == fitted)
+                     .select(F.col("label").alias("_label"), F.col("code").alias("_code")))
+            df = df.withColumn("_value", _label(F.col(value)))
+            df = df.join(codes, F.col("_value") == F.col("_label"), "left")
+            code = F.col("_code")
+            if unseen == "fallback":
+                code = F.coalesce(code, F.lit(self.fallback(spark, fitted)))
+            df = df.withColumn(out, code.cast("int")).drop("_value", "_label", "_code")
+        return df
 
     def transform(self, df: DataFrame, unseen: str = "null", columns=None) -> DataFrame:
-        cols = columns or [c for c in self.categories if c in df.columns]
-        return df.withColumns({c: self.code_expr(c, unseen) for c in cols})
+        cols = columns or [c for c in self.columns if c in df.columns]
+        return self.with_codes(df, {c: (c, c) for c in cols}, unseen)
 
 
 def fit_label_encoder(df: DataFrame, columns=tuple(S.CATEGORICAL)) -> LabelEncoderModel:
-    """Distinct labels of each column (one distributed aggregation), collected
-    under a hard bound."""
+    """Distinct labels of each column (one distributed aggregation), coded and
+    materialised as a table; nothing is collected."""
     labelled = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _label(c).alias("label")) for c in columns])).alias("x"))
-    distinct = labelled.select("x.column", "x.label").distinct()
-    rows = distinct.limit(MAX_CATEGORIES * len(columns) + 1).collect()
-    if len(rows) > MAX_CATEGORIES * len(columns):
-        raise ValueError("too many distinct labels for a categorical encoder")
-    cats: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rows:
-        cats[r["column"]].append(r["label"])
-    return LabelEncoderModel(cats)
+        F.struct(F.lit(c).alias("column"), _label(F.col(c)).alias("label")) for c in columns])).alias("x"))
+    return LabelEncoderModel(materialize(_coded(labelled.select("x.column", "x.label").distinct())), columns)

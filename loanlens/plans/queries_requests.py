@@ -137,10 +137,9 @@ def label_encode_unseen(spark, sf):
     """Codes of request labels; unseen -> 'Unknown' if fitted, else the
     first label."""
     enc = fit_label_encoder(derived.application(spark, sf))
-    v = validated(spark, sf)
-    return v.select("request_id", "education_type", "housing_type",
-                    enc.code_expr_for("NAME_EDUCATION_TYPE", F.col("education_type")).alias("education_code"),
-                    enc.code_expr_for("NAME_HOUSING_TYPE", F.col("housing_type")).alias("housing_code"))
+    v = validated(spark, sf).select("request_id", "education_type", "housing_type")
+    return enc.with_codes(v, {"education_code": ("NAME_EDUCATION_TYPE", "education_type"),
+                              "housing_code": ("NAME_HOUSING_TYPE", "housing_type")})
 
 
 _RF_DOUBLES = [c for c in S.FEATURES if c not in S.CATEGORICAL]

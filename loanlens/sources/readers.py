@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens import schemas as S
-from loanlens.functions.exprs import as_col, nan_to_null
+from loanlens.functions.exprs import as_col, nan_to_null, utc_date
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                fmt: str | None = None) -> DataFrame:
-    """Scan CSV (header, declared schema) or Parquet; NaN becomes NULL in doubles."""
+    """Scan CSV (header, declared schema) or Parquet; NaN becomes NULL in doubles.
+
+    CSV columns are found by the names in the header, in any order and among
+    other columns; a declared column that the header lacks is an error, and
+    text that is not of the declared type reads as NULL."""
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
         if schema is None:
             raise ValueError("CSV scans need a declared schema")
-        df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        # all columns as text: without inference this reads the header line only
+        text = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        missing = [f.name for f in schema.fields if f.name not in text.columns]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+        df = text.select(*[F.trim(F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) if f.dataType != T.StringType()
+                           else F.col(f"`{f.name}`") for f in schema.fields])
     else:
         df = spark.read.parquet(path)
         if schema is not None:
@@ -58,7 +68,7 @@ def read_reference(spark: SparkSession, path: str) -> DataFrame | None:
 def append_log(log: DataFrame, path: str) -> None:
     """Append scored rows to the inference log, partitioned by UTC day so the
     "today" and daily queries prune partitions."""
-    (log.withColumn("log_date", F.to_date("timestamp"))
+    (log.withColumn("log_date", utc_date("timestamp"))
         .write.mode("append").partitionBy("log_date").parquet(path))
 
 

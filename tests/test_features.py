@@ -72,23 +72,25 @@ def test_minimal_request_uses_online_defaults(spark):
 def test_label_encoder_codes_and_unseen(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("é",)], "NAME_EDUCATION_TYPE string")
     enc = fit_label_encoder(df, columns=("NAME_EDUCATION_TYPE",))
-    assert enc.categories["NAME_EDUCATION_TYPE"] == sorted(["a", "b", "Unknown", "é"])
+    labels = [r.label for r in enc.table(spark).orderBy("code").collect()]
+    assert labels == sorted(["a", "b", "Unknown", "é"])
     t = spark.createDataFrame([("a",), ("zzz",), (None,)], "NAME_EDUCATION_TYPE string")
     codes = [r[0] for r in enc.transform(t, unseen="fallback").collect()]
-    labels = enc.categories["NAME_EDUCATION_TYPE"]
     assert codes == [labels.index("a"), labels.index("Unknown"), labels.index("Unknown")]
     # without 'Unknown' fitted, an unseen label takes the first label's code
     enc2 = LabelEncoderModel({"NAME_EDUCATION_TYPE": ["x", "y"]})
     assert [r[0] for r in enc2.transform(t, unseen="fallback").collect()] == [0, 0, 0]
     # an unfitted column encodes as 0
-    assert enc2.code_expr("NAME_HOUSING_TYPE") is not None
+    assert enc2.with_codes(t, {"c": ("NAME_HOUSING_TYPE", "NAME_EDUCATION_TYPE")}).select("c").distinct().collect() == [(0,)]
 
 
 def test_encoder_save_load_roundtrip(spark, tmp_path):
-    enc = LabelEncoderModel({"NAME_EDUCATION_TYPE": ["b", "a"], "NAME_HOUSING_TYPE": ["Unknown", "x"]})
+    many = [f"label {i}" for i in range(500)]
+    enc = LabelEncoderModel({"NAME_EDUCATION_TYPE": ["b", "a"], "NAME_HOUSING_TYPE": ["Unknown", "x", *many]})
     enc.save(spark, str(tmp_path / "enc"))
     back = LabelEncoderModel.load(spark, str(tmp_path / "enc"))
-    assert back.categories == enc.categories
+    assert sorted(back.table(spark).collect()) == sorted(enc.table(spark).collect())
+    assert sorted(back.columns) == sorted(enc.columns) and back.fallback(spark, "NAME_HOUSING_TYPE") == 0
 
 
 def test_history_aggregates_and_missing_tables(spark):
@@ -122,6 +124,28 @@ def test_nan_becomes_null_at_the_scan(spark, tmp_path):
     assert read_table(spark, path).first().EXT_SOURCE_1 is None
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    import pytest
+    from loanlens.sources.readers import read_table
+    for schema in (S.APPLICATION_SCHEMA, S.BUREAU_SCHEMA, S.PREVIOUS_SCHEMA):
+        names = [f.name for f in schema.fields]
+        shuffled = ["EXTRA_1", *reversed(names), "EXTRA_2"]
+        value = lambda f, k: f"t{k}" if f.dataType.simpleString() == "string" else str(k + 1)
+        cells = {f.name: value(f, k) for k, f in enumerate(schema.fields)}
+        bad = {f.name: (cells[f.name] if f.dataType.simpleString() == "string" else "n/a") for f in schema.fields}
+        path = tmp_path / f"{names[-1]}.csv"
+        path.write_text("\n".join([",".join(shuffled)] + [",".join(["x", *(row[n] for n in reversed(names)), "y"])
+                                                          for row in (cells, bad)]) + "\n")
+        good, broken = read_table(spark, str(path), schema).collect()
+        for k, f in enumerate(schema.fields):
+            text = f.dataType.simpleString() == "string"
+            assert good[f.name] == (f"t{k}" if text else k + 1)
+            assert broken[f.name] == (f"t{k}" if text else None)
+        path.write_text(",".join(names[1:]) + "\n")
+        with pytest.raises(ValueError, match=names[0]):
+            read_table(spark, str(path), schema)
+
+
 def test_csv_scan_with_declared_schema(spark, tmp_path):
     from loanlens.sources.readers import read_optional, scan_application
     path = tmp_path / "application.csv"
