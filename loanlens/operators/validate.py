@@ -17,11 +17,24 @@ _FIELD_TYPES = {f.name: f.dataType for f in S.REQUEST_SCHEMA.fields}
 
 def conform(df: DataFrame, keep=("request_id",)) -> DataFrame:
     """Keep the known request fields (absent ones as typed NULLs) and the
-    key columns; unknown fields are ignored."""
+    key columns; unknown fields are ignored.  ``bad_types`` lists the fields
+    whose value is not of their type: text that is no number, and fractions or
+    numbers out of range for whole-number fields; these read as NULL."""
     cols = [F.col(k) for k in keep if k in df.columns]
+    bad = []
     for name, dtype in _FIELD_TYPES.items():
-        cols.append((F.col(name) if name in df.columns else F.lit(None)).cast(dtype).alias(name))
-    return df.select(*cols)
+        if name not in df.columns:
+            cols.append(F.lit(None).cast(dtype).alias(name))
+            continue
+        x = F.col(name)
+        value = x.try_cast(dtype)
+        if dtype.simpleString() in ("int", "bigint"):
+            number = x.try_cast("double")
+            value = F.when(number == F.floor(number), number.try_cast(dtype))
+        cols.append(value.alias(name))
+        bad.append(F.when(x.isNotNull() & value.isNull(), F.lit(f"type:{name}")))
+    return df.select(*cols, F.array_compact(F.array(*bad)).alias("bad_types") if bad
+                     else F.array().cast("array<string>").alias("bad_types"))
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -31,11 +44,13 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def violations(df: DataFrame) -> Column:
-    """Array of violated rules: ``missing:<field>`` for an absent required
-    field, ``range:<field>`` for a value outside its bounds (NaN included)."""
+    """Array of violated rules: ``type:<field>`` for a value of another type,
+    ``missing:<field>`` for an absent required field, ``range:<field>`` for a
+    value outside its bounds (NaN included)."""
     checks = []
+    wrong = F.col("bad_types") if "bad_types" in df.columns else F.array().cast("array<string>")
     for f in S.REQUIRED_FIELDS:
-        checks.append(F.when(F.col(f).isNull(), F.lit(f"missing:{f}")))
+        checks.append(F.when(F.col(f).isNull() & ~F.array_contains(wrong, f"type:{f}"), F.lit(f"missing:{f}")))
     for f, (lo, hi) in S.FIELD_RANGES.items():
         x = F.col(f)
         bad = F.lit(False)
@@ -46,13 +61,14 @@ def violations(df: DataFrame) -> Column:
         if hi is not None:
             bad = bad | (x > F.lit(hi))
         checks.append(F.when(x.isNotNull() & bad, F.lit(f"range:{f}")))
-    return F.array_compact(F.array(*checks))
+    return F.concat(wrong, F.array_compact(F.array(*checks)))
 
 
 def validate_requests(df: DataFrame, keep=("request_id",)) -> DataFrame:
     """Conformed requests with defaults, ``violations`` and ``is_valid``."""
     out = with_defaults(conform(df, keep))
-    return out.withColumn("violations", violations(out)).withColumn("is_valid", F.size("violations") == 0)
+    out = out.withColumn("violations", violations(out)).drop("bad_types")
+    return out.withColumn("is_valid", F.size("violations") == 0)
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.operators import ensemble as E
-from loanlens.operators.decision import classify
+from loanlens.operators.decision import classify, prediction_id
 from loanlens.operators.encode import fit_label_encoder
 from loanlens.operators.features import build_features
 from loanlens.sources import derived
@@ -33,8 +33,8 @@ def scored_book(spark: SparkSession, sf_dir: str, ens: E.Ensemble | None = None)
     return E.score(feats, ens or E.fixed_ensemble())
 
 
-def log_id(event_id) -> "F.Column":
-    return F.concat(F.lit("pred_"), F.lpad(event_id.cast("string"), 8, "0"))
+def log_id(event_id: str) -> "F.Column":
+    return prediction_id(event_id)
 
 
 def inference_log(spark: SparkSession, sf_dir: str, with_factors: bool = True, keep=()) -> DataFrame:
@@ -47,7 +47,7 @@ def inference_log(spark: SparkSession, sf_dir: str, with_factors: bool = True, k
     ev = derived.read_parquet(spark, f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type",
                                                                          "value")
     cols = [
-        log_id(F.col("event_id")).alias("id"),
+        log_id("event_id").alias("id"),
         F.col("ts").alias("timestamp"),
         "applicant_age", "income_total", "employment_years", "loan_amount", "loan_annuity",
         "goods_price", F.col("num_children").cast("int").alias("num_children"),

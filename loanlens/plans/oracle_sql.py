@@ -251,7 +251,7 @@ _SC, _GR, _AC = grade_sql("(value / (value + 2e2))")
 
 LOG = f"""
 inference_logs AS (
-  SELECT 'pred_' || lpad(CAST(e.event_id AS VARCHAR), 8, '0') AS id,
+  SELECT 'pred_' || substr(sha256(CAST(e.event_id AS VARCHAR) || '|v1'), 1, 16) AS id,
     e.ts AS timestamp,
     t.applicant_age, t.income_total, t.employment_years, t.loan_amount, t.loan_annuity, t.goods_price,
     CAST(t.num_children AS INTEGER) AS num_children,
@@ -264,7 +264,7 @@ inference_logs AS (
     t.loan_to_income_ratio, t.annuity_to_income_ratio, t.credit_to_goods_ratio,
     e.value / (e.value + 2e2) AS default_probability,
     {_SC} AS credit_score, {_GR} AS risk_grade, {_AC} AS recommended_action,
-    '/static/assets/shap_plots/pred_' || lpad(CAST(e.event_id AS VARCHAR), 8, '0') || '.png' AS shap_plot_path,
+    '/static/assets/shap_plots/pred_' || substr(sha256(CAST(e.event_id AS VARCHAR) || '|v1'), 1, 16) || '.png' AS shap_plot_path,
     e.event_id, e.user_id, e.event_type
   FROM events e LEFT JOIN text_features t ON e.user_id = t.SK_ID_CURR
 )"""

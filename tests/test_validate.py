@@ -42,3 +42,19 @@ def test_boundaries_are_inclusive(spark):
     row = list(FULL)
     row[1], row[3], row[13], row[14] = 18.0, 80.0, 1.0, 0.0
     assert validate_requests(spark.createDataFrame([tuple(row)], SCHEMA)).first().is_valid
+
+
+def test_values_of_another_type_are_quarantined(spark):
+    from loanlens import schemas as S
+    from loanlens.operators.validate import validate_requests
+    ints = [f.name for f in S.REQUEST_SCHEMA.fields if f.dataType.simpleString() == "int"]
+    doubles = [f.name for f in S.REQUEST_SCHEMA.fields if f.dataType.simpleString() == "double"]
+    names = [f.name for f in S.REQUEST_SCHEMA.fields]
+    rows = []
+    for k, (i, d) in enumerate([("abc", "1.5"), ("1.7", "x"), ("1.0", "2"), ("1e99", "1")]):
+        rows.append((k, *[i if n in ints[:1] else d if n in doubles[:1] else None for n in names]))
+    df = spark.createDataFrame(rows, "request_id long, " + ", ".join(f"{n} string" for n in names))
+    got = {r.request_id: r for r in validate_requests(df).collect()}
+    typed = {k: sorted(v for v in r.violations if v.startswith("type:")) for k, r in got.items()}
+    assert typed == {0: [f"type:{ints[0]}"], 1: sorted([f"type:{ints[0]}", f"type:{doubles[0]}"]), 2: [], 3: [f"type:{ints[0]}"]}
+    assert got[2][ints[0]] == 1 and f"missing:{ints[0]}" not in got[0].violations
