@@ -96,6 +96,19 @@ def grade_attribute(p: Column | str, attribute: str) -> Column:
     return _by_grade(p, lambda r: r[idx])
 
 
+def utc_wall(ts: Column | str) -> Column:
+    """The UTC wall clock of a timestamp, as a timestamp that any session zone
+    prints as that clock.  A timestamp without zone is UTC already."""
+    c = as_col(ts)
+    zoned = F.typeof(c) == "timestamp"
+    return F.when(zoned, F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone())).otherwise(c.cast("timestamp"))
+
+
+def utc_date(ts: Column | str) -> Column:
+    """The UTC day of a timestamp, in any session zone."""
+    return F.to_date(utc_wall(ts))
+
+
 def iso_utc(ts: Column | str) -> Column:
-    """ISO-8601 text with a ``Z`` suffix and fixed microsecond width."""
-    return F.date_format(as_col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """ISO-8601 text of the UTC clock with a ``Z`` suffix and fixed microsecond width."""
+    return F.date_format(utc_wall(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

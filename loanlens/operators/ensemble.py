@@ -258,14 +258,14 @@ def magnitude_text(v: Column) -> Column:
     return F.round(F.round(F.abs(v), 9).cast("decimal(20,9)"), 3).cast("decimal(20,3)").cast("string")
 
 
-def top_factors(shap_df: DataFrame, k: int = 6, key: str = "SK_ID_CURR") -> DataFrame:
-    """Per row, the ``k`` largest |SHAP| factors, ties in feature order, as an
-    array of risk-factor structs -- sorted inside the row, no shuffle."""
+def top_factor_array(shap: Column | str, k: int = 6) -> Column:
+    """The ``k`` largest |SHAP| entries of an array of (feature, feature_pos,
+    shap_value), ties in feature order, as risk-factor structs."""
+    shap = F.col(shap) if isinstance(shap, str) else shap
     names = F.create_map(*[x for f, n in S.DISPLAY_NAMES.items() for x in (F.lit(f), F.lit(n))])
     ordered = F.array_sort(F.transform(
-        "shap", lambda s: F.struct(-F.abs(s["shap_value"]).alias("neg_abs"), s["feature_pos"].alias("pos"),
-                                   s["feature"].alias("feature"), s["shap_value"].alias("v"))))
-    top = F.slice(ordered, 1, k)
+        shap, lambda s: F.struct(-F.abs(s["shap_value"]).alias("neg_abs"), s["feature_pos"].alias("pos"),
+                                 s["feature"].alias("feature"), s["shap_value"].alias("v"))))
 
     def factor(s):
         disp = F.coalesce(names[s["feature"]], s["feature"])
@@ -276,5 +276,29 @@ def top_factors(shap_df: DataFrame, k: int = 6, key: str = "SK_ID_CURR") -> Data
                         F.when(inc, F.lit("risk_increase")).otherwise(F.lit("risk_decrease")).alias("direction"),
                         text.alias("description"))
 
-    return shap_df.select(key, F.transform(top, factor).alias("top_risk_factors"),
+    return F.transform(F.slice(ordered, 1, k), factor)
+
+
+def top_factors(shap_df: DataFrame, k: int = 6, key: str = "SK_ID_CURR") -> DataFrame:
+    """Per row, the ``k`` largest |SHAP| factors -- sorted inside the row, no shuffle."""
+    return shap_df.select(key, top_factor_array("shap", k).alias("top_risk_factors"),
                           F.size("shap").alias("total_features_analyzed"))
+
+
+def with_factors(df: DataFrame, ens: Ensemble, k: int = 6, out: str = "top_risk_factors") -> DataFrame:
+    """Add the top factors next to the columns of ``df`` (which holds the model
+    features): TreeSHAP of each Arrow batch, no key and no join, so it also runs
+    on a stream."""
+    feats = list(ens.features)
+    shipped = df.sparkSession.sparkContext.broadcast(_leaf_plan(ens))
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def phi(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(shap_matrix(x[feats].astype("float64").to_numpy(na_value=np.nan), None, shipped.value)))
+
+    names = F.array(*[F.lit(f) for f in feats])
+    values = phi(F.struct(*[F.col(c).cast("double").alias(c) for c in feats]))
+    shap = F.transform(F.col("_phi"), lambda v, i: F.struct(names[i].alias("feature"), i.cast("int").alias("feature_pos"),
+                                                            v.alias("shap_value")))
+    return df.withColumn("_phi", values).withColumn(out, top_factor_array(shap, k)).drop("_phi")

@@ -7,26 +7,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens import schemas as S
-from loanlens.functions.exprs import iso_utc
+from loanlens.functions.exprs import iso_utc, utc_date
 from loanlens.sources.readers import parse_risk_factors
 
 MAX_PAGE_LIMIT = 100
 
 
 def ts_literal(value: str, like: DataFrame, col: str = "timestamp") -> Column:
-    """A timestamp literal of the same flavour (TIMESTAMP / TIMESTAMP_NTZ) as ``col``."""
-    kind = dict(like.dtypes)[col]
-    return F.lit(value).cast("timestamp_ntz" if kind == "timestamp_ntz" else "timestamp")
+    """A literal of a UTC time in the flavour (TIMESTAMP / TIMESTAMP_NTZ) of ``col``, in any session zone."""
+    if dict(like.dtypes)[col] == "timestamp_ntz":
+        return F.lit(value).cast("timestamp_ntz")
+    zoned = value if value.endswith("Z") or "+" in value else f"{value}Z"
+    return F.lit(zoned).cast("timestamp")
 
 
 def system_stats(log: DataFrame, as_of: str) -> DataFrame:
     """Totals, today's count (since midnight UTC of ``as_of``), mean probability,
     per-grade counts and the health rule -- a single global aggregate."""
-    midnight = F.date_trunc("day", ts_literal(as_of, log))
-    midnight = midnight.cast(dict(log.dtypes)["timestamp"])
+    today = utc_date(ts_literal(as_of, log))
     agg = log.agg(
         F.count("id").alias("total_predictions"),
-        F.count_if(F.col("timestamp") >= midnight).alias("today_predictions"),
+        F.count_if(utc_date("timestamp") >= today).alias("today_predictions"),
         F.coalesce(F.avg("default_probability"), F.lit(0.0)).alias("avg_default_probability"),
         *[F.count_if(F.col("risk_grade") == g).alias(f"risk_{g.lower()}") for g in S.GRADES],
     )
@@ -95,7 +96,7 @@ def history_info(log: DataFrame, page: int, limit: int, risk_grade: str | None =
 
 def daily_grade_counts(log: DataFrame) -> DataFrame:
     """Per UTC day and grade: count and mean probability (batch twin of the stream)."""
-    return (log.groupBy(F.to_date("timestamp").alias("day"), "risk_grade")
+    return (log.groupBy(utc_date("timestamp").alias("day"), "risk_grade")
                .agg(F.count(F.lit(1)).alias("n"), F.avg("default_probability").alias("avg_probability")))
 
 

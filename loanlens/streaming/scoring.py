@@ -17,6 +17,8 @@ from loanlens import schemas as S
 from loanlens.operators import ensemble as E
 from loanlens.operators.decision import classify, prediction_id
 from loanlens.operators.features import request_features
+from loanlens.sources.readers import risk_factors_json
+from loanlens.functions.exprs import utc_date
 from loanlens.operators.validate import split_valid, validate_requests
 
 REQUEST_STREAM_SCHEMA = T.StructType(
@@ -49,15 +51,27 @@ def _stream_scored(requests: DataFrame, ens, encoder, model_version):
         from loanlens.operators.model import predict_proba
         scored = predict_proba(ens, feats)    # a fitted PipelineModel, scored in the JVM
     scored = classify(scored, prob_col="probability")
-    log = scored.select(
-        prediction_id("request_id", model_version=model_version).alias("id"),
+    explained = explain(scored, ens)
+    pid = prediction_id("request_id", model_version=model_version)
+    log = explained.select(
+        pid.alias("id"),
         F.col("received_at").cast("timestamp").alias("timestamp"),
         *[F.col(f"_raw_{c}").alias(c) for c in S.REQUEST_FIELDS],
         "loan_to_income_ratio", "annuity_to_income_ratio", "credit_to_goods_ratio",
-        F.col("probability").alias("default_probability"), "credit_score", "risk_grade", "recommended_action")
+        F.col("probability").alias("default_probability"), "credit_score", "risk_grade", "recommended_action",
+        "top_risk_factors_json", F.concat(F.lit("/static/assets/shap_plots/"), pid, F.lit(".png")).alias("shap_plot_path"))
     return log, quarantine
 
 
+def explain(scored: DataFrame, ens) -> DataFrame:
+    """Add ``top_risk_factors_json``: the TreeSHAP factors of every row, worked
+    out row by row next to its features.  A fitted model without a leaf table
+    (``model.to_ensemble``) leaves the text NULL."""
+    if not isinstance(ens, E.Ensemble):
+        return scored.withColumn("top_risk_factors_json", F.lit(None).cast("string"))
+    return E.with_factors(scored, ens).withColumn("top_risk_factors_json", risk_factors_json("top_risk_factors")).drop("top_risk_factors")
+
+
 def dedupe_predictions(log: DataFrame, watermark: str = LOG_WATERMARK) -> DataFrame:
     """M2: one row per prediction id within the watermark (replays of the same
     request produce the same id, see ``prediction_id``)."""
@@ -81,7 +95,7 @@ def start_scoring(spark: SparkSession, source_dir: str, log_dir: str, quarantine
     log, quarantine = _stream_scored(requests, ens, encoder, model_version)
     if dedupe:
         log = dedupe_predictions(log)
-    log = log.withColumn("log_date", F.to_date("timestamp"))
+    log = log.withColumn("log_date", utc_date("timestamp"))
 
     def sink(df, path, name, partition=None):
         w = (df.writeStream.format("parquet").option("path", path)
@@ -103,4 +117,4 @@ def daily_grade_counts_stream(log: DataFrame, watermark: str = LOG_WATERMARK) ->
     return (log.withColumn("timestamp", ts).withWatermark("timestamp", watermark)
                .groupBy(F.window("timestamp", "1 day").alias("w"), "risk_grade")
                .agg(F.count(F.lit(1)).alias("n"), F.avg("default_probability").alias("avg_probability"))
-               .select(F.to_date(F.col("w.start")).alias("day"), "risk_grade", "n", "avg_probability"))
+               .select(utc_date("w.start").alias("day"), "risk_grade", "n", "avg_probability"))

@@ -47,3 +47,23 @@ def test_prediction_id_is_deterministic(spark):
     a = df.select(prediction_id("k").alias("id")).collect()
     b = df.select(prediction_id("k").alias("id")).collect()
     assert a == b and all(r.id.startswith("pred_") and len(r.id) == 21 for r in a)
+
+
+def test_utc_in_another_session_zone(spark):
+    from pyspark.sql import functions as F
+    from loanlens.functions.exprs import iso_utc, utc_date
+    from loanlens.operators.monitoring import daily_grade_counts, system_stats
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("select 'a' as id, 'Good' as risk_grade, 0.5D as default_probability, timestamp'2024-03-05 02:00:00Z' as timestamp,"
+                       " timestamp_ntz'2024-03-05 02:00:00' as ntz")
+        r = df.select(iso_utc("timestamp").alias("a"), iso_utc("ntz").alias("b"), utc_date("timestamp").cast("string").alias("c"),
+                      utc_date("ntz").cast("string").alias("d")).first()
+        assert r.a == r.b == "2024-03-05T02:00:00.000000Z" and r.c == r.d == "2024-03-05"
+        for log in (df.drop("ntz"), df.drop("timestamp").withColumnRenamed("ntz", "timestamp")):
+            assert system_stats(log, "2024-03-05 23:00:00").first().today_predictions == 1
+            assert system_stats(log, "2024-03-06 00:30:00").first().today_predictions == 0
+            assert str(daily_grade_counts(log).first().day) == "2024-03-05"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -33,6 +33,15 @@ def test_stream_equals_batch(spark, tmp_path):
     batch_log, batch_q = score_requests_frame(req, ens, enc)
     cols = ["id", "default_probability", "credit_score", "risk_grade"]
     assert sorted(log.select(*cols).collect()) == sorted(batch_log.select(*cols).collect())
+    # the streamed log has all columns of the batch log, factors included, and its reports run on it
+    from loanlens.operators.monitoring import history_page, system_stats
+    batch = book.inference_log(spark, SF, with_factors=False)
+    assert set(log.columns) - {"log_date"} == set(batch.columns)
+    assert len(batch.columns) == 27
+    page = history_page(log, 1, 5).collect()
+    assert len(page) == 5 and all(len(r.top_risk_factors) == 6 for r in page)
+    assert system_stats(log, "2024-01-31 12:00:00").first().total_predictions == log.count()
+    assert sorted(log.select("id", "top_risk_factors_json").collect()) == sorted(batch_log.select("id", "top_risk_factors_json").collect())
     assert quarantine.count() == batch_q.count()
     assert log.count() + quarantine.count() == req.count()
     # a restart with the same checkpoint adds nothing (exactly-once sink)
