@@ -92,35 +92,26 @@ def fixed_ensemble() -> Ensemble:
 # ---------------------------------------------------------------------------
 # Scoring (G6): margin as a CASE expression per tree -- no join, no shuffle.
 # ---------------------------------------------------------------------------
-def _cond(feature: str, lo: float, hi: float, null_ok: bool) -> Column:
-    x = F.col(feature).cast("double")
-    c = F.lit(True)
-    if lo != -INF:
-        c = c & (x > F.lit(lo))
-    if hi != INF:
-        c = c & (x <= F.lit(hi))
-    return F.when(x.isNull(), F.lit(bool(null_ok))).otherwise(c)
+def _condition(feature: str, lo: float, hi: float, null_ok: bool) -> str:
+    x = f"CAST(`{feature}` AS DOUBLE)"
+    tests = ([f"{x} > {float(lo)!r}D"] if lo != -INF else []) + ([f"{x} <= {float(hi)!r}D"] if hi != INF else [])
+    return f"(CASE WHEN `{feature}` IS NULL THEN {str(bool(null_ok)).upper()} ELSE {' AND '.join(tests) or 'TRUE'} END)"
 
 
-def path_condition(leaf: Leaf) -> Column:
-    cond = F.lit(True)
-    for feat, lo, hi, null_ok, _ in leaf.path:
-        cond = cond & _cond(feat, lo, hi, null_ok)
-    return cond
+def path_condition(leaf: Leaf) -> str:
+    """SQL text: whether a row falls into the leaf."""
+    return " AND ".join(_condition(feat, lo, hi, null_ok) for feat, lo, hi, null_ok, _ in leaf.path) or "TRUE"
 
 
 def margin_expr(ens: Ensemble) -> Column:
-    total = F.lit(float(ens.intercept))
+    """Intercept plus one CASE per tree, handed to Spark as one SQL text: building
+    it costs no call per leaf."""
     by_tree: dict[int, list] = {}
     for lf in ens.leaves:
         by_tree.setdefault(lf.tree, []).append(lf)
-    for leaves in by_tree.values():
-        expr = None
-        for lf in leaves:
-            c = path_condition(lf)
-            expr = F.when(c, F.lit(lf.value)) if expr is None else expr.when(c, F.lit(lf.value))
-        total = total + expr.otherwise(F.lit(0.0))
-    return total
+    trees = ["CASE " + " ".join(f"WHEN {path_condition(lf)} THEN {float(lf.value)!r}D" for lf in leaves) + " ELSE 0.0D END"
+             for leaves in by_tree.values()]
+    return F.expr(" + ".join([f"{float(ens.intercept)!r}D", *trees]))
 
 
 def probability_from_margin(m: Column) -> Column:

@@ -55,34 +55,66 @@ DEFAULT_PARAMS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRa
                   "featureSubsetStrategy": "all", "minInstancesPerNode": 1, "minInfoGain": 0.0}
 
 
-def gbt_pipeline(params: dict | None = None, early_stopping: bool = True, seed: int = 42,
-                 features=tuple(S.FEATURES)) -> Pipeline:
+def gbt_pipeline(params: dict | None = None, seed: int = 42, features=tuple(S.FEATURES)) -> Pipeline:
     p = dict(DEFAULT_PARAMS)
     p.update(params or {})
     gbt = GBTClassifier(featuresCol=FEATURES_VEC, labelCol=LABEL, weightCol=WEIGHT, seed=seed, maxBins=64,
                         **{k: v for k, v in p.items()})
-    if early_stopping:
-        gbt.setValidationIndicatorCol(VALIDATION)
-        gbt._set(validationTol=0.001)
     assembler = VectorAssembler(inputCols=list(features), outputCol=FEATURES_VEC, handleInvalid="keep")
     return Pipeline(stages=[assembler, gbt])
 
 
+def kept_trees(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(number of trees with the least validation loss, whether ``patience``
+    trees after it brought nothing better)."""
+    best = min(range(len(losses)), key=lambda i: (losses[i], i))
+    for i in range(len(losses)):
+        seen = min(range(i + 1), key=lambda k: (losses[k], k))
+        if i - seen >= patience:
+            return seen + 1, True
+    return best + 1, False
+
+
+def fit_with_patience(train_rows: DataFrame, valid_rows: DataFrame, params: dict, patience: int, seed: int = 42):
+    """(model, validation loss after each tree grown).  Trees are grown in blocks of
+    twice the patience until no tree of the last ``patience`` ones lowered the
+    validation loss or ``maxIter`` is reached; the model keeps the best count.
+    Boosting is sequential and seeded, so a refit with fewer trees has the same first ones."""
+    most = int(params.get("maxIter", DEFAULT_PARAMS["maxIter"]))
+    n = min(most, 2 * patience)
+    while True:
+        model = gbt_pipeline({**params, "maxIter": n}, seed).fit(train_rows)
+        losses = list(model.stages[-1].evaluateEachIteration(model.stages[0].transform(valid_rows)))
+        keep, stopped = kept_trees(losses, patience)
+        if stopped or n >= most:
+            break
+        n = min(most, 2 * n)
+    if keep < len(losses):
+        model = gbt_pipeline({**params, "maxIter": keep}, seed).fit(train_rows)
+    return model, losses
+
+
 def train(df: DataFrame, params: dict | None = None, early_stopping: bool = True, seed: int = 42,
-          materialize: bool = True) -> PipelineModel:
-    """Fit on ``df`` (features + TARGET [+ is_validation]).
+          materialize: bool = True, patience: int = 30) -> PipelineModel:
+    """Fit on ``df`` (features + TARGET [+ is_validation]); with early
+    stopping, on the rows outside the validation split, keeping the number of
+    trees that ``patience`` selects (see ``fit_with_patience``).
     ``materialize=False`` when ``df`` is already a checkpoint or a table."""
     data = prepare(df)
     if early_stopping and VALIDATION not in data.columns:
         early_stopping = False
     if early_stopping:
-        data = data.withColumn(VALIDATION, F.col(VALIDATION).cast("boolean"))
+        data = data.withColumn(VALIDATION, F.coalesce(F.col(VALIDATION).cast("boolean"), F.lit(False)))
     # Boosting passes over the rows once per tree level and re-plans the input
     # for every pass: materialise the training set once (reliable checkpoint
     # in the shared checkpoint folder) so each pass reads it back with a
     # one-node plan instead of re-analysing and recomputing the lineage.
     data, _ = with_class_weight(materialize_df(data) if materialize else data)
-    return gbt_pipeline(params, early_stopping, seed).fit(data)
+    if early_stopping:
+        valid = data.where(VALIDATION)
+        if valid.limit(1).count():
+            return fit_with_patience(data.where(~F.col(VALIDATION)), valid, params or {}, patience, seed)[0]
+    return gbt_pipeline(params, seed).fit(data)
 
 
 def predict_proba(model: PipelineModel, df: DataFrame, out: str = "probability") -> DataFrame:
@@ -158,7 +190,7 @@ def random_search(df: DataFrame, n_trials: int, fold_col: str = "fold", parallel
     (trial table, best fitted model on all rows)."""
     data = materialize_df(prepare(df).withColumn(fold_col, F.col(fold_col).cast("int")))
     data, _ = with_class_weight(data)
-    pipe = gbt_pipeline(early_stopping=False, seed=seed)
+    pipe = gbt_pipeline(seed=seed)
     gbt = pipe.getStages()[1]
     trials = sample_params(n_trials, space, seed)
     maps = []

@@ -92,3 +92,36 @@ def test_score_book_record(spark):
         mags = [abs(f.shap_value) for f in r.top_risk_factors]
         assert len(mags) == 6 and mags == sorted(mags, reverse=True)
         assert r.total_features_analyzed == 24
+
+
+def test_kept_trees_follow_the_patience_rule():
+    assert MD.kept_trees([5, 4, 3, 4, 5, 2], 2) == (3, True)
+    assert MD.kept_trees([5, 4, 3, 4, 2, 3], 3) == (5, False)
+    assert MD.kept_trees([3, 3, 3], 5) == (1, False)
+
+
+def test_early_stopping_keeps_the_best_count(spark):
+    feats, _ = book.book_features(spark, SF)
+    data = MD.prepare(stratified_split(feats, 0.2)).cache()
+    weighted, _ = MD.with_class_weight(data)
+    fit, valid = weighted.where("not is_validation"), weighted.where("is_validation")
+    model, losses = MD.fit_with_patience(fit, valid, {"maxIter": 12, "maxDepth": 3}, patience=3)
+    kept, _ = MD.kept_trees(losses, 3)
+    assert model.stages[-1].getNumTrees == kept >= 1
+    again = MD.train(data, {"maxIter": 12, "maxDepth": 3}, patience=3)
+    assert again.stages[-1].getNumTrees == kept
+    data.unpersist()
+
+
+def test_many_leaves_are_scored_and_explained(spark):
+    import time
+    spec = lambda d, k: ("leaf", (k % 13 - 6) / 100, 10.0) if d == 0 else (
+        "split", "EXT_SOURCE_1" if d % 2 else "applicant_age", (k % 7) / 10 + d, True, 20.0, spec(d - 1, 2 * k), spec(d - 1, 2 * k + 1))
+    leaves = [x for t in range(100) for x in E.leaves_from_tree(t, spec(5, t))]
+    ens = E.Ensemble(0.1, leaves)
+    feats, _ = book.book_features(spark, "/root/testdata/sf0.001")
+    began = time.time()
+    scored = E.score(MD.prepare(feats), ens).select("SK_ID_CURR", "margin")
+    assert time.time() - began < 20  # no call per leaf
+    err = E.tree_shap(MD.prepare(feats), ens).join(scored, "SK_ID_CURR").agg(F.max(F.abs(F.col("margin_check") - F.col("margin")))).first()[0]
+    assert err < 1e-9
