@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,7 +17,6 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,14 +143,23 @@ def load(path: str) -> PipelineModel:
 # ---------------------------------------------------------------------------
 @dataclass
 class SearchSpace:
-    # Tuned ranges (uniform, log-uniform, stepped integers).
-    max_iter: tuple = (50, 300, 50)
+    # Tuned ranges, as (low, high, step) of whole numbers or (low, high).
+    max_iter: tuple = (200, 3000, 50)
     max_depth: tuple = (3, 10, 1)
-    step_size: tuple = (0.01, 0.3)          # log-uniform
-    subsampling_rate: tuple = (0.6, 1.0)
-    feature_subset: tuple = ("all", "0.6", "0.8", "sqrt")
-    min_instances: tuple = (1, 10, 1)
-    min_info_gain: tuple = (0.0, 0.5)
+    step_size: tuple = (0.01, 0.2)          # log-uniform
+    subsampling_rate: tuple = (0.3, 1.0)
+    feature_share: tuple = (0.3, 1.0)
+    min_instances: tuple = (1, 20, 1)
+    min_info_gain: tuple = (1e-3, 10.0)     # log-uniform
+
+
+# Size of a full search, and the least patience of early stopping in it.
+SEARCH_TRIALS, SEARCH_FOLDS, LEAST_PATIENCE = 50, 5, 30
+
+
+def search_patience(step_size: float) -> int:
+    """Trees to wait for a better validation loss: more for a smaller learning rate."""
+    return max(LEAST_PATIENCE, int(1.5 / step_size))
 
 
 def sample_params(n_trials: int, space: SearchSpace | None = None, seed: int = 42) -> list[dict]:
@@ -160,22 +169,20 @@ def sample_params(n_trials: int, space: SearchSpace | None = None, seed: int = 4
     def stepped(lo, hi, step):
         return lo + step * rng.randrange((hi - lo) // step + 1)
 
-    out = []
-    for _ in range(n_trials):
-        out.append({
-            "maxIter": stepped(*sp.max_iter),
-            "maxDepth": stepped(*sp.max_depth),
-            "stepSize": math.exp(rng.uniform(math.log(sp.step_size[0]), math.log(sp.step_size[1]))),
-            "subsamplingRate": rng.uniform(*sp.subsampling_rate),
-            "featureSubsetStrategy": rng.choice(sp.feature_subset),
-            "minInstancesPerNode": stepped(*sp.min_instances),
-            "minInfoGain": rng.uniform(*sp.min_info_gain),
-        })
-    return out
+    def log_uniform(lo, hi):
+        return math.exp(rng.uniform(math.log(lo), math.log(hi)))
+
+    return [{"maxIter": stepped(*sp.max_iter), "maxDepth": stepped(*sp.max_depth), "stepSize": log_uniform(*sp.step_size),
+             "subsamplingRate": rng.uniform(*sp.subsampling_rate),
+             "featureSubsetStrategy": f"{rng.uniform(*sp.feature_share):.4f}",
+             "minInstancesPerNode": stepped(*sp.min_instances), "minInfoGain": log_uniform(*sp.min_info_gain)}
+            for _ in range(n_trials)]
 
 
 TRIAL_SCHEMA = T.StructType([
     T.StructField("trial", T.IntegerType()), T.StructField("mean_auc", T.DoubleType()),
+    T.StructField("mean_train_loss", T.DoubleType()), T.StructField("mean_valid_loss", T.DoubleType()),
+    T.StructField("fold_auc", T.ArrayType(T.DoubleType())), T.StructField("fold_trees", T.ArrayType(T.IntegerType())),
     T.StructField("maxIter", T.IntegerType()), T.StructField("maxDepth", T.IntegerType()),
     T.StructField("stepSize", T.DoubleType()), T.StructField("subsamplingRate", T.DoubleType()),
     T.StructField("featureSubsetStrategy", T.StringType()), T.StructField("minInstancesPerNode", T.IntegerType()),
@@ -183,31 +190,40 @@ TRIAL_SCHEMA = T.StructType([
 ])
 
 
-def random_search(df: DataFrame, n_trials: int, fold_col: str = "fold", parallelism: int = 2,
-                  space: SearchSpace | None = None, seed: int = 42):
+def fold_result(data: DataFrame, fold: int, params: dict, fold_col: str = "fold", patience: int | None = None,
+                seed: int = 42) -> tuple[float, float, float, int]:
+    """(AUC, training loss, validation loss, trees kept) of one fold, fitted with
+    early stopping on the fold's own rows."""
+    rows, held = data.where(F.col(fold_col) != fold), data.where(F.col(fold_col) == fold)
+    model, losses = fit_with_patience(rows, held, params, patience or search_patience(params["stepSize"]), seed)
+    assembler, gbt = model.stages
+    ev = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+    trees = gbt.getNumTrees
+    return (ev.evaluate(model.transform(held)), gbt.evaluateEachIteration(assembler.transform(rows))[-1], losses[trees - 1], trees)
+
+
+def random_search(df: DataFrame, n_trials: int = SEARCH_TRIALS, fold_col: str = "fold", parallelism: int = 2,
+                  space: SearchSpace | None = None, seed: int = 42, patience: int | None = None):
     """Cross-validated random search; ``df`` carries features, TARGET and a
     stratified ``fold`` column (``sampling.stratified_kfold``).  Returns
-    (trial table, best fitted model on all rows)."""
+    (trial table, model of the best trial fitted on all rows with the mean
+    number of trees that its folds kept)."""
     data = materialize_df(prepare(df).withColumn(fold_col, F.col(fold_col).cast("int")))
     data, _ = with_class_weight(data)
-    pipe = gbt_pipeline(seed=seed)
-    gbt = pipe.getStages()[1]
+    folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
     trials = sample_params(n_trials, space, seed)
-    maps = []
-    for t in trials:
-        b = ParamGridBuilder()
-        for k, v in t.items():
-            b = b.baseOn({gbt.getParam(k): v})
-        maps.append(b.build()[0])
-    ev = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
-    cv_model = cv.fit(data)
-    rows = [(i, float(m), int(t["maxIter"]), int(t["maxDepth"]), float(t["stepSize"]), float(t["subsamplingRate"]),
-             t["featureSubsetStrategy"], int(t["minInstancesPerNode"]), float(t["minInfoGain"]))
-            for i, (t, m) in enumerate(zip(trials, cv_model.avgMetrics))]
-    table = df.sparkSession.createDataFrame(rows, TRIAL_SCHEMA)
-    return table, cv_model.bestModel
+    with ThreadPoolExecutor(parallelism) as pool:
+        jobs = [[pool.submit(fold_result, data, f, t, fold_col, patience, seed) for f in folds] for t in trials]
+        results = [[j.result() for j in js] for js in jobs]
+    rows = []
+    for i, (t, rs) in enumerate(zip(trials, results)):
+        auc, train_loss, valid_loss, trees = zip(*rs)
+        rows.append((i, sum(auc) / len(auc), sum(train_loss) / len(auc), sum(valid_loss) / len(auc), list(auc), list(trees),
+                     *(t[f.name] for f in TRIAL_SCHEMA.fields[6:])))
+    best = max(rows, key=lambda r: (r[1], -r[0]))
+    kept = max(1, round(sum(best[5]) / len(best[5])))
+    model = gbt_pipeline({**trials[best[0]], "maxIter": kept}, seed).fit(data)
+    return df.sparkSession.createDataFrame(rows, TRIAL_SCHEMA), model
 
 
 def best_trial(trials: DataFrame) -> DataFrame:

@@ -58,9 +58,13 @@ def test_random_search_and_best_trial(spark):
     feats, _ = book.book_features(spark, "/root/testdata/sf0.001")
     folds = stratified_kfold(feats, 3)
     space = MD.SearchSpace(max_iter=(3, 6, 3), max_depth=(2, 3, 1))
-    trials, best = MD.random_search(folds, 2, space=space)
+    trials, best = MD.random_search(folds, 2, space=space, patience=2)
     rows = trials.collect()
     assert len(rows) == 2 and all(0 <= r.mean_auc <= 1 for r in rows)
+    for r in rows:
+        assert len(r.fold_auc) == len(r.fold_trees) == 3 and r.mean_train_loss > 0 and r.mean_valid_loss > 0
+        assert abs(r.mean_auc - sum(r.fold_auc) / 3) < 1e-12 and all(1 <= n <= r.maxIter for n in r.fold_trees)
+    assert MD.search_patience(0.2) == 30 and MD.search_patience(0.01) == 150
     b = MD.best_trial(trials).first()
     assert b.mean_auc == max(r.mean_auc for r in rows)
     assert MD.sample_params(3, space, seed=1) == MD.sample_params(3, space, seed=1)
