@@ -96,6 +96,15 @@ def grade_attribute(p: Column | str, attribute: str) -> Column:
     return _by_grade(p, lambda r: r[idx])
 
 
+def action_label(action: Column | str) -> Column:
+    """Display label of a recommended action; an unknown one stays as it is, NULL stays NULL."""
+    a = as_col(action)
+    expr = a
+    for code, label in S.ACTION_LABELS.items():
+        expr = F.when(a == code, F.lit(label)).otherwise(expr)
+    return expr
+
+
 def utc_wall(ts: Column | str) -> Column:
     """The UTC wall clock of a timestamp, as a timestamp that any session zone
     prints as that clock.  A timestamp without zone is UTC already."""

@@ -256,3 +256,33 @@ def missing_reference_summary(current_rows: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("n_drifted_features"),
         F.lit(0.0).alias("predicted_default_rate_reference"), F.lit(0.0).alias("predicted_default_rate_current"),
         F.lit("ERROR").alias("target_status"), F.lit(S.DRIFT_RECOMMENDATIONS["no_reference"]).alias("recommendation"))
+
+
+FEATURE_ENTRY = ["feature", "test", "statistic", "p_value", "psi", "psi_band", "is_drifted", "status", "alert"]
+
+
+def drift_report(reference: DataFrame | None, current: DataFrame, run_at: str, encoder=None) -> DataFrame:
+    """The full report record -- the summary row with ``features`` (one entry
+    per compared column, in order), ``run_at`` and ``error``.
+
+    Without a reference sample, or when the computation fails, the record has
+    the status ERROR, no features and, for a failure, its message."""
+    entry = "array<struct<feature_pos:int,feature:string,test:string,statistic:double,p_value:double,psi:double," \
+            "psi_band:string,is_drifted:boolean,status:string,alert:string>>"
+
+    def record(summary: DataFrame, error: str | None) -> DataFrame:
+        return summary.withColumns({"run_at": F.lit(run_at).cast("timestamp"), "error": F.lit(error).cast("string")})
+
+    if reference is None:
+        return record(missing_reference_summary(current).withColumn("features", F.array().cast(entry)), None)
+    try:
+        feats = materialize(drift_features(reference, current, encoder))  # one row per column
+        summary = drift_summary(feats, current)
+        listed = feats.agg(F.sort_array(F.collect_list(F.struct("feature_pos", *FEATURE_ENTRY))).cast(entry).alias("features"))
+        both = summary.withColumn("_k", F.lit(0)).join(listed.withColumn("_k", F.lit(0)), "_k").drop("_k")  # one row each
+        return record(both, None)
+    except Exception as e:  # noqa: BLE001 - the report itself says what failed
+        failed = missing_reference_summary(current).withColumns({
+            "recommendation": F.lit(S.DRIFT_RECOMMENDATIONS.get("error", "Drift computation failed.")),
+            "features": F.array().cast(entry)})
+        return record(failed, f"{type(e).__name__}: {str(e)[:500]}")

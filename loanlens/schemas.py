@@ -251,3 +251,12 @@ RISK_FACTOR_TYPE = T.ArrayType(T.StructType([
     T.StructField("direction", T.StringType()),
     T.StructField("description", T.StringType()),
 ]))
+
+
+# Label of each recommended action as the user interface shows it.
+ACTION_LABELS = {
+    "AUTO_APPROVE": "PHÊ DUYỆT TỰ ĐỘNG",
+    "APPROVE_WITH_CONDITIONS": "DUYỆT CÓ ĐIỀU KIỆN",
+    "MANUAL_REVIEW": "THẨM ĐỊNH THỦ CÔNG",
+    "REJECT": "TỪ CHỐI CHO VAY",
+}

@@ -67,3 +67,12 @@ def test_utc_in_another_session_zone(spark):
             assert str(daily_grade_counts(log).first().day) == "2024-03-05"
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_action_labels(spark):
+    from loanlens import schemas as S
+    from loanlens.functions.exprs import action_label
+    rows = [(a,) for a in [*S.ACTION_LABELS, "OTHER", None]]
+    got = spark.createDataFrame(rows, "a string").select("a", action_label("a").alias("l")).collect()
+    assert [r.l for r in got] == [*S.ACTION_LABELS.values(), "OTHER", None]
+    assert set(S.ACTION_LABELS) == {row[2] for row in S.GRADE_TABLE}

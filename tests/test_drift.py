@@ -81,3 +81,20 @@ def test_chi2_p_value_table():
     ks = spark.createDataFrame([(1.3581,)], "lam double").select(
         ks_p_value(F.col("lam") / F.lit(10.0), F.lit(200), F.lit(200)).alias("p")).first().p
     assert 0 < ks < 1
+
+
+def test_drift_report_record(spark):
+    from loanlens.operators import drift as D
+    from loanlens.plans.queries_drift import drift_inputs
+    ref, cur, enc = drift_inputs(spark, "/root/testdata/sf0.001")
+    r = D.drift_report(ref, cur, "2024-02-01 00:00:00", enc).first()
+    assert r.report_status == "OK" and r.error is None and str(r.run_at) == "2024-02-01 00:00:00"
+    assert [f.feature for f in r.features] == D.common_columns(ref, cur)
+    assert sum(f.is_drifted for f in r.features) == r.n_drifted_features
+    none = D.drift_report(None, cur, "2024-02-01 00:00:00").first()
+    assert none.report_status == "ERROR" and none.features == [] and none.total_predictions_since_deploy == cur.count()
+    # a reference whose numbers are not numbers: the failure is the report
+    from pyspark.sql import functions as F
+    broken = ref.withColumn("applicant_age", F.lit("not a number"))
+    failed = D.drift_report(broken, cur, "2024-02-01 00:00:00", enc).first()
+    assert failed.report_status == "ERROR" and failed.error and failed.features == []
