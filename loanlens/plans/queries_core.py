@@ -11,6 +11,7 @@ from loanlens.operators.encode import fit_label_encoder
 from loanlens.operators.features import application_features, bureau_features, previous_features
 from loanlens.plans import book
 from loanlens.plans import oracle_sql as O
+from loanlens.session import materialize
 from loanlens.plans.catalog import query
 from loanlens.sources import derived
 
@@ -139,7 +140,7 @@ FROM (SELECT count(id) AS total_predictions,
 FROM inference_logs) s""", doubles=["avg_default_probability"])
 def monitoring_stats(spark, sf):
     """System stats with health and alerts."""
-    st = M.system_stats(book.inference_log(spark, sf, with_factors=False), AS_OF)
+    st = M.system_stats(book.scored_events(spark, sf), AS_OF)
     return st.withColumn("active_alerts", F.array_join("active_alerts", ","))
 
 
@@ -148,7 +149,7 @@ FROM (VALUES ('Excellent'), ('Good'), ('Fair'), ('Poor')) g(risk_grade)
 LEFT JOIN inference_logs l ON l.risk_grade = g.risk_grade GROUP BY g.risk_grade""")
 def risk_distribution(spark, sf):
     """count per grade, absent grades as 0."""
-    return M.risk_distribution(book.inference_log(spark, sf, with_factors=False))
+    return M.risk_distribution(book.scored_events(spark, sf))
 
 
 _NFAC = ("CASE WHEN event_type = 'error' "
@@ -165,9 +166,7 @@ ORDER BY timestamp DESC, id LIMIT {LIMIT} OFFSET {(PAGE - 1) * LIMIT}""",
        doubles=["applicant_age", "income_total", "loan_amount", "default_probability"])
 def history_page(spark, sf):
     """One page of the history, newest first."""
-    plain = book.inference_log(spark, sf, with_factors=False, keep=("user_id", "event_type"))
-    rows = M.page_rows(plain.drop("top_risk_factors_json"), PAGE, LIMIT, PAGE_GRADE)
-    page = M.project_page(book.attach_factor_json(spark, sf, rows))
+    page = M.project_page(book.inference_log(spark, sf, pick=lambda ev: materialize(M.page_rows(ev, PAGE, LIMIT, PAGE_GRADE))))
     return page.withColumn("n_top_risk_factors", F.size("top_risk_factors")).drop("top_risk_factors")
 
 
@@ -177,7 +176,7 @@ def history_page(spark, sf):
 FROM inference_logs""")
 def history_page_info(spark, sf):
     """L2, H5: filtered and unfiltered totals and page count."""
-    return M.history_info(book.inference_log(spark, sf, with_factors=False), PAGE, LIMIT, PAGE_GRADE)
+    return M.history_info(book.scored_events(spark, sf), PAGE, LIMIT, PAGE_GRADE)
 
 
 @query("parse_risk_factors", O.shap_ctes(O.DISPLAY, O.TOP_FACTORS, O.TEXT_FEATURES, O.LOG) + f"""
@@ -201,7 +200,7 @@ def parse_risk_factors(spark, sf):
 FROM inference_logs GROUP BY 1, 2""", doubles=["avg_probability"])
 def daily_grade_counts(spark, sf):
     """M3 (batch twin): count and mean probability per day and grade."""
-    return M.daily_grade_counts(book.inference_log(spark, sf, with_factors=False))
+    return M.daily_grade_counts(book.scored_events(spark, sf))
 
 
 @query("grade_book", O.scored_ctes() + f"""SELECT risk_grade, recommended_action, count(*) AS applicants,
