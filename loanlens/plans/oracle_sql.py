@@ -31,20 +31,19 @@ application AS (
 
 BUREAU = """
 bureau AS (
-  SELECT o_custkey AS SK_ID_CURR,
+  SELECT CASE WHEN o_custkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS SK_ID_CURR,
     CASE l_returnflag WHEN 'A' THEN 'Active' WHEN 'R' THEN 'Closed' ELSE 'Sold' END AS CREDIT_ACTIVE,
     CAST(CASE WHEN l_linestatus = 'F' AND l_discount > 8e-2 THEN CAST(l_quantity AS INTEGER) ELSE 0 END AS INTEGER) AS CREDIT_DAY_OVERDUE,
     CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS AMT_CREDIT_SUM,
     CASE WHEN l_tax < 5e-3 THEN NULL ELSE l_extendedprice*l_discount*1e1 END AS AMT_CREDIT_SUM_DEBT
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE o_custkey % 7 <> 0
 )"""
 
 PREVIOUS = """
 previous_application AS (
-  SELECT o_orderkey AS SK_ID_PREV, o_custkey AS SK_ID_CURR,
+  SELECT o_orderkey AS SK_ID_PREV, CASE WHEN o_custkey % 9 = 0 THEN -o_custkey ELSE o_custkey END AS SK_ID_CURR,
     CASE o_orderstatus WHEN 'F' THEN 'Approved' WHEN 'O' THEN 'Refused' ELSE 'Canceled' END AS NAME_CONTRACT_STATUS
-  FROM orders WHERE o_custkey % 9 <> 0
+  FROM orders
 )"""
 
 
