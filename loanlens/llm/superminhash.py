@@ -75,7 +75,7 @@ def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(value: np.ndarray, size: np.ndarray, m: int) -> np.ndarray:
-    """SuperMinHash signatures (texts, m) of ragged sets; a value holds its step in the top byte.  m <= 256."""
+    """SuperMinHash signatures (texts, m) of ragged sets; a value holds its step in the top 12 bits.  m <= 4096."""
     n = len(size)
     sig = np.full((n, m), ~U(0))
     flat = sig.reshape(-1)
@@ -90,16 +90,16 @@ def signatures(value: np.ndarray, size: np.ndarray, m: int) -> np.ndarray:
             place, first = k, k
         else:
             if perm is None:  # only elements that go past step 0 need their permutation
-                perm = np.broadcast_to(np.arange(m, dtype=np.uint8), (len(value), m)).copy()
+                perm = np.broadcast_to(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(value), m)).copy()
                 row = np.arange(len(value))
                 perm[row, 0], perm[row, first] = first, 0
             row = np.arange(len(value))
             place = perm[row, k].astype(np.int64)
             perm[row, k] = perm[row, j]
-        np.minimum.at(flat, doc * m + place, U(j) << U(56) | r >> U(8))
+        np.minimum.at(flat, doc * m + place, U(j) << U(52) | r >> U(12))
         open_ = np.zeros(n, bool)
         live = np.unique(doc)
-        open_[live] = sig[live].max(1) >> U(56) > U(j)
+        open_[live] = sig[live].max(1) >> U(52) > U(j)
         keep = open_[doc]
         if not keep.all():
             value, doc, first = value[keep], doc[keep], first[keep]
@@ -117,3 +117,9 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     for i in range(rows):
         key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, places[:, i]])
     return key
+
+
+def nibbles(sig: np.ndarray) -> np.ndarray:
+    """The low four bits of each place of each signature, sixteen to a number."""
+    low = (sig & U(15)).reshape(len(sig), -1, 16) << (U(4) * np.arange(16, dtype=U))
+    return np.bitwise_or.reduce(low, axis=2)

@@ -69,7 +69,7 @@ def sequential(values, m):
             r = int(S.mix(np.array([v], np.uint64) + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))[0])
             k = j + ((r & 0xFFFFFFFF) * (m - j) >> 32)
             p[j], p[k] = p[k], p[j]
-            sig[p[j]] = min(sig[p[j]], j << 56 | r >> 8)
+            sig[p[j]] = min(sig[p[j]], j << 52 | r >> 12)
     return sig
 
 
@@ -82,6 +82,21 @@ def test_signatures_equal_one_by_one():
         assert sig[i].tolist() == sequential(part.tolist(), 32)
 
 
+def test_nibbles_agree_where_places_do():
+    rng = np.random.default_rng(4)
+    size = np.array([150, 150, 3])
+    value = rng.integers(0, 1 << 63, size.sum()).astype(np.uint64)
+    value[150:290] = value[:140]
+    sig = S.signatures(value, size, 1024)
+    assert (sig < 1 << 63).all() and len(np.unique(sig[2] >> np.uint64(52))) > 1
+    low = S.nibbles(sig)
+    for a in range(3):
+        for b in range(3):
+            x = low[a] ^ low[b]
+            bits = sum(bin(int((v | v >> 1 | v >> 2 | v >> 3) & 0x1111111111111111)).count("1") for v in map(int, x))
+            assert 1024 - bits == int((sig[a] & np.uint64(15) == sig[b] & np.uint64(15)).sum())
+
+
 def test_likeness_estimate_has_low_variance():
     rng = np.random.default_rng(5)
     errors = []
