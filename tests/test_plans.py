@@ -1,9 +1,10 @@
-"""Plan properties of every registered query: no row-at-a-time Python,
+"""Plan properties of every registered library query: no row-at-a-time Python,
 Python only where TreeSHAP runs, pruned scans, pushed filters."""
 
 import pytest
 
 import __spark_entry__ as entry
+from loanlens.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TRAINING = {"score_book", "tree_shap_model", "model_search", "best_trial"}
@@ -15,7 +16,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - TRAINING))
+@pytest.mark.parametrize("name", sorted(set(registry.all_queries()) - TRAINING))
 def test_no_row_at_a_time_python(spark, name):
     plan = _plan(entry.queries()[name](spark, SF))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
