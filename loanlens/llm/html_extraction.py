@@ -2,9 +2,10 @@
 
 Tokens (tags in their path, texts in their path) that occur equally often on every page of a host have the same
 occurrence vector and form an equivalence class; classes that most pages of the host have are its template:
-their tokens are markup and boilerplate, and what lies between them are slots.  A vector is never collected: its
-fingerprint is the exclusive or of one hash per (page, count), which Spark aggregates in part on every task, so a
-host with a third of all pages costs one row per token and task.
+their tokens are markup and boilerplate, and what lies between them are slots.  Pages of a host whose articles have
+the same texts are one page to the vectors, so copies do not vote their article into the template, and a repeated
+row changes nothing.  A vector is never collected: its fingerprint is the exclusive or of one hash per (article,
+count), which Spark aggregates in part on every task, so a hot host costs one row per token and task.
 
 On a page a class counts if its tokens come in the class's order, once or several times over, and if it nests:
 each repetition lies in one slot of the classes taken before it, or holds them in its own.  Slots outside menus,
@@ -21,8 +22,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loanlens.llm import html_tokens as H
 from loanlens.llm.common import Scratch, python_stage, table
 
-PAGE = 0  # key of the page itself: how many pages a host has
-LEAST_PAGES = 8  # of a host, from which on repeated texts count as its boilerplate
+TAG, OTHER, TEXT = 0, 1, 2  # kinds of tokens: tags, texts that are not of the article, texts that may be
+LEAST_PAGES = 8  # of a host, with articles of their own, from which on repeated texts count as its boilerplate
+ARTICLE_CHARS = 500  # a class of as many characters that makes up most of its pages' text is an article with copies
+
+
+_TOKENS = pa.list_(pa.struct([("key", pa.int64()), *((x, pa.int32()) for x in ("n", "place", "kind", "chars"))]))
+_PATHS = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int32())]))
 
 
 def host_of(url: Column) -> Column:
@@ -35,26 +41,33 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _vectors(host: str, page: str, html: str, into: dict) -> None:
-    """Add one page to the partial table (host, key) -> [vector, pages, places, kind, chars]."""
+def _said(found: list[H.Token]) -> list[int]:
+    """Places of the texts of a page's article: those in an article element, or else all running texts."""
+    shown = [i for i, t in enumerate(found) if t.text.strip() and not t.junk]
+    return ([i for i in shown if found[i].main] or [i for i in shown if not found[i].link] or shown)
+
+
+def _page(html: str) -> tuple:
+    """One page: hash of its article's texts in order, hash of the page, its distinct tokens (key, times, first place,
+    kind, characters), characters of the article, and its paths with their running text."""
     found = H.tokens(html)
-    count, first, path_chars = Counter(), {}, Counter()
+    said = _said(found)
+    texts = [" ".join(found[i].text.split()) for i in said]
+    inside, count, first, path_chars = set(said), Counter(), {}, Counter()
     for i, t in enumerate(found):
         if t.key:
             count[t.key] += 1
-            first.setdefault(t.key, (i, bool(t.text)))
+            kind = (TEXT if i in inside else OTHER) if t.text else TAG
+            place, known = first.get(t.key, (i, kind))
+            first[t.key] = place, max(known, kind)
         if t.text and not t.junk and not t.link:
             path_chars[t.path] += len(t.text.strip())
-    salt = xxhash.xxh3_64_intdigest(page)
-    for key, n in count.items():
-        place, is_text = first[key]
-        row = into[host, key, "text" if is_text else "tag", ""]
-        row[0] ^= xxhash.xxh3_64_intdigest(f"{salt}|{n}")
-        row[1] += 1
-        row[2] += place
-    into[host, PAGE, "page", ""][1] += 1
-    for path, chars in path_chars.items():
-        into[host, xxhash.xxh3_64_intdigest(path), "path", path][2] += chars
+    chars = Counter()
+    for i, x in zip(said, texts):
+        chars[found[i].key] += len(x)
+    tokens = [(_signed(k), n, *first[k], chars[k]) for k, n in count.items()]
+    return (_signed(xxhash.xxh3_64_intdigest("\0".join(texts))), _signed(xxhash.xxh3_64_intdigest(html)), tokens,
+            sum(map(len, texts)), list(path_chars.items()))
 
 
 def _ordered(places: list[tuple[int, int]], size: int) -> bool:
@@ -111,8 +124,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html gives an empty text.  Pages of a host learn from each other; a host with a single page, or a
     null or broken url (host ""), has what its pages show.  Texts count as boilerplate of a host only from
-    ``LEAST_PAGES`` pages on, when at least half of them have the text.  Repeated rows are pages like others;
-    null ids stay null; an empty table gives an empty result; other columns are not read.  Whole pages are
+    ``LEAST_PAGES`` pages of different articles on, when at least half of them have the text.  Copies of an article
+    count once; a class of ``ARTICLE_CHARS`` characters a page and three quarters of its pages' text is no boilerplate
+    (near copies).  Each row has its own result; null ids stay null; an empty table gives an empty result; other columns are not read.  Whole pages are
     read, whatever their length.
 
     Classes of a host are bounded by the tokens that half of its pages share, not by its pages; pages meet
@@ -125,35 +139,36 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def learn(batches):
         for b in batches:
-            into: dict = defaultdict(lambda: [0, 0, 0])
-            for i, u, host, h in zip(*(b.column(c).to_pylist() for c in ("id", "url", "host", "html"))):
-                _vectors(host, f"{i}|{u}", h, into)
-            keys, values = list(into), list(into.values())
+            pages = [_page(h) for h in b.column("html").to_pylist()]
+            cols = list(zip(*pages)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([_signed(k[1]) for k in keys], pa.int64()),
-                 pa.array([k[2] for k in keys]), pa.array([k[3] for k in keys]),
-                 pa.array([_signed(v[0]) for v in values], pa.int64()),
-                 *(pa.array([v[j] for v in values], pa.int64()) for j in (1, 2))],
-                ["host", "key", "kind", "path", "vec", "pages", "places"])
-
-    part = rows.mapInArrow(learn, "host string, key long, kind string, path string, vec long, pages long, places long")
-    seen = scratch.write(part.groupBy("host", "key", "kind", "path").agg(
-        F.bit_xor("vec").alias("vec"), F.sum("pages").alias("pages"), F.sum("places").alias("places")), "tokens")
-    hosts = seen.where("kind = 'page'").select("host", F.col("pages").alias("n"))
-    common = (seen.where("kind in ('tag', 'text') and pages > 1").join(hosts, "host").where("2 * pages >= n")
-              .select("host", "key", "vec", "pages", "n", (F.col("kind") == "text").alias("is_text"),
-                      (F.col("places") / F.col("pages")).alias("place")))
+                [b.column("host"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], _TOKENS),
+                 pa.array(cols[3], pa.int64()), pa.array(cols[4], _PATHS)], ["host", "content", "page", "tokens", "around", "paths"])
+
+    part = rows.select("host", "html").mapInArrow(learn, (
+        "host string, content long, page long, tokens array<struct<key: long, n: int, place: int, kind: int, chars: int>>, "
+        "around long, paths array<struct<path: string, chars: int>>"))
+    # copies of an article speak once: by the page of the smallest hash
+    distinct = scratch.write(part.groupBy("host", "content").agg(F.min(F.struct("page", "tokens", "around", "paths")).alias("p"))
+                             .select("host", "content", "p.tokens", "p.around", "p.paths"), "contents")
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    seen = (distinct.select("host", "content", "around", F.inline("tokens")).groupBy("host", "key").agg(
+        F.bit_xor(F.xxhash64("content", "n")).alias("vec"), F.count(F.lit(1)).alias("pages"), F.max("kind").alias("kind"),
+        F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("around").alias("around")))
+    common = seen.where("pages > 1").join(hosts, "host").where("2 * pages >= n")
     classes = (common.groupBy("host", "vec").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("t"),
-                                                 F.max("pages").alias("pages"), F.max("n").alias("n"),
-                                                 F.collect_list(F.when(F.col("is_text"), F.col("key"))).alias("texts"))
+                                                 F.max("pages").alias("pages"), F.max("n").alias("n"), F.sum("chars").alias("chars"),
+                                                 F.max("around").alias("around"),
+                                                 F.collect_list(F.when(F.col("kind") == TEXT, F.col("key"))).alias("texts"))
+               .withColumn("copied", (4 * F.col("chars") > 3 * F.col("around")) & (F.col("chars") >= ARTICLE_CHARS * F.col("pages")))
                .groupBy("host").agg(
                    # classes of more pages and tokens first: the outer ones
                    F.sort_array(F.collect_list(F.struct("pages", F.size("t").alias("size"), "vec", F.col("t.key").alias("keys"))),
                                 asc=False).alias("c"),
-                   F.flatten(F.collect_list(F.when(F.col("n") >= LEAST_PAGES, F.col("texts")))).alias("texts"))
+                   F.flatten(F.collect_list(F.when((F.col("n") >= LEAST_PAGES) & ~F.col("copied"), F.col("texts")))).alias("texts"))
                .select("host", F.col("c.keys").alias("classes"), "texts"))
-    main = (seen.where("kind = 'path'").groupBy("host").agg(F.max(F.struct("places", "path")).alias("m"))
-            .select("host", F.col("m.path").alias("main_path")))
+    main = (distinct.select("host", F.inline("paths")).groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+            .groupBy("host").agg(F.max(F.struct("chars", "path")).alias("m")).select("host", F.col("m.path").alias("main_path")))
     known = scratch.write(hosts.join(classes, "host", "left").join(main, "host", "left").drop("n"), "templates")
 
     met = rows.join(known, "host", "left")
@@ -161,8 +176,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def cut(batches):
         for b in batches:
             out, made = [], {}
-            for h, host, classes, texts, path in zip(*(b.column(c).to_pylist() for c in ("html", "host", "classes", "texts", "main_path"))):
+            for i, (h, host) in enumerate(zip(b.column("html").to_pylist(), b.column("host").to_pylist())):
                 if host not in made:
+                    classes, texts, path = (b.column(c)[i].as_py() for c in ("classes", "texts", "main_path"))
                     made[host] = ([[k % (1 << 64) for k in c] for c in classes or []], {k % (1 << 64) for k in texts or []}, path)
                 out.append(main_text(h, *made[host]))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(out, pa.string()),

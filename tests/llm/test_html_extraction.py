@@ -64,6 +64,18 @@ def test_boilerplate_of_a_host_is_learnt(spark):
     assert all(got[100 + i] == "Subscribe today copy" for i in range(3))  # too few pages to tell
 
 
+def test_copies_do_not_make_their_article_the_template(spark):
+    story = "<p>A long story</p><p>that many pages carry</p>"
+    rows = [(i, "http://c.example/%d" % i, page(f"<article><p>Subscribe today</p>{story}</article>", k=i)) for i in range(30)]
+    rows += [(100 + i, "http://c.example/o%d" % i, page(f"<article><p>Subscribe today</p><p>own text {i}</p></article>")) for i in range(9)]
+    long = "".join(f"<p>{x} {'word ' * 40}</p>" for x in "abcdef")  # near copies: one more paragraph that differs
+    rows += [(200 + i, "http://d.example/%d" % i, page(f"<article>{long}<p>changed {i}</p></article>")) for i in range(20)]
+    got = {r[0]: r[2] for r in run(spark, rows)}
+    assert all(got[i] == "A long story that many pages carry" for i in range(30))
+    assert all(got[100 + i] == f"own text {i}" for i in range(9))
+    assert all(got[200 + i].startswith("a word") and got[200 + i].endswith(f"word changed {i}") for i in range(20))
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, page("<article>x</article>")), (2, "not a url", None), (3, "http://h/", ""), (None, "http://h/", "<p>y"),
             (4, "http://[bad", "<p>z"), (5, "http://u:p@H.example:80/q", "<article><p>" + "long " * 50_000), (5, "http://h/", "<p>y")]
