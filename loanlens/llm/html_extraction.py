@@ -9,11 +9,14 @@ count), which Spark aggregates in part on every task, so a hot host costs one ro
 
 On a page a class counts if its tokens come in the class's order, once or several times over, and if it nests:
 each repetition lies in one slot of the classes taken before it, or holds them in its own.  Slots outside menus,
-headers, footers, sidebars, notices, adverts, forms and comments that lie in the article are the text."""
+headers, footers, sidebars, notices, adverts, forms and comments (told by tag names and words in class, id and role)
+are the text: those in an article or main element, or, on a page that marks none, all that are not mostly links."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -27,6 +30,7 @@ LEAST_PAGES = 8  # of a host, with articles of their own, from which on repeated
 ARTICLE_CHARS = 500  # a class of as many characters that makes up most of its pages' text is an article with copies
 
 
+HEADING = re.compile(r"/h[1-6](\.[^/]*)?$")
 _TOKENS = pa.list_(pa.struct([("key", pa.int64()), *((x, pa.int32()) for x in ("n", "place", "kind", "chars"))]))
 _PATHS = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int32())]))
 
@@ -99,23 +103,40 @@ def template_tokens(found: list[H.Token], classes: list[list[int]]) -> set[int]:
     return edges
 
 
+def running_slots(found: list[H.Token], template: set[int]) -> set[int]:
+    """Places of the texts in slots that are no boilerplate.  A slot is what one container holds between two others;
+    one that is more links than text is left out, but headings that are links count if running text follows them."""
+    kept, heads = set(), set()
+    for path, run in groupby(enumerate(found), key=lambda x: x[1].path):
+        at = [i for i, t in run if t.text.strip() and not t.junk and i not in template]
+        linked = sum(len(found[i].text.strip()) for i in at if found[i].link)
+        if 2 * linked <= sum(len(found[i].text.strip()) for i in at):
+            kept.update(at)
+        elif HEADING.search(path):
+            heads.update(at)
+    last = max(kept, default=-1)
+    return kept | {i for i in heads if i < last}
+
+
 def main_text(html: str, classes: list[list[int]], texts: set[int], main_path: str | None) -> str:
     """The article of one page, given its host's classes, which of their keys are texts, and the path that holds
-    most running text on the host (used for pages that mark no article)."""
+    most running text on the host.  Pages that mark no article have the texts of all their slots that are not
+    boilerplate, and link lists only in the container of that path (or the page's fullest)."""
     found = H.tokens(html)
     if not any(t.text and not t.junk for t in found):
         return ""
     template = {i for i in template_tokens(found, classes) if found[i].key in texts}
     if any(t.main and not t.junk and t.text.strip() for t in found):
-        inside = lambda t: t.main
+        inside = lambda i, t: t.main
     else:
         here = Counter()
         for t in found:
             if t.text and not t.junk and not t.link:
                 here[t.path] += len(t.text.strip())
         path = main_path if main_path in here else max(here, key=lambda p: (here[p], p), default="")
-        inside = lambda t: t.path == path or t.path.startswith(path + "/")
-    kept = [None if t.junk or not inside(t) or i in template else t for i, t in enumerate(found)]
+        slots = running_slots(found, template)
+        inside = lambda i, t: not t.text.strip() or i in slots or t.path == path or t.path.startswith(path + "/")
+    kept = [None if t.junk or not inside(i, t) or i in template else t for i, t in enumerate(found)]
     return H.blocks(kept)
 
 

@@ -40,6 +40,14 @@ def test_page_without_article_takes_the_fullest_container():
                    "<div><a href=1>link one two three four five six seven eight nine</a></div></body>") == "the running text of it more"
 
 
+def test_page_without_article_keeps_every_running_slot():
+    body = "<p>the running text of the page</p><p>see<br><a href=1>this long long long link</a></p>"
+    assert text_of(page(f"<div class=top><h1><a href=/x>Head line</a></h1><p>a lead</p><div class=body>{body}</div></div>"
+                        "<blockquote>a quote</blockquote><ul><li>one <a href=2>x</a><li>two</ul><div class=rest>the end</div>"
+                        "<div><a href=3>elsewhere</a> | <a href=4>more of it</a></div><h3><a href=5>Next story</a></h3>")) == (
+        "Head line a lead the running text of the page see this long long long link a quote one x two the end")
+
+
 def test_template_tokens_in_order_and_nested():
     found = H.tokens("<body><div>A</div><ul><li>x</li><li>y</li></ul><div>B</div></body>")
     at = {t.text or t.key: t.key for t in found}
