@@ -1,7 +1,8 @@
 """HTML extraction by equivalence classes of tokens.
 
 Tokens (tags in their path, texts in their path) that occur equally often on every page of a host have the same
-occurrence vector and form an equivalence class; classes that most pages of the host have are its template:
+occurrence vector and form an equivalence class; classes that most pages of the host have are its template, and so
+are texts of fewer pages (a layout) if exactly these pages also have tags of their own:
 their tokens are markup and boilerplate, and what lies between them are slots.  Pages of a host whose articles have
 the same texts are one page to the vectors, so copies do not vote their article into the template, and a repeated
 row changes nothing.  A vector is never collected: its fingerprint is the exclusive or of one hash per (article,
@@ -26,10 +27,9 @@ from loanlens.llm import html_tokens as H
 from loanlens.llm.common import Scratch, python_stage, table
 
 TAG, OTHER, TEXT = 0, 1, 2  # kinds of tokens: tags, texts that are not of the article, texts that may be
-LEAST_PAGES = 8  # of a host, with articles of their own, from which on repeated texts count as its boilerplate
+LEAST_PAGES = 3  # of a host, with articles of their own, from which on a text of at least half of them is boilerplate
+LAYOUT_PAGES = 4  # with articles of their own, from which on tags that only they have are a layout of the host
 ARTICLE_CHARS = 500  # a class of as many characters that makes up most of its pages' text is an article with copies
-
-
 HEADING = re.compile(r"/h[1-6](\.[^/]*)?$")
 _TOKENS = pa.list_(pa.struct([("key", pa.int64()), *((x, pa.int32()) for x in ("n", "place", "kind", "chars"))]))
 _PATHS = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int32())]))
@@ -145,12 +145,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html gives an empty text.  Pages of a host learn from each other; a host with a single page, or a
     null or broken url (host ""), has what its pages show.  Texts count as boilerplate of a host only from
-    ``LEAST_PAGES`` pages of different articles on, when at least half of them have the text.  Copies of an article
+    ``LEAST_PAGES`` pages of different articles on, when at least half of them have the text, or when it stands on
+    ``LAYOUT_PAGES`` or more and exactly these have tags of their own; a text alone that recurs on fewer than half of
+    the pages is an article's (lines and passages that articles share).  Copies of an article
     count once; a class of ``ARTICLE_CHARS`` characters a page and three quarters of its pages' text is no boilerplate
     (near copies).  Each row has its own result; null ids stay null; an empty table gives an empty result; other columns are not read.  Whole pages are
     read, whatever their length.
 
-    Classes of a host are bounded by the tokens that half of its pages share, not by its pages; pages meet
+    Classes of a host are bounded by what its template and layouts hold, not by its pages; pages meet
     them in a join on the host in which one side has one row per host, so AQE splits a hot host."""
     spark = pages.sparkSession
     python_stage(spark)
@@ -174,19 +176,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                              .select("host", "content", "p.tokens", "p.around", "p.paths"), "contents")
     hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     seen = (distinct.select("host", "content", "around", F.inline("tokens")).groupBy("host", "key").agg(
-        F.bit_xor(F.xxhash64("content", "n")).alias("vec"), F.count(F.lit(1)).alias("pages"), F.max("kind").alias("kind"),
+        F.bit_xor(F.xxhash64("content", "n")).alias("vec"), F.bit_xor(F.xxhash64("content")).alias("on"),
+        F.count(F.lit(1)).alias("pages"), F.max("kind").alias("kind"),
         F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("around").alias("around")))
-    common = seen.where("pages > 1").join(hosts, "host").where("2 * pages >= n")
+    common = (seen.where(F.col("pages") >= LEAST_PAGES).join(hosts, "host").withColumn("most", F.expr("2 * pages >= n"))
+              .where(F.col("most") | (F.col("pages") >= LAYOUT_PAGES)))
+    # a text of fewer pages is a layout's if the same pages have tags that no other page has
+    layouts = (common.where((F.col("kind") == TAG) & ~F.col("most")).select("host", "on").distinct().withColumn("laid", F.lit(True)))
+    common = common.join(layouts, ["host", "on"], "left")
     classes = (common.groupBy("host", "vec").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("t"),
-                                                 F.max("pages").alias("pages"), F.max("n").alias("n"), F.sum("chars").alias("chars"),
-                                                 F.max("around").alias("around"),
-                                                 F.collect_list(F.when(F.col("kind") == TEXT, F.col("key"))).alias("texts"))
+                                                 F.max("pages").alias("pages"), F.sum("chars").alias("chars"), F.max("around").alias("around"),
+                                                 F.max(F.col("most") | F.coalesce("laid", F.lit(False)) & (F.col("kind") == TEXT)).alias("holds"),
+                                                 F.collect_list(F.when(F.col("kind") == TEXT, F.col("key"))).alias("texts")).where("holds")
                .withColumn("copied", (4 * F.col("chars") > 3 * F.col("around")) & (F.col("chars") >= ARTICLE_CHARS * F.col("pages")))
                .groupBy("host").agg(
                    # classes of more pages and tokens first: the outer ones
                    F.sort_array(F.collect_list(F.struct("pages", F.size("t").alias("size"), "vec", F.col("t.key").alias("keys"))),
                                 asc=False).alias("c"),
-                   F.flatten(F.collect_list(F.when((F.col("n") >= LEAST_PAGES) & ~F.col("copied"), F.col("texts")))).alias("texts"))
+                   F.flatten(F.collect_list(F.when(~F.col("copied"), F.col("texts")))).alias("texts"))
                .select("host", F.col("c.keys").alias("classes"), "texts"))
     main = (distinct.select("host", F.inline("paths")).groupBy("host", "path").agg(F.sum("chars").alias("chars"))
             .groupBy("host").agg(F.max(F.struct("chars", "path")).alias("m")).select("host", F.col("m.path").alias("main_path")))

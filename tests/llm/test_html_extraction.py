@@ -84,6 +84,21 @@ def test_copies_do_not_make_their_article_the_template(spark):
     assert all(got[200 + i].startswith("a word") and got[200 + i].endswith(f"word changed {i}") for i in range(20))
 
 
+def test_layouts_of_a_third_small_hosts_and_doubled_rows(spark):
+    def laid(x, i):
+        body = f"<div class=wrap-{x}><div>Terms of {x}</div><div class=text><p>own {x} story {i}</p></div><div>Terms of {x}</div></div>"
+        return page(f"<article>{body}</article>" if i % 2 else body)
+    rows = [(i, "http://l.example/%d" % i, laid("abc"[i % 3], i)) for i in range(60)]
+    rows += [(100 + i, "http://s.example/%d" % i, page(f"<article><p>Subscribe today</p><p>own text {i}</p></article>")) for i in range(4)]
+    # a line that a third of the articles share, without tags of its own, is theirs
+    rows += [(200 + i, "http://q.example/%d" % i, page(f"<article><p>text {i}</p>{'<p>a passage</p>' * (i % 3 == 0)}</article>")) for i in range(30)]
+    got = run(spark, rows + rows)
+    assert len(got) == 2 * len(rows)
+    want = {i: f"own {'abc'[i % 3]} story {i}" for i in range(60)} | {100 + i: f"own text {i}" for i in range(4)}
+    want |= {200 + i: f"text {i}" + " a passage" * (i % 3 == 0) for i in range(30)}
+    assert {r[0]: r[2] for r in got} == want and {r[0]: r[2] for r in run(spark, rows)} == want
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, page("<article>x</article>")), (2, "not a url", None), (3, "http://h/", ""), (None, "http://h/", "<p>y"),
             (4, "http://[bad", "<p>z"), (5, "http://u:p@H.example:80/q", "<article><p>" + "long " * 50_000), (5, "http://h/", "<p>y")]
