@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -10,16 +12,28 @@ from loanlens.llm import superminhash as S
 from loanlens.llm.common import Scratch, python_stage, table, text_groups
 from loanlens.llm.components import components
 
-# 48 bands of 7 of 256 places: a pair at a likeness of 0.8 is missed with a chance of about 1e-5,
-# one at 0.85 with 1e-8; equal sets always meet.
-PLACES, BANDS, ROWS = 256, 48, 7
+# 48 bands of 7 of 256 places at 0.8: a pair at a likeness of 0.8 is missed with a chance of about 1e-5,
+# one at 0.85 with 1e-8; equal sets always meet.  Lower likenesses have shorter bands (``settings``).
+PLACES, BANDS, ROWS, MISSED = 256, 48, 7, 1.3e-5
 # Pairs inside a bucket must also agree in the low four bits of enough of 2,048 places.  At a likeness of 0.8
 # 1,664 agree on average with a deviation of at most 17.7, so 1,576 lets a pair slip with a chance below 1e-6.
-FINE, AGREEING = 2048, 1576
+FINE = 2048
 ELEMENTS = 100_000  # shingles whose signatures are worked out at once
 
 
-def _sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def settings(percent: int) -> tuple[int, int, int]:
+    """(bands, rows, agreeing) for pairs that are ``percent`` alike: the longest bands, up to ROWS, by which such a pair
+    is missed with a chance of MISSED at most, and the mean of agreeing places less five deviations.  Above 80 as at 80."""
+    if not 5 <= percent <= 100:
+        raise ValueError(f"percent must be 5 to 100, not {percent}")  # below, all places together miss too many
+    p = min(percent, 80) / 100
+    rows = max((r for r in range(1, ROWS + 1) if (1 - p ** r) ** BANDS <= MISSED), default=1)
+    bands = max(BANDS, math.ceil(math.log(MISSED) / math.log(1 - p ** rows)))
+    q = p + (1 - p) / 16  # places that differ have the same four bits one time in sixteen
+    return bands, rows, math.ceil(FINE * q - 5 * math.sqrt(FINE * q * (1 - q)))
+
+
+def _sketch(docs: DataFrame, k: int, bands_n: int, rows_n: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, number of distinct shingles, a 128-bit hash of the set, and its band keys."""
     def run(batches):
         for b in batches:
@@ -36,10 +50,10 @@ def _sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 while lo < len(n):
                     hi = max(lo + 1, int(np.searchsorted(at, at[lo] + ELEMENTS, "right")) - 1)
                     sig = S.signatures(value[at[lo]:at[hi]], n[lo:hi], PLACES)
-                    keys.append(S.band_keys(sig, BANDS, ROWS))
+                    keys.append(S.band_keys(sig, bands_n, rows_n))
                     lo = hi
             n, keys = np.concatenate(size), np.concatenate(keys)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32)),
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, bands_n * len(n) + 1, bands_n, dtype=np.int32)),
                                              pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(n.astype(np.int64)), pa.array(np.concatenate(one).view(np.int64)),
@@ -118,9 +132,10 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     are looked at each by its own text, equal rows get equal results; rows with a null id are returned with
     a null component and kept.  An empty table gives an empty result; other columns are not read."""
     spark = docs.sparkSession
+    bands_n, rows_n, agreeing = settings(percent)
     python_stage(spark)
     scratch = Scratch(spark)
-    sketch = scratch.write(_sketch(docs, k, id_col, text_col), "sketch")
+    sketch = scratch.write(_sketch(docs, k, bands_n, rows_n, id_col, text_col), "sketch")
     with_id = sketch.where("n > 0 and id is not null")
     classes = with_id.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     keyed = (sketch.join(classes.withColumnRenamed("rep", "id"), ["id", "n", "s1", "s2"]).dropDuplicates(["id", "n", "s1", "s2"])
@@ -162,7 +177,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     differ = ("aggregate(zip_with(fa, fb, (x, y) -> bit_count(((x ^ y) | shiftrightunsigned(x ^ y, 1) | shiftrightunsigned(x ^ y, 2)"
               " | shiftrightunsigned(x ^ y, 3)) & 1229782938247303441L)), 0, (s, v) -> s + v)")
     pairs = (side("a").join(side("b"), "key")
-             .where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {differ} <= {FINE - AGREEING}")
+             .where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {differ} <= {FINE - agreeing}")
              .select("a", "b").distinct())
     last = scratch.write(_verified(pairs, texts, k, percent), "links")
     comp = components(links.union(last), scratch)

@@ -124,6 +124,21 @@ def test_equals_brute_force(make, k):
     assert run(make(rows), k=k) == brute(rows, k)
 
 
+def test_bands_and_filter_follow_percent(make):
+    assert N.settings(80) == N.settings(95) == (48, 7, 1576)
+    for percent in range(5, 81):
+        bands, rows, agreeing = N.settings(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1.3e-5 and bands * rows <= 336
+        assert agreeing < 2048 * (percent / 100 + (1 - percent / 100) / 16) - 60
+    for percent in (4, 101):
+        with pytest.raises(ValueError):
+            N.settings(percent)
+    # sets of 100 words of which 75 are common: a likeness of 0.6
+    rows = [(2 * i + j, " ".join(f"w{i}x{n}" for n in range(25 * j, 100 + 25 * j))) for i in range(60) for j in (0, 1)]
+    assert all(r[2] == r[0] // 2 * 2 for r in run(make(rows), k=1, percent=60))
+    assert all(r[2] == r[0] for r in run(make(rows), k=1, percent=61))
+
+
 def test_chain_and_large_groups(make):
     rng = random.Random(9)
     base = [f"b{i}" for i in range(200)]
