@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loanlens.llm import (embedding_dedup, fingerprints, html_extraction, license_scan, line_dedup, near_dedup, packing,
-                          sentencepieces, token_counts, toxicity)
+from loanlens.llm import (conversation_repair, conversation_sql, embedding_dedup, fingerprints, html_extraction,
+                          license_scan, line_dedup, near_dedup, packing, sentencepieces, token_counts, toxicity)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8,
     "op9_sentencepieces": sentencepieces.op9,
     "op10_license_scan": license_scan.op10,
+    "op11_conversation_repair": conversation_repair.op11,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
+    "op11_conversation_repair": conversation_sql.OP11_SQL,
 }
