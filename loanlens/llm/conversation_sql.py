@@ -70,3 +70,43 @@ SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, s.c::BIGINT AS cost, s.a AS audit, sha256(s.x) AS repaired_sha256
 FROM best b LEFT JOIN base ON base.conv_id IS NOT DISTINCT FROM b.conv_id
 """
+
+OP13_SQL = f"""
+WITH {CRC32},
+ids AS (
+  SELECT c, c - c % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(code) + 1),
+    lambda p: ord(substr(code, p, 1))::BIGINT)), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1]))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS code FROM conversations WHERE conv_id IS NOT NULL), crc_table
+), numbered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations
+), rebuilt AS (
+  SELECT c, 0 AS own, n, role, text FROM ids JOIN numbered ON conv_id = base AND n <= h
+  UNION ALL
+  SELECT c, 1, n, role, text FROM ids JOIN numbered ON conv_id = c AND n > h
+), placed AS (
+  SELECT c, row_number() OVER w AS d, strlen(text) AS n_bytes,
+    string_agg(sha256(strlen(role) || ':' || role || text), '') OVER w AS path, count(*) OVER (PARTITION BY c) AS len
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY own, n)
+), paths AS (
+  SELECT c, d, n_bytes, path, d = len AS last FROM placed
+  UNION ALL
+  SELECT c, 0, 0, '', c NOT IN (SELECT c FROM placed) FROM ids
+), nodes AS (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+  FROM paths GROUP BY d, path
+), kin AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, p.path AS parent FROM nodes n
+  LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = left(n.path, 64 * (n.d - 1)::INTEGER)
+), children AS (
+  SELECT d - 1 AS d, parent AS path, count(*) AS n_children FROM kin WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT a.d, a.path, sum(x.saved) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM nodes x LEFT JOIN children k USING (d, path) JOIN paths a ON a.c = x.conv_id AND a.d <= x.d GROUP BY a.d, a.path
+)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  ends_sha256
+FROM kin JOIN below USING (d, path) LEFT JOIN children USING (d, path)
+"""

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from loanlens.llm import (conversation_repair, conversation_sql, embedding_dedup, fingerprints, html_extraction,
-                          license_scan, line_dedup, near_dedup, packing, sentencepieces, token_counts, toxicity)
+                          license_scan, line_dedup, near_dedup, packing, prefix_trie, sentencepieces, token_counts,
+                          toxicity)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -17,6 +18,7 @@ QUERIES = {
     "op9_sentencepieces": sentencepieces.op9,
     "op10_license_scan": license_scan.op10,
     "op11_conversation_repair": conversation_repair.op11,
+    "op13_prefix_trie": prefix_trie.op13,
 }
 
 ORACLE_SQL = {
@@ -25,4 +27,5 @@ ORACLE_SQL = {
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
     "op11_conversation_repair": conversation_sql.OP11_SQL,
+    "op13_prefix_trie": conversation_sql.OP13_SQL,
 }
