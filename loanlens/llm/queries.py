@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loanlens.llm import (conversation_repair, conversation_sql, embedding_dedup, fingerprints, html_extraction,
-                          license_scan, line_dedup, near_dedup, packing, prefix_trie, sentencepieces, token_counts,
+                          language_id, license_scan, line_dedup, near_dedup, packing, prefix_trie, sentencepieces, token_counts,
                           toxicity)
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_sentencepieces": sentencepieces.op9,
     "op10_license_scan": license_scan.op10,
     "op11_conversation_repair": conversation_repair.op11,
+    "op12_language_id": language_id.op12,
     "op13_prefix_trie": prefix_trie.op13,
 }
 
