@@ -29,9 +29,11 @@ from loanlens.llm.common import python_stage, table, text_groups
 
 DECAY, POWER, LEAST = 0.8, 3, 0.03  # kernel values under LEAST count as zero
 SHARE = 0.45  # of a landmark's letter pairs, that a word must have for the kernel to be worked out
-LANDMARKS, LONGEST = 64, 32  # landmark words; letters of a word, longer ones are seen in overlapping windows
+LONGEST = 32  # letters of a word; longer ones are seen in overlapping windows
+ALIKE = 0.8  # sum of a clean word's kernels to toxic landmarks from which on it is a landmark too
+CHANCE = 4.6  # a word is a landmark by chance in a hundredth of all training samples, at most
 CHANGED = 0.3  # weight of changed forms of toxic words, as a share of that of the toxic sentences
-MAX_TOXIC, MAX_CLEAN = 2000, 5000  # labelled documents of each class that the classifier is fitted on, at most
+MAX_TOXIC, MAX_CLEAN = 1000, 2500  # labelled documents of each class that the classifier is fitted on, at most
 _END = re.compile(r"[.!?]+\s|\n")
 _SPACED = re.compile(r"(?<!\w)\w(?:[^\w\n]{1,3}\w(?!\w)){2,}")
 
@@ -151,14 +153,33 @@ class WordKernel:
         return tuple(np.concatenate(z) for z in zip(*out))
 
 
-def sentences(text: str, known=None) -> list[set[str]]:
-    """Distinct words of each sentence, lower-cased; letters written apart are joined into one more word.
-    With ``known``, only those words."""
-    out = []
-    for s in _END.split(text.lower()):
-        words = {*s.split(), *(letters(m) for m in _SPACED.findall(s))}
-        if known is not None:
-            words &= known.keys()
+def word_kernel(kernel: WordKernel, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse k of words of any length: their letters, of a very long one its likest window to each landmark."""
+    parts, owner = [], []
+    for i, w in enumerate(words):
+        for p in windows(letters(w)):
+            if len(p) >= 3:
+                parts.append(p)
+                owner.append(i)
+    r, c, v = kernel(parts)
+    if len(owner) == len(set(owner)):
+        return np.array(owner, int)[r], c, v
+    key = np.array(owner, int)[r] * len(kernel.marks) + c
+    order = np.argsort(key, kind="stable")
+    key, v = key[order], v[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    most = np.maximum.reduceat(v, first) if len(key) else v
+    return key[first] // len(kernel.marks), key[first] % len(kernel.marks), most
+
+
+def sentences(text: str) -> list[set[str]]:
+    """Distinct words of each sentence, lower-cased; letters written apart are joined into one more word."""
+    low, out = text.lower(), []
+    apart = _SPACED.search(low) is not None
+    for s in _END.split(low):
+        words = set(s.split())
+        if apart:
+            words.update(letters(m) for m in _SPACED.findall(s))
         if words:
             out.append(words)
     return out
@@ -183,22 +204,11 @@ class Scorer:
         self.cache = Cache(self._learn, 0.0, most)
 
     def _learn(self, words: list[str]) -> list[float]:
-        """g of each word; of a very long word that of its strongest window."""
+        """g of each word."""
         if not self.kernel:
             return [0.0] * len(words)
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for p in windows(letters(w)):
-                if len(p) >= 3:
-                    parts.append(p)
-                    owner.append(i)
-        r, c, v = self.kernel(parts)
-        g = np.bincount(r, v * self.model.beta[c], minlength=len(parts))
-        out = np.zeros(len(words))
-        np.maximum.at(out, np.array(owner, int), g)
-        low = np.zeros(len(words))
-        np.minimum.at(low, np.array(owner, int), g)
-        return np.round(np.where(out > -low, out, low), 4).tolist()
+        r, c, v = word_kernel(self.kernel, words)
+        return np.round(np.bincount(r, v * self.model.beta[c], minlength=len(words)), 4).tolist()
 
     def values(self, texts: list[str]) -> list[float]:
         """Margin of the worst sentence of each text."""
@@ -206,17 +216,17 @@ class Scorer:
         for group in text_groups(texts):
             held = []
             for i in group:
-                low = texts[i].lower()
-                words = list({*low.split(), *(letters(m) for m in _SPACED.findall(low))})
+                parts = sentences(texts[i])
+                words = list(set().union(*parts))
                 g = list(map(value, words))
-                held.append((i, dict(zip(words, g)) if any(g) else {}, self.cache.missed))
+                known = {w: x for w, x in zip(words, g) if x} if any(g) else {}
+                held.append((i, parts if known or self.cache.missed else [], known, self.cache.missed))
                 self.cache.missed = []
-            learnt = {w: g for w, g in self.cache.fill(w for _, _, new in held for w in new).items() if g}
-            for i, known, new in held:
+            learnt = {w: g for w, g in self.cache.fill(w for *_, new in held for w in new).items() if g}
+            for i, parts, known, new in held:
                 known.update((w, learnt[w]) for w in new if w in learnt)
                 if known:
-                    get = known.get
-                    out[i] = self.model.bias + max((sum(map(get, s)) for s in sentences(texts[i], known)), default=0.0)
+                    out[i] = self.model.bias + max(sum(known[w] for w in sorted(s & known.keys())) for s in parts)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -224,20 +234,29 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _landmarks(texts: list[str], toxic: list[int], most: int) -> list[str]:
-    """Words that set toxic training documents apart, none nearly the same as another (kernel over 0.9)."""
-    count = {0: Counter(), 1: Counter()}
+def _landmarks(texts: list[str], toxic: list[int]) -> list[str]:
+    """All words (windows of very long ones) that set toxic training documents apart, but those nearly the same as one
+    taken before (kernel over 0.9), and common clean words that look like them; as many as the bounded training
+    sample has."""
+    count, size, met = {0: Counter(), 1: Counter()}, [0, 0], set()
     for text, t in zip(texts, toxic):
-        count[t].update({letters(w) for s in sentences(text) for w in s})
-    n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    # log-likelihood of the word's toxic documents against the share of clean ones; chance seldom gives 12
-    fit = {w: g for w, n in count[1].items() if 3 <= len(w) <= 16 and n / n1 > 3 * count[0][w] / n0
-           and (g := n * np.log((n / n1) / ((count[0][w] + 0.5) / n0))) >= 12}
+        low = text.lower()
+        words = low.split()
+        found = [*zip(words, ["", *words], [*words[1:], ""]),
+                 *((letters(m.group()), low[max(0, m.start() - 9):m.start()], "") for m in _SPACED.finditer(low))]
+        for place in found:
+            key = hash((t, place))
+            if key not in met:  # a word between the same two words counts once: copies and shared passages do
+                met.add(key)
+                size[t] += 1
+                count[t].update(windows(letters(place[0])))
+    # Chernoff's bound on so many places in toxic documents by chance, given the share of clean ones; all words are tried, so
+    # the bound asked for falls with their number
+    asked = math.log(max(1, len(count[0] | count[1]))) + CHANCE
+    fit = {w: g for w, n in count[1].items() if len(w) >= 3 and n > 3 * (mean := size[1] * (count[0][w] + 0.5) / max(1, size[0]))
+           and (g := n * math.log(n / mean) - (n - mean)) >= asked}
     picked: list[str] = []
-    ranked = sorted(fit, key=lambda w: (-fit[w], w))[:1500]
-    for w in ranked:
-        if len(picked) >= most:
-            break
+    for w in sorted(fit, key=lambda w: (-fit[w], w)):
         if picked:
             others = padded(picked, -2)
             k = subsequence_kernel(padded([w] * len(picked), -1), others)
@@ -246,86 +265,128 @@ def _landmarks(texts: list[str], toxic: list[int], most: int) -> list[str]:
             if (k / np.sqrt(own * self_)).max() ** POWER > 0.9:
                 continue
         picked.append(w)
-    return picked
+    if not picked:
+        return picked
+    # clean words that look like toxic ones, so that the classifier can tell them
+    common = sorted(w for w, n in count[0].items() if n >= 5 and len(w) >= 3 and w not in fit)
+    r, _, v = WordKernel(picked)(common)
+    return picked + [common[i] for i in np.flatnonzero(np.bincount(r, v, len(common)) >= ALIKE).tolist()]
+
+
+class Rows:
+    """Sparse rows (sentences or words x landmarks)."""
+
+    def __init__(self, r: np.ndarray, c: np.ndarray, v: np.ndarray, n: int, width: int):
+        order = np.argsort(r, kind="stable")
+        self.r, self.c, self.v, self.n, self.width = r[order], c[order], v[order].astype(np.float64), n, width
+
+    def times(self, beta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.r, self.v * beta[self.c], self.n)
+
+    def gram(self, scale: np.ndarray) -> np.ndarray:
+        """Sum over rows of scale x (row, 1) (row, 1)^T, from dense rows of those with a scale, some megabytes at a time."""
+        out, step = np.zeros((self.width + 1, self.width + 1)), max(1, 4_000_000 // (self.width + 1))
+        rows = np.flatnonzero(scale > 0)
+        place = np.full(self.n, -1)
+        place[rows] = np.arange(len(rows))
+        r = place[self.r]
+        r, c, v = r[r >= 0], self.c[r >= 0], self.v[r >= 0]
+        for lo in range(0, len(rows), step):
+            a, b = np.searchsorted(r, (lo, lo + step))
+            dense = np.zeros((min(step, len(rows) - lo), self.width + 1), np.float32)
+            dense[r[a:b] - lo, c[a:b]] = v[a:b]
+            dense[:, -1] = 1
+            dense *= np.sqrt(scale[rows[lo:lo + step], None]).astype(np.float32)
+            out += dense.T @ dense
+        return out
+
+    def pull(self, weight: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.c, self.v * weight[self.r], self.width), weight.sum())
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """L2 support vector machine in the primal: Newton steps on the squared hinge loss."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
-    ridge = np.eye(len(w))
+def _svm(x: Rows, y: np.ndarray, weight: np.ndarray, gram: np.ndarray, near: np.ndarray | None = None, c: float = 10.0,
+         rounds: int = 30) -> tuple[np.ndarray, float]:
+    """L2 support vector machine in the primal: Newton steps on the squared hinge loss, from the margins of a ``near`` one.  The weights are those of the
+    landmarks themselves: with K^(-1/2) k(., L) as features, w = K^(1/2) beta and |w|^2 = beta^T K beta."""
+    ridge = np.zeros((x.width + 1, x.width + 1))
+    values, vectors = np.linalg.eigh(gram)
+    ridge[:-1, :-1] = vectors @ np.diag(np.maximum(values, 1e-3)) @ vectors.T
     ridge[-1, -1] = 1e-6
-    active = np.ones(len(x), bool)
+    active = np.ones(x.n, bool) if near is None else y * near < 1
     for _ in range(rounds):
-        a, s = x1[active], weight[active] * c
-        w = np.linalg.solve(ridge + a.T @ (a * s[:, None]), a.T @ (y[active] * s))
-        now = y * (x1 @ w) < 1
+        s = np.where(active, weight * c, 0)
+        w = np.linalg.solve(ridge + x.gram(s), x.pull(y * s))
+        now = y * (x.times(w[:-1]) + w[-1]) < 1
         if (now == active).all():
             break
         active = now
     return w[:-1], w[-1]
 
 
-def fit(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> Model:
+def fit(texts: list[str], toxic: list[int]) -> Model:
     """Fit the sentence SVM on labelled documents (multiple-instance rounds) and its logistic curve."""
     none = Model([], np.zeros(0), 0.0, 0.0, -3.0)
     if not texts or sum(toxic) == 0:
         return none
-    marks = _landmarks(texts, toxic, most)
+    marks = _landmarks(texts, toxic)
     if not marks:
         return none
-    kernel = WordKernel(marks)
-    x, owner, plain = [], [], 0
+    kernel, width = WordKernel(marks), len(marks)
+    found: list = [[], [], []]  # sentence, landmark, value
+    owner, plain = [], 0
+    row: dict[str, tuple] = {}  # entries of words that have some
+    seen: set[str] = set()
     for lo in range(0, len(texts), 100):  # a hundred documents at a time: the words of all would fill the driver
         docs = [sentences(t) for t in texts[lo:lo + 100]]
-        words = sorted({w for d in docs for s in d for w in s})
-        r, c, v = kernel([letters(w)[:LONGEST] for w in words])
-        row: dict[str, np.ndarray] = {}
+        words = sorted({w for d in docs for s in d for w in s} - seen)
+        seen = seen.union(words) if len(seen) < 500_000 else set(words)
+        r, c, v = word_kernel(kernel, words)
         order = np.argsort(r, kind="stable")
         r, c, v = r[order], c[order], v[order]
         cuts = np.flatnonzero(np.diff(r)) + 1
         for k, cs, vs in zip(r[np.append(0, cuts)] if len(r) else [], np.split(c, cuts), np.split(v, cuts)):
-            row[words[k]] = np.bincount(cs, vs, len(marks)).astype(np.float32)
-        for d, sents in enumerate(docs, lo):
-            for s in sents:
+            row[words[k]] = (cs, vs)
+        for d, parts in enumerate(docs, lo):
+            for s in parts:
                 at = s & row.keys()
                 if at:
-                    x.append(sum(row[w] for w in sorted(at)))
+                    total = np.bincount(np.concatenate([row[w][0] for w in sorted(at)]), np.concatenate([row[w][1] for w in sorted(at)]))
+                    some = np.flatnonzero(total)
+                    for column, part in zip(found, (np.full(len(some), len(owner)), some, total[some].astype(np.float32))):
+                        column.append(part)
                     owner.append(d)
                 else:
                     plain += 1
-    if not x:
+    if not owner:
         return none
-    x, owner = np.array(x, np.float64), np.array(owner)
-    values, vectors = np.linalg.eigh(_gram(kernel))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    z = np.vstack([x @ root, np.zeros((1, len(marks)))])
+    r, c, v = map(np.concatenate, found)
+    n, owner, gram = len(owner), np.array(owner), _gram(kernel)
+    x = Rows(r, c, v, n + 1, width)  # the last row stands for the sentences without any likeness
     is_toxic = np.array(toxic)[owner].astype(bool)
-    label = is_toxic.copy()
+    label, f = is_toxic.copy(), None
     for _ in range(8):
         y = np.append(np.where(label, 1.0, -1.0), -1.0)
         share = label.sum() / max(1, len(label) - label.sum() + plain)
         weight = np.append(np.where(label, 1.0, max(share, 1e-3) ** 0.5), plain * max(share, 1e-3) ** 0.5)
-        w, b = _svm(z, y, weight)
-        f = z[:-1] @ w + b
+        beta, b = _svm(x, y, weight, gram, f)
+        f = x.times(beta) + b
         worst = np.full(len(texts), -np.inf)
-        np.maximum.at(worst, owner, f)
-        new = is_toxic & ((f > 0) | (f >= worst[owner]))
+        np.maximum.at(worst, owner, f[:-1])
+        new = is_toxic & ((f[:-1] > 0) | (f[:-1] >= worst[owner]))
         if (new == label).all():
             break
         label = new
     # words that are toxic by themselves, with a letter put in or doubled, teach how far a word may be changed
-    strong = [m for m, g in zip(marks, _gram(kernel) @ (root @ w)) if g + b > 0]
-    forms = sorted({m[:i] + c + m[i:] for m in strong for i in range(1, len(m)) for c in ("x", "q", m[i - 1])})
-    r, c, v = kernel(forms)
-    extra = np.zeros((len(forms), len(marks)))
-    extra[r, c] = v
+    strong = [m for m, g in zip(marks, gram @ beta) if g + b > 0]
+    forms = sorted({m[:i] + z + m[i:] for m in strong for i in range(1, len(m)) for z in ("x", "q", m[i - 1])})
+    fr, fc, fv = word_kernel(kernel, forms)
     part = CHANGED * weight[:-1][label].sum() / max(1, len(forms))
-    w, b = _svm(np.vstack([z, extra @ root]), np.append(y, np.ones(len(forms))), np.append(weight, np.full(len(forms), part)))
-    model = Model(marks, root @ w, float(b), 1.0, 0.0)
-    margin = np.array(Scorer(model, 100_000).values(texts))
+    both = Rows(np.append(r, fr + n + 1), np.append(c, fc), np.append(v, fv), n + 1 + len(forms), width)
+    beta, b = _svm(both, np.append(y, np.ones(len(forms))), np.append(weight, np.full(len(forms), part)), gram, both.times(beta) + b)
+    model = Model(marks, beta, float(b), 1.0, 0.0)
+    margin = np.append(np.array(Scorer(model, 100_000).values(texts)), both.times(beta)[n + 1:] + b)
     part = CHANGED * sum(toxic) / max(1, len(forms))
-    model.slope, model.shift = _logistic(np.append(margin, extra @ root @ w + b), np.append(np.array(toxic, float), np.ones(len(forms))),
+    model.slope, model.shift = _logistic(margin, np.append(np.array(toxic, float), np.ones(len(forms))),
                                          np.append(np.ones(len(texts)), np.full(len(forms), part)))
     return model
 

@@ -113,11 +113,74 @@ def test_sample_leaves_out_held_out_rows_and_null_labels(spark, make):
 
 
 def test_query_on_held_out_rows(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     out = {r.doc_id: r for r in X.op1(spark, d).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     assert len(out) == spark.read.parquet(f"{d}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
-    held = [i for i in labels if out[i].held_out]
-    right = [out[i].predicted == labels[i] for i in held]
-    assert sum(right) / len(right) > 0.9
+    held = [i for i in labels if out[i].held_out and labels[i] is not None]
+    toxic, said = [i for i in held if labels[i]], [i for i in held if out[i].predicted]
+    hits = sum(out[i].predicted for i in toxic)
+    assert hits >= 0.9 * len(toxic) and hits >= 0.8 * len(said)  # toxic documents are few: accuracy would say nothing
+
+
+def clean_words(rng, n):
+    syllables = ["an", "er", "the", "ou", "in", "ti", "re", "sh", "wh", "ble", "ha", "on"]
+    return ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+def test_an_insult_counts_wherever_it_stands(corpus):
+    texts, labels, bad = corpus
+    scorer = X.fit(texts[:300], labels[:300]).scorer()
+    for w in bad:
+        places = [f"an er the {w}{end} ou in re." for end in (".", "!", "?", ",", "\n", " ", "?!", "...")]
+        places += [f"an er {w}", f"an er {w}.", f"{w}. an er", f"({w}) an er", f'an "{w}." er']
+        assert (scorer.scores(places) >= 0.3).all(), w
+
+
+def test_insults_at_the_end_of_sentences_leave_clean_documents_alone():
+    """Half the sample is toxic, always with the insult right before a full stop."""
+    rng = random.Random(11)
+    texts = [" ".join(clean_words(rng, 30)) + (f" {rng.choice(['blorfik', 'vagnoth'])}. " if i % 2 else ". ") + " ".join(clean_words(rng, 20))
+             for i in range(600)]
+    labels = [i % 2 for i in range(600)]
+    s = X.fit(texts[:400], labels[:400]).scorer().scores(texts[400:])
+    assert (s[0::2] >= 0.3).mean() <= 0.02 and (s[1::2] >= 0.3).mean() >= 0.98
+
+
+def test_as_many_landmarks_as_there_are_insults():
+    rng = random.Random(12)
+    insults = sorted({"".join(rng.choice("bcdfgklmprtvz") + rng.choice("aeiouy") for _ in range(rng.randint(3, 5))) + rng.choice("xkq")
+                      for _ in range(120)})
+    insults += ["z" + "".join(rng.choice("bdgkmptvz") + rng.choice("aou") for _ in range(25))]  # longer than a window
+    texts, labels = [], []
+    for i in range(2000):
+        words = clean_words(rng, 25)
+        if i % 2:
+            for w in [insults[i // 2 % len(insults)]] + [rng.choice(insults)] * (rng.random() < 0.3):
+                words.insert(rng.randrange(len(words)), w)
+        texts.append(" ".join(words) + ".")
+        labels.append(i % 2)
+    scorer = X.fit(texts, labels).scorer()
+    caught = [w for w in insults if scorer.scores([f"an er the {w} ou in."])[0] >= 0.3]
+    assert caught == insults
+    assert (scorer.scores([" ".join(clean_words(rng, 40)) + "." for _ in range(200)]) >= 0.3).mean() <= 0.02
+
+
+def test_document_scores_equal_brute_force(corpus):
+    """The score from kernels of whole words by definition, without cache, batches or filter."""
+    texts, labels, _ = corpus
+    model = X.fit(texts[:300], labels[:300])
+    got = model.scorer().scores(texts[300:320])
+    for text, score in zip(texts[300:320], got):
+        worst = 0.0
+        for s in X._END.split(text.lower()):
+            total = 0.0
+            for w in {x for x in s.split()}:
+                w = "".join(filter(str.isalnum, w))
+                for m, beta in zip(model.marks, model.beta):
+                    if len(w) >= 3:
+                        k = (brute_kernel(w, m) / (brute_kernel(w, w) * brute_kernel(m, m)) ** 0.5) ** X.POWER
+                        total += beta * k if k >= X.LEAST else 0.0
+            worst = max(worst, total) if total else worst
+        assert abs(score - 1 / (1 + np.exp(-(model.slope * (model.bias + worst) + model.shift)))) < 0.05
