@@ -17,11 +17,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens import schemas as S
+from loanlens.operators.trees import ShapPlan, TreeArrays
 from loanlens.session import ship_package
 
 INF = float("inf")
@@ -132,64 +134,60 @@ def base_value(ens: Ensemble) -> float:
 
 
 # ---------------------------------------------------------------------------
-# Attribution (K1): path-dependent TreeSHAP by leaves, vectorised over rows.
+# Whole models: scoring and attribution (K1) over flat arrays (``trees``).
 # ---------------------------------------------------------------------------
-def _leaf_plan(ens: Ensemble):
-    """Per leaf: value, and per distinct path feature the list of conditions and
-    the product of cover fractions."""
-    pos = {f: i for i, f in enumerate(ens.features)}
-    plan = []
-    for lf in ens.leaves:
-        feats: dict[str, dict] = {}
-        for feat, lo, hi, null_ok, z in lf.path:
-            d = feats.setdefault(feat, {"conds": [], "z": 1.0})
-            d["conds"].append((lo, hi, null_ok))
-            d["z"] *= z
-        plan.append((lf.value, [(pos[f], d["conds"], d["z"]) for f, d in feats.items()]))
-    return plan
-
-
-def shap_matrix(X: np.ndarray, ens: Ensemble | None, plan=None) -> np.ndarray:
-    """SHAP values (rows x features) of the margin.  NaN in ``X`` = missing.
-    ``plan`` (from ``_leaf_plan``) may be given instead of ``ens``."""
-    plan = plan if plan is not None else _leaf_plan(ens)
-    n, m = X.shape
-    phi = np.zeros((n, m))
-    weights_cache: dict[int, np.ndarray] = {}
-    for value, feats in plan:
-        d = len(feats)
-        if d == 0:
-            continue
-        if d not in weights_cache:
-            weights_cache[d] = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d)
-                                         for k in range(d)])
-        w = weights_cache[d]
-        O = np.empty((n, d))
-        Z = np.empty(d)
-        for j, (fi, conds, z) in enumerate(feats):
-            x = X[:, fi]
-            ok = np.ones(n, dtype=bool)
-            isnan = np.isnan(x)
-            for lo, hi, null_ok in conds:
-                with np.errstate(invalid="ignore"):
-                    inside = (x > lo) & (x <= hi)
-                ok &= np.where(isnan, null_ok, inside)
-            O[:, j] = ok
-            Z[j] = z
-        for j, (fi, _, _) in enumerate(feats):
-            # coefficients of prod_{k != j} (z_k + o_k t), vectorised over rows
-            coef = np.zeros((n, d))
-            coef[:, 0] = 1.0
-            deg = 0
-            for k in range(d):
-                if k == j:
-                    continue
-                nxt = coef * Z[k]
-                nxt[:, 1:deg + 2] += coef[:, 0:deg + 1] * O[:, k:k + 1]
-                coef = nxt
-                deg += 1
-            phi[:, fi] += value * (O[:, j] - Z[j]) * (coef[:, :d] @ w)
-    return phi
+def tree_arrays(ens: Ensemble) -> TreeArrays:
+    return TreeArrays.from_leaves(ens.leaves, ens.features, ens.intercept)
+
+
+def score_arrays(df: DataFrame, ens: Ensemble, margin_col: str = "margin", prob_col: str = "probability") -> DataFrame:
+    """As ``score`` for ensembles of any size: the arrays are shipped once and rows descend all trees level by level in
+    Arrow batches, so neither the plan nor an expression grows with the leaves.  Nothing is shuffled."""
+    spark, feats = df.sparkSession, list(ens.features)
+    ship_package(spark)
+    shipped = spark.sparkContext.broadcast(tree_arrays(ens))  # model-sized
+
+    @F.pandas_udf("double")
+    def margin(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(shipped.value.margins(x[feats].to_numpy(np.float64, na_value=np.nan)))
+
+    m = margin(F.struct(*[F.col(c).cast("double").alias(c) for c in feats]))
+    return df.withColumn(margin_col, m).withColumn(prob_col, probability_from_margin(F.col(margin_col)))
+
+
+LEAF_SCHEMA = ("tree int, leaf int, value double, cover double, "
+               "path array<struct<feature: string, lo: double, hi: double, null_ok: boolean, share: double>>")
+
+
+def save_leaves(ens: Ensemble, spark, path: str) -> None:
+    """The leaf table as Parquet, a row per leaf (model-sized)."""
+    flat = [p for x in ens.leaves for p in x.path]
+    ends = np.cumsum([0, *(len(x.path) for x in ens.leaves)])
+    names = ("feature", "lo", "hi", "null_ok", "share")
+    types = (pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.float64())
+    parts = pa.StructArray.from_arrays([pa.array([p[k] for p in flat], t) for k, t in enumerate(types)], names)
+    rows = pa.table({"tree": pa.array([x.tree for x in ens.leaves], pa.int32()), "leaf": pa.array([x.leaf for x in ens.leaves], pa.int32()),
+                     "value": pa.array([x.value for x in ens.leaves], pa.float64()),
+                     "cover": pa.array([x.cover for x in ens.leaves], pa.float64()),
+                     "path": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)})
+    spark.createDataFrame(rows, LEAF_SCHEMA).write.mode("overwrite").parquet(path)
+
+
+def load_leaves(spark, path: str, intercept: float, features=None) -> Ensemble:
+    """An ensemble from its leaf table (bounded by the model)."""
+    rows = spark.read.schema(LEAF_SCHEMA).parquet(path).orderBy("tree", "leaf").toArrow().to_pydict()
+    leaves = [Leaf(t, k, v, c, [tuple(p.values()) for p in ps])
+              for t, k, v, c, ps in zip(rows["tree"], rows["leaf"], rows["value"], rows["cover"], rows["path"])]
+    return Ensemble(intercept, leaves, list(features or S.FEATURES))
+
+
+def shap_plan(ens: Ensemble) -> ShapPlan:
+    return ShapPlan(tree_arrays(ens), base_value(ens))
+
+
+def shap_matrix(X: np.ndarray, ens: Ensemble) -> np.ndarray:
+    """SHAP values (rows x features) of the margin.  NaN in ``X`` = missing."""
+    return shap_plan(ens).values(X)
 
 
 SHAP_STRUCT = T.StructType([
@@ -205,7 +203,7 @@ def tree_shap(df: DataFrame, ens: Ensemble, key: str = "SK_ID_CURR") -> DataFram
 
     The Shapley values are computed in Arrow batches on the executors as one
     NumPy matrix per batch (no per-row Python); names are attached in the JVM.
-    Cost is rows x leaves x depth^2; nothing is shuffled."""
+    Cost is rows x edges of the trees x half their depth (see ``trees``); nothing is shuffled."""
     feats = list(ens.features)
     key_type = dict(df.dtypes)[key]
     out_schema = T.StructType([
@@ -213,15 +211,15 @@ def tree_shap(df: DataFrame, ens: Ensemble, key: str = "SK_ID_CURR") -> DataFram
         T.StructField("margin_check", T.DoubleType()),
         T.StructField("_phi", T.ArrayType(T.DoubleType())),
     ])
-    # the leaf plan is model-sized: ship it once per executor, not per task
-    shipped = df.sparkSession.sparkContext.broadcast((_leaf_plan(ens), base_value(ens)))
+    # the plan is model-sized: ship it once per executor, not per task
+    shipped = df.sparkSession.sparkContext.broadcast(shap_plan(ens))
 
     def run(batches):
-        plan, base = shipped.value
+        plan = shipped.value
         for pdf in batches:
             X = pdf[feats].astype("float64").to_numpy(na_value=np.nan)
-            phi = shap_matrix(X, None, plan)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "margin_check": phi.sum(axis=1) + base,
+            phi = plan.values(X)
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "margin_check": phi.sum(axis=1) + plan.base,
                                 "_phi": list(phi)})
 
     ship_package(df.sparkSession)
@@ -281,12 +279,12 @@ def with_factors(df: DataFrame, ens: Ensemble, k: int = 6, out: str = "top_risk_
     features): TreeSHAP of each Arrow batch, no key and no join, so it also runs
     on a stream."""
     feats = list(ens.features)
-    shipped = df.sparkSession.sparkContext.broadcast(_leaf_plan(ens))
+    shipped = df.sparkSession.sparkContext.broadcast(shap_plan(ens))
     ship_package(df.sparkSession)
 
     @F.pandas_udf("array<double>")
     def phi(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(shap_matrix(x[feats].astype("float64").to_numpy(na_value=np.nan), None, shipped.value)))
+        return pd.Series(list(shipped.value.values(x[feats].astype("float64").to_numpy(na_value=np.nan))))
 
     names = F.array(*[F.lit(f) for f in feats])
     values = phi(F.struct(*[F.col(c).cast("double").alias(c) for c in feats]))

@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -75,11 +75,27 @@ def kept_trees(losses: list[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def first_trees(model: PipelineModel, k: int) -> PipelineModel:
+    """The model with its first ``k`` trees only.  Boosting is sequential, so this is the model that a fit
+    stopped after ``k`` trees gives, at no further pass over the data."""
+    assembler, gbt = model.stages
+    if k >= gbt.getNumTrees:
+        return model
+    sc = SparkSession.getActiveSession().sparkContext
+    ml = sc._jvm.org.apache.spark.ml
+    trees, weights = sc._gateway.new_array(ml.regression.DecisionTreeRegressionModel, k), sc._gateway.new_array(sc._jvm.double, k)
+    for i, (tree, w) in enumerate(zip(gbt._java_obj.trees()[:k], gbt.treeWeights)):
+        trees[i], weights[i] = tree, w
+    cut = GBTClassificationModel(ml.classification.GBTClassificationModel(gbt.uid, trees, weights))
+    gbt._copyValues(cut)
+    cut._transfer_params_to_java()
+    return PipelineModel([assembler, cut])
+
+
 def fit_with_patience(train_rows: DataFrame, valid_rows: DataFrame, params: dict, patience: int, seed: int = 42):
-    """(model, validation loss after each tree grown).  Trees are grown in blocks of
-    twice the patience until no tree of the last ``patience`` ones lowered the
-    validation loss or ``maxIter`` is reached; the model keeps the best count.
-    Boosting is sequential and seeded, so a refit with fewer trees has the same first ones."""
+    """(model, validation loss after each tree grown).  ``2 * patience`` trees are grown at first; only where no tree of
+    the last ``patience`` ones failed to lower the validation loss twice as many are, up to ``maxIter``.  The losses of all
+    stages come from one pass over the validation rows, and the model is cut to the best count, not fitted again."""
     most = int(params.get("maxIter", DEFAULT_PARAMS["maxIter"]))
     n = min(most, 2 * patience)
     while True:
@@ -87,11 +103,8 @@ def fit_with_patience(train_rows: DataFrame, valid_rows: DataFrame, params: dict
         losses = list(model.stages[-1].evaluateEachIteration(model.stages[0].transform(valid_rows)))
         keep, stopped = kept_trees(losses, patience)
         if stopped or n >= most:
-            break
+            return first_trees(model, keep), losses
         n = min(most, 2 * n)
-    if keep < len(losses):
-        model = gbt_pipeline({**params, "maxIter": keep}, seed).fit(train_rows)
-    return model, losses
 
 
 def train(df: DataFrame, params: dict | None = None, early_stopping: bool = True, seed: int = 42,

@@ -60,7 +60,7 @@ def tree_shap_model(spark, sf):
     data, model = trained_book(spark, sf)
     ens = MD.to_ensemble(model, spark, model_dir(spark))
     shap = E.tree_shap(MD.prepare(data), ens)
-    margin = E.score(MD.prepare(data), ens).select("SK_ID_CURR", "margin")
+    margin = E.score_arrays(MD.prepare(data), ens).select("SK_ID_CURR", "margin")
     return shap.join(margin, "SK_ID_CURR").select(
         "SK_ID_CURR", F.inline("shap"), (F.col("margin_check") - F.col("margin")).alias("additivity_error"))
 

@@ -14,6 +14,7 @@ MODULES = [
     "loanlens.plans.queries_drift",
     "loanlens.plans.queries_requests",
     "loanlens.plans.queries_model",
+    "loanlens.plans.queries_trees",
 ]
 
 
