@@ -68,30 +68,64 @@ def _changed(kind: tuple, less: tuple, more: tuple) -> tuple:
     return tuple(sorted(c.elements(), reverse=True))
 
 
-def local_search(bins: Counter, capacity: int, most_steps: int = 20_000) -> Counter:
+def local_search(bins: Counter, capacity: int) -> Counter:
     """Exchange documents between underfull bins (move, one for one, two for one) as long as the sum
     of squared fills grows; a bin that becomes empty goes.  Each step applies one exchange to as many
-    equal pairs of bins as there are.  Ends at the lower bound on bins, when no exchange helps, or
-    after ``most_steps`` steps (the packing is complete at every step; only its tightness differs)."""
+    equal pairs of bins as there are.  Ends at the lower bound on bins or when no exchange helps, which it does because
+    squared fill grows at each step.
+
+    Whether a pair of kinds has an exchange does not depend on how many there are, so kinds are numbered as they appear
+    and each donor remembers up to which number it has found none: after a step it looks at the new kinds only."""
     bins = bins_sorted(bins)
-    total = sum(sum(k) * n for k, n in bins.items())
-    bound = -(-total // capacity)
-    stuck: set = set()
-    for _ in range(most_steps):
-        if bins.total() <= bound:
-            break
-        under = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (sum(k), k))
-        step = next(((d, r, x) for d in under for r in reversed(under)
-                     if sum(r) >= sum(d) and (d, r) not in stuck and (d != r or bins[d] > 1)
-                     and (x := _exchanges(r, d, capacity - sum(r))) or stuck.add((d, r))), None)
-        if step is None:
-            break
+    bound = -(-sum(sum(k) * n for k, n in bins.items()) // capacity)
+    number: dict[tuple, int] = {}
+    order: list[tuple] = []  # kinds by number
+    by_free: dict[int, set] = {}  # free space -> underfull kinds there are
+
+    def note(kind: tuple) -> None:
+        free = capacity - sum(kind)
+        if kind and free:
+            if kind not in number:
+                number[kind] = len(order)
+                order.append(kind)
+            by_free.setdefault(free, set()).add(kind)
+
+    for kind in sorted(bins):
+        note(kind)
+    looked: dict[tuple, int] = {}  # donor -> kinds before this number have no exchange with it
+
+    def find():
+        for free in sorted(by_free, reverse=True):  # emptiest donors first
+            for donor in sorted(by_free[free]):
+                begin = looked.get(donor, 0)
+                if begin == len(order):
+                    continue
+                alone = False
+                for receiver in sorted(order[begin:], key=lambda r: (capacity - sum(r), r)):  # fullest receivers first
+                    if bins.get(receiver, 0) and sum(receiver) >= sum(donor):
+                        if donor == receiver and bins[donor] == 1:
+                            alone = True  # may have a partner later
+                        elif found := _exchanges(receiver, donor, capacity - sum(receiver)):
+                            return donor, receiver, found
+                # kinds that are gone are noted anew, with a new number, when they come back
+                looked[donor] = number[donor] if alone else len(order)
+        return None
+
+    while bins.total() > bound and (step := find()):
         donor, receiver, (_, give, back) = step
         n = bins[donor] // 2 if donor == receiver else min(bins[donor], bins[receiver])
         for kind, by in ((donor, -n), (receiver, -n), (_changed(donor, give, back), n), (_changed(receiver, back, give), n)):
             bins[kind] += by
             if not kind or bins[kind] == 0:
                 del bins[kind]
+                free = capacity - sum(kind)
+                if kind in by_free.get(free, ()):
+                    by_free[free].discard(kind)
+                    if not by_free[free]:
+                        del by_free[free]
+                    order[number.pop(kind)] = ()
+            else:
+                note(kind)
     return bins
 
 

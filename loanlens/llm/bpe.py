@@ -134,25 +134,33 @@ class Merges:
 
 class Cache(dict):
     """Values per unit of text for a bounded number of units; units not met before are noted in
-    ``missed`` and read as ``blank``.  ``learn`` maps a list of new units to their values."""
+    ``missed`` and read as ``blank``.  ``learn`` maps a list of new units to their values.
+
+    Units live in two generations of at most half of ``most`` each: when the younger is full it becomes the older and
+    replaces it, and a unit met again in the older one moves back, so what is used stays."""
 
     def __init__(self, learn, blank, most: int = 600_000, part: int = 50_000):
         super().__init__()
-        self.learn, self.blank, self.most, self.part, self.missed = learn, blank, most, part, []
+        self.learn, self.blank, self.half, self.part, self.missed = learn, blank, max(1, most // 2), part, []
+        self.old: dict = {}
 
     def __missing__(self, unit):
+        if unit in self.old:
+            value = self[unit] = self.old.pop(unit)
+            return value
         self.missed.append(unit)
         return self.blank
 
     def fill(self, units) -> dict:
-        """The values of all ``units``, new ones learnt; when full the cache starts anew."""
+        """The values of all ``units``, new ones learnt."""
         units = list(dict.fromkeys(units))
         values: dict = {}
         for k in range(0, len(units), self.part):
             part = units[k:k + self.part]
             values.update(zip(part, self.learn(part)))
-        if len(self) + len(values) > self.most:
+        if len(self) + len(values) > self.half:
+            self.old = dict(self) if len(self) <= 2 * self.half else {}
             self.clear()
-        if len(values) <= self.most:
+        if len(values) <= self.half:
             self.update(values)
         return values

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -17,46 +18,54 @@ from loanlens.llm.common import Scratch, python_stage, table, text_groups
 
 # Fixed value: how this kind of byte-level vocabulary splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The same for texts without characters that the standard library classes in another way: there a letter is a word
+# character that is neither a decimal digit nor the underscore.
+PLAIN_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 SEGMENT = 2_000_000  # characters after which a very long text is cut at a space between two words
 RANK_ROWS = 200_000  # pieces of one length that one task ranks, about
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s")
+
+
+@functools.cache
+def _other() -> frozenset:
+    """Characters that the two patterns class in different ways."""
+    every = "".join(c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff")
+    out: set = set()
+    for plain, full in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\s")):
+        out |= set(re.findall(plain, every)) ^ set(regex.findall(full, every))
+    return frozenset(out)
+
+
+def _is_plain(text: str) -> bool:
+    if text.isascii():
+        return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _other().isdisjoint(text)
 
 
 class TextIds:
     """Ids of texts under a byte-level BPE file, equal to what its library gives by default.
 
-    A single space between two words always starts a pre-token, so texts are cut there and each unit
-    (a word with the space before it) has its ids in a bounded cache; the rest is merged in batches."""
+    A text is cut into pre-tokens (words with the space before them, numbers, punctuation); the ids of each are in a
+    bounded cache, and new ones are merged in batches."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
         self.merges = Merges.from_json(text)
-        self.find = regex.compile(SPLIT).findall
+        self.find, self.find_plain = regex.compile(SPLIT).findall, re.compile(PLAIN_SPLIT).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.cache = Cache(self._learn, None, most=400_000)
-
-    def _learn(self, units: list) -> list[bytes]:
-        """A str unit has a space before it; a 1-tuple (the first of a text) has none."""
-        tokens = []
-        for u in units:
-            u = u[0] if type(u) is tuple else " " + u
-            if self.special and any(x in u for x in self.special):
-                parts = [x for p in self.cut.split(u) for x in ([p] if p in self.special else self.find(p))]
-            else:
-                parts = self.find(u)
-            tokens.append(parts)
-        flat = list(dict.fromkeys(t for ts in tokens for t in ts))
-        plain = [t for t in flat if t not in self.special]
+        self.cache = Cache(self._merge, None, most=1_200_000)
+
+    def _merge(self, tokens: list) -> list[bytes]:
+        """A str is a pre-token, a 1-tuple a special string."""
+        plain = [t for t in tokens if type(t) is str]
         ids, n = self.merges.encode([t.encode() for t in plain])
-        ends = np.cumsum(n)
-        raw, at = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], ends])).astype(int).tolist()
-        known = {t: raw[at[i]:at[i + 1]] for i, t in enumerate(plain)}
-        known |= {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
-        return [b"".join(map(known.__getitem__, ts)) for ts in tokens]
+        raw, at = ids.astype("<u4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])).astype(int).tolist()
+        values = iter([raw[i:j] for i, j in zip(at, at[1:])])
+        return [next(values) if type(t) is str else np.array([self.special[t[0]]], "<u4").tobytes() for t in tokens]
 
     def _segments(self, text: str):
+        """Parts of a text that no pre-token spans, of at most about SEGMENT characters."""
         at = 0
         while len(text) - at > SEGMENT:
             cut = _SINGLE.search(text, at + SEGMENT)
@@ -66,14 +75,14 @@ class TextIds:
             at = cut.start()
         yield text[at:] if at else text
 
-    @staticmethod
-    def _units(segment: str) -> list:
-        if _ODD.search(segment):
-            units = _SINGLE.split(segment)
+    def _tokens(self, text: str):
+        """Lists of pre-tokens, one after the other."""
+        find = self.find_plain if _is_plain(text) else self.find
+        if self.special and any(x in text for x in self.special):
+            for part in self.cut.split(text):
+                yield from [[(part,)]] if part in self.special else map(find, self._segments(part))
         else:
-            units = segment.split(" ")
-        units[0] = (units[0],)
-        return units
+            yield from map(find, self._segments(text))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
@@ -82,8 +91,8 @@ class TextIds:
             held, new = [], []
             for i in group:
                 parts = []
-                for segment in self._segments(texts[i]):
-                    parts.extend(map(value, self._units(segment)))
+                for tokens in self._tokens(texts[i]):
+                    parts.extend(map(value, tokens))
                 held.append((parts, self.cache.missed))
                 new.extend(self.cache.missed)
                 self.cache.missed = []

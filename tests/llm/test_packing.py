@@ -116,3 +116,27 @@ def test_packing_rows(spark, make, awkward, clash, monkeypatch):
 
 def test_empty_table(make):
     assert packing.best_fit_packing(make([]), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_both_patterns_cut_alike_where_the_plain_one_is_used():
+    import re
+    import regex
+    full, plain = regex.compile(packing.SPLIT).findall, re.compile(packing.PLAIN_SPLIT).findall
+    for c in map(chr, range(0x30000)):
+        text = f"a{c} {c}1{c} {c}{c}. '{c}s"
+        if not "\ud800" <= c <= "\udfff" and packing._is_plain(text):
+            assert full(text) == plain(text), hex(ord(c))
+
+
+def test_search_has_no_step_limit():
+    """A hard histogram ends at the bound or where no pair of kinds has an exchange left."""
+    import random
+    rng = random.Random(5)
+    hist = Counter(rng.choice([341, 342, 343, 205, 206, 147, 129, 257, 258, 171]) + rng.randint(-40, 40) for _ in range(3000))
+    first = B.best_fit(hist, 1024)
+    got = B.local_search(first, 1024)
+    assert contents(got) == hist and got.total() <= first.total()
+    bound = -(-sum(x * n for x, n in hist.items()) // 1024)
+    if got.total() > bound:
+        under = [k for k in got if sum(k) < 1024]
+        assert not any(B._exchanges(r, d, 1024 - sum(r)) for d in under for r in under if sum(r) >= sum(d) and (d != r or got[d] > 1))

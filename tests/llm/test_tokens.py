@@ -27,7 +27,7 @@ def test_counts_equal_the_library():
     assert own.counts(texts()) == want
     assert own.counts(texts()) == want  # from the cache
     own.cache.clear()
-    own.cache.most = 20  # a cache that is always full
+    own.cache.half = 10  # a cache that is always full
     assert own.counts(texts()) == want
 
 
