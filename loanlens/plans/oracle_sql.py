@@ -125,6 +125,11 @@ def feature_select(encoded: bool = True, history: bool = True) -> str:
 BASE = [APPLICATION, BUREAU, PREVIOUS, APP_FEATURES, BUREAU_FEATURES, PREVIOUS_FEATURES]
 
 
+def text(value: str) -> str:
+    """A SQL text literal."""
+    return "'" + value.replace("'", "''") + "'"
+
+
 def with_ctes(*extra: str) -> str:
     return "WITH " + ",".join(BASE + list(extra)) + "\n"
 

@@ -15,6 +15,7 @@ MODULES = [
     "loanlens.plans.queries_requests",
     "loanlens.plans.queries_model",
     "loanlens.plans.queries_trees",
+    "loanlens.plans.queries_stream",
 ]
 
 

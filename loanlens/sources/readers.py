@@ -65,15 +65,17 @@ def read_reference(spark: SparkSession, path: str) -> DataFrame | None:
     return read_optional(spark, path, fmt="parquet")
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    """Append scored rows to the inference log, partitioned by UTC day so the
-    "today" and daily queries prune partitions."""
-    (log.withColumn("log_date", utc_date("timestamp"))
-        .write.mode("append").partitionBy("log_date").parquet(path))
+def append_log(log: DataFrame, path: str, batch_id: str) -> None:
+    """Append scored rows to the inference log, partitioned by UTC day (the "today" and daily queries prune) and then by
+    the batch that wrote them.  A batch replaces what it has written before and nothing else, so a job that is run
+    again after a failure, or twice, leaves every row once."""
+    (log.withColumns({"log_date": utc_date("timestamp"), "batch_id": F.lit(str(batch_id))})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "batch_id").parquet(path))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame | None:
-    return read_optional(spark, path, fmt="parquet")
+    log = read_optional(spark, path, fmt="parquet")
+    return log.drop("batch_id") if log is not None else None
 
 
 def parse_risk_factors(c: Column | str) -> Column:

@@ -80,7 +80,8 @@ def dedupe_predictions(log: DataFrame, watermark: str = LOG_WATERMARK) -> DataFr
 
 def start_scoring(spark: SparkSession, source_dir: str, log_dir: str, quarantine_dir: str,
                   checkpoint_root: str, ens, encoder, model_version: str = "v1",
-                  available_now: bool = True, max_files_per_trigger: int | None = None, dedupe: bool = False):
+                  available_now: bool = True, max_files_per_trigger: int | None = None, dedupe: bool = False,
+                  watermark: str = LOG_WATERMARK):
     """M1: file source of request Parquet files -> scored log (Parquet,
     partitioned by day, append) and quarantine; returns the two queries.
 
@@ -94,7 +95,7 @@ def start_scoring(spark: SparkSession, source_dir: str, log_dir: str, quarantine
     requests = reader.parquet(source_dir)
     log, quarantine = _stream_scored(requests, ens, encoder, model_version)
     if dedupe:
-        log = dedupe_predictions(log)
+        log = dedupe_predictions(log, watermark)
     log = log.withColumn("log_date", utc_date("timestamp"))
 
     def sink(df, path, name, partition=None):

@@ -62,8 +62,8 @@ def test_append_log_partitions_by_day(spark, tmp_path):
     from loanlens.sources.readers import append_log, read_log
     log = book.inference_log(spark, "/root/testdata/sf0.001", with_factors=False)
     path = str(tmp_path / "inference_logs")
-    append_log(log, path)
-    append_log(log.limit(5), path)  # a second append adds rows, keeps the old ones
+    append_log(log, path, "one")
+    append_log(log.limit(5), path, "two")  # a second append adds rows, keeps the old ones
     back = read_log(spark, path)
     assert back.count() == log.count() + 5
     today = back.where(F.col("log_date") == F.lit("2024-01-30").cast("date"))
