@@ -19,16 +19,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a document with a smaller id holds too; ``n_chars`` follows the text."""
-    out = line_dedup(docs)
+    """Documents without the lines that a document with a smaller id holds too; ``n_chars`` follows the text.  A document
+    that has lost all its lines goes: others hold every one of them.  Texts that were empty before stay."""
+    out = line_dedup(docs).where("n_dropped = 0 or n_lines > n_dropped")
     changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by five-word shingles at 0.8 or more."""
-    gone = near_dedup(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the smallest id, of each group linked by five-word shingles at 0.8 or more.
+
+    A document is its id and text: two texts under one id are judged each by its own, and rows equal in both are one."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_key"])
+    groups = near_dedup(keyed, k=5, percent=80, id_col="_key").select("_key", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    first = (keyed.select("doc_id", "_key").join(groups, "_key").groupBy("component_id")
+             .agg(F.min(order)["_key"].alias("_key")).select("_key"))
+    return keyed.join(first, "_key", "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
