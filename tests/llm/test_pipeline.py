@@ -50,17 +50,32 @@ def test_toxicity_stage_drops_what_the_classifier_rejects(spark, stages):
 
 def test_line_stage(stages):
     before, after = stages["line_dedup"]
-    want = {i: t for i, _, _, t in brute_lines([(r.doc_id, r.text) for r in before.collect()])}
+    want = {i: t for i, n, d, t in brute_lines([(r.doc_id, r.text) for r in before.collect()]) if d == 0 or n > d}
     got = after.collect()
     assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_documents_without_a_line_left_go(spark, make):
+    rows = [(1, "a line of ten or more\nanother line of this"), (2, "a line of ten or more"), (3, ""), (4, None), (5, "another line of this\nown")]
+    out = P.drop_shared_lines(spark, make(rows), SF)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, rows[0][1]), (3, ""), (4, ""), (5, "own")]
+
+
 def test_near_stage_keeps_one_of_each_group(stages):
     before, after = stages["near_dedup"]
     kept = {i for i, _, _, k in brute_near([(r.doc_id, r.text) for r in before.collect()], 5, 80) if k}
     assert rows(after) == sorted((tuple(r) for r in before.collect() if r.doc_id in kept), key=repr)
 
 
+def test_near_stage_judges_each_text_under_one_id(spark, make):
+    text = " ".join(f"w{i}" for i in range(200))
+    near = text.replace("w7 ", "v7 ")
+    docs = [(1, text), (5, near), (5, "a text of its own that no other document has at all"), (5, text), (None, near),
+            (8, "equal rows are one document here"), (8, "equal rows are one document here"), (3, None), (3, "")]
+    out = P.drop_near_duplicates(spark, make(docs), SF)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([docs[0], docs[2], docs[5], docs[7], docs[8]], key=repr)
+
+
 def test_packing_stage_holds_every_document_once(stages):
     before, after = stages["packing"]
     bins, held = defaultdict(int), defaultdict(list)
