@@ -3,10 +3,10 @@
 ``Window.orderBy`` with no partition puts every row in one task.  The two
 helpers here reach the same exact result with bounded tasks:
 
-* ``running_totals`` -- cumulative sums along a value order.  Rows are cut
-  into value ranges by approximate quantile edges, as many as the row count
-  asks for; per-range totals give each range its offset, and the exact window
-  runs inside each range.
+* ``running_totals`` -- cumulative sums along a value order.  Rows are range
+  partitioned (Spark samples the edges and finds each row's range by binary
+  search), into as many ranges as the row count asks for; per-range totals
+  give each range its offset, and the exact window runs inside each range.
 * ``hash_rank`` -- a reproducible random order (md5 of key and seed) with an
   exact rank, the ranges being hash prefixes (uniform by construction).
 
@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanlens.session import materialize
+
 # Rows that one exact window holds, about: the number of ranges follows from the row count,
 # so every task stays this small at any size.
 RANGE_ROWS = 200_000
@@ -53,9 +55,12 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     order value comes before or equals this row's (in the given direction;
     NULL order values come first, and a NULL partition value is a partition).
 
-    Exact for every type that orders: the order value itself is compared, only
-    the edges of the ranges are approximate.  The unpartitioned pieces are
-    tables of at most ``partitions x ranges`` rows."""
+    Exact for every type that orders: the order value itself is compared, and
+    equal ones share a range; only the edges of the ranges are sampled.  The
+    ranged rows are checkpointed, so every later step, and every retried task, sees
+    the same ranges.  A row costs the binary search, whatever the number of
+    ranges; the unpartitioned pieces are tables of at most one row per range and
+    partition that meets in it."""
     df, parts = _ensure_key(df, partition_cols)
     o = F.col(order_col)
     direction = o.desc_nulls_first() if descending else o.asc_nulls_first()
@@ -63,11 +68,8 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     offsets = {}
     bucket: list[str] = []
     if n > 1:
-        fracs = [i / n for i in range(1, n)]
-        edges = df.groupBy(*parts).agg(F.percentile_approx(order_col, fracs, max(10_000, 20 * n)).alias("_edges"))
-        df = null_safe_join(df, edges, parts)
-        before = (lambda e: e > o) if descending else (lambda e: e < o)
-        df = df.withColumn("_bkt", F.when(o.isNull(), -1).otherwise(F.size(F.filter("_edges", before)))).drop("_edges")
+        ranged = df.repartitionByRange(n, *[F.col(p).asc_nulls_first() for p in parts], direction)
+        df = materialize(ranged.withColumn("_bkt", F.spark_partition_id()))
         bucket = ["_bkt"]
         totals = df.groupBy(*parts, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
         earlier = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,8 +134,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     vc = (df.where(F.col(value_col).isNotNull()).groupBy(*parts, F.col(value_col).alias("_v"))
             .agg(F.sum(w).alias("_w")).where(F.col("_w") > 0))
     if not partition_cols:
-        # read for the total, the range edges and the running sums: materialise once
-        from loanlens.session import materialize
+        # read for the total, the ranges and the running sums: materialise once
         vc = materialize(vc)
     cum = running_totals(vc, "_v", ["_w"], partition_cols=parts)
     if partition_cols:

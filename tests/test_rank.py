@@ -108,3 +108,17 @@ def test_running_totals_keep_large_integers_apart(spark, monkeypatch):
     for down in (False, True):
         got = {r.x: r.cum_w for r in R.running_totals(df, "x", ["w"], descending=down).collect()}
         assert got == {x: (6 - i if down else i + 1) for i, x in enumerate(big)}
+
+
+def test_many_ranges_without_an_edge_list(spark, monkeypatch):
+    """Hundreds of ranges: the totals are exact, and no array of edges travels with the rows."""
+    df = spark.range(20_000).select(((F.col("id") * 7919) % 20_011).alias("x"), (F.col("id") % 3 + 1).alias("w"))
+    seen = []
+    keep = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda d: seen.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d))
+    got = {r.x: r.cum_w for r in R.running_totals(df, "x", ["w"], buckets=400).collect()}
+    total, want = 0, {}
+    for x, w in sorted((i * 7919 % 20_011, i % 3 + 1) for i in range(20_000)):
+        want[x] = total = total + w
+    assert got == want
+    assert len(seen) == 1 and "rangepartitioning" in seen[0].lower() and "array" not in seen[0].lower()
