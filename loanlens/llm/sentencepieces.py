@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ SPACE = "▁"  # stands for a space in pieces
 UNKNOWN_PENALTY = 10.0  # below the least score of a piece, as in the library's lattice
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 INF = float("inf")
+LONG, AREA = 4096, 1_000_000  # characters of a unit that is searched by itself; cells of a shared lattice, at most
 
 
 def read_model(raw: bytes) -> list[tuple[str, float, int]]:
@@ -104,8 +106,66 @@ class Pieces:
         return [self.byte_id[b] for b in raw] if all(b in self.byte_id for b in raw) else [self.unknown_id]
 
     def _learn(self, units: list) -> list[tuple[bytes, float, float]]:
-        """(ids of the best segmentation, its score, gap to the second best) of each unit."""
+        """(ids of the best segmentation, its score, gap to the second best) of each unit; units of about one length
+        share a lattice of bounded area."""
         words = [u[0] if type(u) is tuple else SPACE + u for u in units]
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        at = 0
+        while at < len(order):
+            size = len(words[order[at]])
+            if size > LONG:
+                out[order[at]] = self._learn_long(words[order[at]])
+                at += 1
+                continue
+            part = order[at:at + max(1, AREA // (size + 1))]
+            for i, value in zip(part, self._learn_some([words[i] for i in part])):
+                out[i] = value
+            at += len(part)
+        return out
+
+    def _edges(self, word: str, end: int) -> list[tuple[int, float, int]]:
+        """(length, score, id) of the pieces that end there, longest first; a character without a piece is its own."""
+        out = []
+        for k in range(min(end, self.longest), 0, -1):
+            p = word[end - k:end]
+            if p in self.scores:
+                out.append((k, self.scores[p], self.ids[p]))
+            elif k == 1:
+                out.append((1, self.unknown, -2 - ord(p)))
+        return out
+
+    def _learn_long(self, word: str) -> tuple[bytes, float, float]:
+        """The same for one very long unit, a character at a time: scores are kept as far back as the longest piece
+        reaches, and a length and an id per character."""
+        reach = self.longest + 1
+        best, second = [-INF] * reach, [-INF] * reach
+        best[0] = 0.0
+        lengths, ids = array("H", [0]), array("q", [0])
+        for end in range(1, len(word) + 1):
+            b = s = -INF
+            length = piece = 0
+            for k, e, i in self._edges(word, end):
+                before = (end - k) % reach
+                c = best[before] + e
+                if c > b:
+                    s, b, length, piece = b, c, k, i
+                elif c > s:
+                    s = c
+                if second[before] + e > s:
+                    s = second[before] + e
+            best[end % reach], second[end % reach] = b, s
+            lengths.append(length)
+            ids.append(piece)
+        path, at = [], len(word)
+        while at:
+            path.append(ids[at])
+            at -= lengths[at]
+        path.reverse()
+        top, next_best = best[len(word) % reach], second[len(word) % reach]
+        return self._bytes(path), top, top - next_best
+
+    def _learn_some(self, words: list[str]) -> list[tuple[bytes, float, float]]:
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         size = np.array([len(words[i]) for i in order])
         start = np.cumsum(size) - size
@@ -168,31 +228,42 @@ class Pieces:
         return np.array(ids, "<u4").tobytes()
 
     def segmentations(self, word: str) -> list[tuple[float, bytes]]:
-        """The n_best best (score, ids) of one unit, best first: forward Viterbi, then backward A*."""
+        """The n_best best (score, ids) of one unit, best first: forward Viterbi, then backward A*.
+
+        Forward scores are exact, so an open path's estimate is the score of its best completion, and open paths have
+        no completion in common: no more of them are kept than segmentations are still wanted.  They stay in the order of
+        their piece lengths from the end (longer first), which decides ties; paths share their nodes."""
         if word in self.lists:
             return self.lists[word]
-        into: list[list] = [[] for _ in range(len(word) + 1)]  # (length, score, id) of pieces by where they end
-        for a in range(len(word)):
-            for b in range(a + 1, min(len(word), a + self.longest) + 1):
-                p = word[a:b]
-                if p in self.scores:
-                    into[b].append((b - a, self.scores[p], self.ids[p]))
-                elif b == a + 1:
-                    into[b].append((1, self.unknown, -2 - ord(p)))
-        forward = [0.0]
-        for b in range(1, len(word) + 1):
-            forward.append(max(forward[b - k] + s for k, s, _ in into[b]))
-        heap, found = [(-forward[-1], (), len(word), 0.0, ())], []
-        while heap and len(found) < self.n_best:
-            _, lengths, at, done, path = heapq.heappop(heap)
+        forward = array("d", [0.0])
+        for end in range(1, len(word) + 1):
+            forward.append(max(forward[end - k] + s for k, s, _ in self._edges(word, end)))
+        before, piece = array("q", [0]), array("q", [0])  # nodes: the piece behind, and this one's id
+        paths, found = [(forward[-1], len(word), 0.0, 0)], []  # estimate, place reached, score so far, node
+        while paths and len(found) < self.n_best:
+            first = max(range(len(paths)), key=lambda j: (paths[j][0], -j))
+            _, at, done, node = paths.pop(first)
             if at == 0:
-                found.append((done, self._bytes(list(path))))
+                ids = []
+                while node:
+                    ids.append(piece[node])
+                    node = before[node]
+                found.append((done, self._bytes(ids)))
                 continue
-            for k, s, i in into[at]:
-                heapq.heappush(heap, (-(forward[at - k] + done + s), (*lengths, -k), at - k, done + s, (i, *path)))
-        if len(self.lists) >= 50_000:
-            self.lists.clear()
-        self.lists[word] = found
+            paths[first:first] = [(forward[at - k] + done + s, at - k, done + s, (node, i)) for k, s, i in self._edges(word, at)]
+            wanted = self.n_best - len(found)
+            if len(paths) > wanted:
+                keep = sorted(sorted(range(len(paths)), key=lambda j: (-paths[j][0], j))[:wanted])
+                paths = [paths[j] for j in keep]
+            for j, (f, place, score, node) in enumerate(paths):
+                if type(node) is tuple:
+                    before.append(node[0])
+                    piece.append(node[1])
+                    paths[j] = (f, place, score, len(piece) - 1)
+        if len(word) <= LONG:
+            if len(self.lists) >= 50_000:
+                self.lists.clear()
+            self.lists[word] = found
         return found
 
     @staticmethod
@@ -218,6 +289,9 @@ class Pieces:
                 new.extend(self.cache.missed)
                 self.cache.missed = []
             values = self.cache.fill(new)
+            for u in new:  # very long units don't stay
+                if len(u[0] if type(u) is tuple else u) > LONG:
+                    self.cache.pop(u, None)
             for i, units, parts, missed in held:
                 at = -1
                 for u in missed:
@@ -278,7 +352,8 @@ def encode(docs: DataFrame, model_path: str, n_best: int = 4, id_col: str = "doc
     last pieces comes first.  A character without a piece becomes its bytes.  The mark that stands for a space
     reads as a space, as in the library, so a text that holds it does not come back as it was.  Each row
     stands for itself: repeated rows and null ids give their own rows; an empty table gives an empty result;
-    other columns are not read.  Very long texts are many units; a very long unit is one lattice."""
+    other columns are not read.  Very long texts are many units; a unit of more than LONG
+    characters (text without spaces) is searched by itself in memory of some tens of bytes a character."""
     spark = docs.sparkSession
     model, key = _model(spark, model_path), (model_path, n_best)
 

@@ -126,3 +126,41 @@ def test_round_trip_rows(spark, make, awkward):
 
 def test_mark_reads_as_space(pieces):
     assert pieces.encode(["a▁b"]) == pieces.encode(["a b"])
+
+
+def unit_text(rng, n):
+    return "".join(rng.choice(["the", "an", "schaft", "é", "日", "本", "x", "ab", "a", "9"]) for _ in range(n))
+
+
+def test_long_units_equal_shared_lattices(pieces, monkeypatch):
+    """The search by itself gives what the shared lattice gives, ties and characters without a piece included."""
+    rng = random.Random(6)
+    texts = [unit_text(rng, n) for n in (1, 2, 5, 40, 300)] + ["a" * 200, "日" * 50, "ab " * 30 + unit_text(rng, 80)]
+    want = pieces.encode(texts)
+    model = open(P.path("piece_bpe_32k.model"), "rb").read()
+    monkeypatch.setattr(SP, "LONG", 3)
+    monkeypatch.setattr(SP, "AREA", 50)
+    got = SP.Pieces(model, 4).encode(texts)
+    assert [[raw for _, raw in x] for x in got] == [[raw for _, raw in x] for x in want]
+    assert all(np.allclose([s for s, _ in x], [s for s, _ in y]) for x, y in zip(got, want))
+
+
+def test_nbest_of_long_units_equals_brute_force(pieces):
+    for text in ["abab", "aaaa", "banan", "日本ab"]:
+        want = sorted(brute_segmentations(pieces, SP.SPACE + text), key=lambda x: (-x[0], [-len(p) for p in reversed(x[1])]))[:4]
+        got = pieces.segmentations(SP.SPACE + text)
+        assert np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+def test_a_very_long_unit_beside_many_words(pieces):
+    """A million characters without a space and 50,000 words need tens of megabytes, not gigabytes."""
+    import resource
+    rng = random.Random(7)
+    text = unit_text(rng, 480_000)[:1_000_000]
+    words = " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(50_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    (one, two) = pieces.encode([text, words])
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert pieces.decode(one[0][1]) == text and pieces.decode(two[0][1]) == words
+    assert len(one) == 4 and len({raw for _, raw in one}) == 4
+    assert grown < 700, grown
