@@ -2,7 +2,8 @@
 
 Tokens (tags in their path, texts in their path) that occur equally often on every page of a host have the same
 occurrence vector and form an equivalence class; classes that most pages of the host have are its template, and so
-are texts of fewer pages (a layout) if exactly these pages also have tags of their own:
+are those of fewer pages (a layout).  A text is in it only together with the tag around it: exactly the pages that have
+the tag there have the text.  A passage that some articles share stands in a tag that other pages have too, and stays:
 their tokens are markup and boilerplate, and what lies between them are slots.  Pages of a host whose articles have
 the same texts are one page to the vectors, so copies do not vote their article into the template, and a repeated
 row changes nothing.  A vector is never collected: its fingerprint is the exclusive or of one hash per (article,
@@ -27,11 +28,12 @@ from loanlens.llm import html_tokens as H
 from loanlens.llm.common import Scratch, python_stage, table
 
 TAG, OTHER, TEXT = 0, 1, 2  # kinds of tokens: tags, texts that are not of the article, texts that may be
-LEAST_PAGES = 3  # of a host, with articles of their own, from which on a text of at least half of them is boilerplate
-LAYOUT_PAGES = 4  # with articles of their own, from which on tags that only they have are a layout of the host
+LEAST_PAGES = 3  # of a host, with articles of their own, from which on a text of at least half of them may be boilerplate
+LAYOUT_PAGES = 4  # with articles of their own, from which on the texts of fewer than half may be
 ARTICLE_CHARS = 500  # a class of as many characters that makes up most of its pages' text is an article with copies
 HEADING = re.compile(r"/h[1-6](\.[^/]*)?$")
-_TOKENS = pa.list_(pa.struct([("key", pa.int64()), *((x, pa.int32()) for x in ("n", "place", "kind", "chars"))]))
+_TOKENS = pa.list_(pa.struct([("key", pa.int64()), *((x, pa.int32()) for x in ("n", "place", "kind", "chars")),
+                             ("parent", pa.int64())]))
 _PATHS = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int32())]))
 
 
@@ -53,23 +55,24 @@ def _said(found: list[H.Token]) -> list[int]:
 
 def _page(html: str) -> tuple:
     """One page: hash of its article's texts in order, hash of the page, its distinct tokens (key, times, first place,
-    kind, characters), characters of the article, and its paths with their running text."""
+    kind, characters, tag around), characters of the article, and its paths with their running text."""
     found = H.tokens(html)
     said = _said(found)
     texts = [" ".join(found[i].text.split()) for i in said]
-    inside, count, first, path_chars = set(said), Counter(), {}, Counter()
+    inside, count, first, path_chars, around = set(said), Counter(), {}, Counter(), {}
     for i, t in enumerate(found):
         if t.key:
             count[t.key] += 1
             kind = (TEXT if i in inside else OTHER) if t.text else TAG
             place, known = first.get(t.key, (i, kind))
             first[t.key] = place, max(known, kind)
+            around.setdefault(t.key, t.parent)
         if t.text and not t.junk and not t.link:
             path_chars[t.path] += len(t.text.strip())
     chars = Counter()
     for i, x in zip(said, texts):
         chars[found[i].key] += len(x)
-    tokens = [(_signed(k), n, *first[k], chars[k]) for k, n in count.items()]
+    tokens = [(_signed(k), n, *first[k], chars[k], _signed(around[k])) for k, n in count.items()]
     return (_signed(xxhash.xxh3_64_intdigest("\0".join(texts))), _signed(xxhash.xxh3_64_intdigest(html)), tokens,
             sum(map(len, texts)), list(path_chars.items()))
 
@@ -145,9 +148,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html gives an empty text.  Pages of a host learn from each other; a host with a single page, or a
     null or broken url (host ""), has what its pages show.  Texts count as boilerplate of a host only from
-    ``LEAST_PAGES`` pages of different articles on, when at least half of them have the text, or when it stands on
-    ``LAYOUT_PAGES`` or more and exactly these have tags of their own; a text alone that recurs on fewer than half of
-    the pages is an article's (lines and passages that articles share).  Copies of an article
+    ``LEAST_PAGES`` pages of different articles on when at least half of them have the text, else from ``LAYOUT_PAGES``, and
+    only where the same pages have the tag around it; a text that recurs in a tag of other pages too is an article's
+    (lines and passages that articles share).  Copies of an article
     count once; a class of ``ARTICLE_CHARS`` characters a page and three quarters of its pages' text is no boilerplate
     (near copies).  Each row has its own result; null ids stay null; an empty table gives an empty result; other columns are not read.  Whole pages are
     read, whatever their length.
@@ -169,7 +172,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                  pa.array(cols[3], pa.int64()), pa.array(cols[4], _PATHS)], ["host", "content", "page", "tokens", "around", "paths"])
 
     part = rows.select("host", "html").mapInArrow(learn, (
-        "host string, content long, page long, tokens array<struct<key: long, n: int, place: int, kind: int, chars: int>>, "
+        "host string, content long, page long, tokens array<struct<key: long, n: int, place: int, kind: int, chars: int, parent: long>>, "
         "around long, paths array<struct<path: string, chars: int>>"))
     # copies of an article speak once: by the page of the smallest hash
     distinct = scratch.write(part.groupBy("host", "content").agg(F.min(F.struct("page", "tokens", "around", "paths")).alias("p"))
@@ -177,17 +180,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     seen = (distinct.select("host", "content", "around", F.inline("tokens")).groupBy("host", "key").agg(
         F.bit_xor(F.xxhash64("content", "n")).alias("vec"), F.bit_xor(F.xxhash64("content")).alias("on"),
-        F.count(F.lit(1)).alias("pages"), F.max("kind").alias("kind"),
+        F.count(F.lit(1)).alias("pages"), F.max("kind").alias("kind"), F.min("parent").alias("parent"),
         F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.sum("around").alias("around")))
     common = (seen.where(F.col("pages") >= LEAST_PAGES).join(hosts, "host").withColumn("most", F.expr("2 * pages >= n"))
               .where(F.col("most") | (F.col("pages") >= LAYOUT_PAGES)))
-    # a text of fewer pages is a layout's if the same pages have tags that no other page has
-    layouts = (common.where((F.col("kind") == TAG) & ~F.col("most")).select("host", "on").distinct().withColumn("laid", F.lit(True)))
-    common = common.join(layouts, ["host", "on"], "left")
+    # a text belongs to the template with the tag around it: the same pages have both
+    tags = common.where(F.col("kind") == TAG).select("host", F.col("key").alias("parent"), "on", F.lit(True).alias("with_tag"))
+    common = common.join(tags, ["host", "parent", "on"], "left")
+    held = (F.col("kind") == TEXT) & F.coalesce("with_tag", F.lit(False))
     classes = (common.groupBy("host", "vec").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("t"),
                                                  F.max("pages").alias("pages"), F.sum("chars").alias("chars"), F.max("around").alias("around"),
-                                                 F.max(F.col("most") | F.coalesce("laid", F.lit(False)) & (F.col("kind") == TEXT)).alias("holds"),
-                                                 F.collect_list(F.when(F.col("kind") == TEXT, F.col("key"))).alias("texts")).where("holds")
+                                                 F.max(F.col("most") & (F.col("kind") == TAG) | held).alias("holds"),
+                                                 F.collect_list(F.when(held, F.col("key"))).alias("texts")).where("holds")
                .withColumn("copied", (4 * F.col("chars") > 3 * F.col("around")) & (F.col("chars") >= ARTICLE_CHARS * F.col("pages")))
                .groupBy("host").agg(
                    # classes of more pages and tokens first: the outer ones

@@ -39,21 +39,22 @@ class Token(NamedTuple):
     main: bool      # inside an article or main element
     link: bool      # inside a link
     breaks: bool    # a tag that ends a block
+    parent: int = 0  # of a text: key of the tag around it
 
 
 def tokens(page: str) -> list[Token]:
     """All tags and texts of a page in order; scripts, styles and comments are skipped."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # tag, path, junk, main, link
+    stack: list[tuple] = [("", "", False, False, False, 0)]  # tag, path, junk, main, link, key
     at, n = 0, len(page)
 
     def text(lo: int, hi: int) -> None:
         raw = page[lo:hi]
         if raw and not raw.isspace():
-            _, path, junk, main, link = stack[-1]
-            out.append(Token(xxhash.xxh3_64_intdigest(f"T|{path}|{' '.join(raw.split())}"), raw, path, junk, main, link, False))
+            _, path, junk, main, link, key = stack[-1]
+            out.append(Token(xxhash.xxh3_64_intdigest(f"T|{path}|{' '.join(raw.split())}"), raw, path, junk, main, link, False, key))
         elif raw:
-            out.append(Token(0, " ", *stack[-1][1:], False))
+            out.append(Token(0, " ", *stack[-1][1:5], False))
 
     def drop(names: set[str] | frozenset, bounds: frozenset) -> bool:
         for i in range(len(stack) - 1, 0, -1):
@@ -77,7 +78,7 @@ def tokens(page: str) -> list[Token]:
         tag = m[2].lower()
         inline = tag in INLINE
         if m[1]:
-            _, path, junk, main, link = stack[-1]
+            _, path, junk, main, link, _ = stack[-1]
             out.append(Token(xxhash.xxh3_64_intdigest(f"C|{path}|{tag}"), "", path, junk, main, link, not inline))
             drop({tag}, BOUNDS - {tag} if inline or tag in CLOSES else frozenset())
             continue
@@ -85,9 +86,10 @@ def tokens(page: str) -> list[Token]:
             drop(CLOSES[tag], BOUNDS)
         elif not inline and tag not in VOID:
             drop({"p"}, BOUNDS)
-        _, path, junk, main, link = stack[-1]
+        _, path, junk, main, link, _ = stack[-1]
         attrs = " ".join(v.strip("\"'").lower() for _, v in _ATTR.findall(m[3])) if m[3] else ""
-        out.append(Token(xxhash.xxh3_64_intdigest(f"O|{path}|{tag}|{_DIGITS.sub('', attrs)}"), "", path, junk, main, link, not inline))
+        key = xxhash.xxh3_64_intdigest(f"O|{path}|{tag}|{_DIGITS.sub('', attrs)}")
+        out.append(Token(key, "", path, junk, main, link, not inline))
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:
@@ -99,7 +101,7 @@ def tokens(page: str) -> list[Token]:
             junk = False  # a class of the whole page says nothing about its parts
         name = f"{tag}.{_DIGITS.sub('', attrs)}" if attrs else tag  # numbers in names differ from page to page
         stack.append((tag, path if inline or tag == "p" else f"{path}/{name}", junk,
-                      main or tag in MAIN_TAGS or "role" in m[3].lower() and "main" in attrs.split(), link or tag == "a"))
+                      main or tag in MAIN_TAGS or "role" in m[3].lower() and "main" in attrs.split(), link or tag == "a", key))
     return out
 
 

@@ -99,6 +99,27 @@ def test_layouts_of_a_third_small_hosts_and_doubled_rows(spark):
     assert {r[0]: r[2] for r in got} == want and {r[0]: r[2] for r in run(spark, rows)} == want
 
 
+def test_a_passage_that_articles_of_a_host_share_stays(spark):
+    lead = "<p>The opening that several articles of this host have</p>"
+    rows = [(i, "http://p.example/%d" % i, page(f"<article><h1>Head {i}</h1>{lead * (i < 3)}<p>own text {i}</p></article>")) for i in range(5)]
+    # without an article element, telling names or tags of its own the passage stays too, and the notice in its box goes
+    rows += [(10 + i, "http://n.example/%d" % i, "<html><body><div class=x1><div class=q>Free shipping all week</div></div>"
+              f"<div class=x2><h2>Head {i}</h2>{lead * (i % 2)}<p>own text {i}</p></div></body></html>") for i in range(8)]
+    got = {r[0]: r[2] for r in run(spark, rows)}
+    opening = "The opening that several articles of this host have "
+    assert [got[i] for i in range(5)] == [f"Head {i} {opening * (i < 3)}own text {i}" for i in range(5)]
+    assert [got[10 + i] for i in range(8)] == [f"Head {i} {opening * (i % 2)}own text {i}" for i in range(8)]
+
+
+def test_the_template_decides_where_names_do_not(spark, monkeypatch):
+    """With no template learnt the unnamed notice would stay."""
+    rows = [(i, "http://n.example/%d" % i, "<html><body><div class=x1><div class=q>Free shipping all week</div></div>"
+             f"<div class=x2><p>own text {i}</p></div></body></html>") for i in range(8)]
+    assert [r[2] for r in run(spark, rows)] == [f"own text {i}" for i in range(8)]
+    monkeypatch.setattr(X, "LEAST_PAGES", 10 ** 6)
+    assert any("Free shipping" in r[2] for r in run(spark, rows))
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, page("<article>x</article>")), (2, "not a url", None), (3, "http://h/", ""), (None, "http://h/", "<p>y"),
             (4, "http://[bad", "<p>z"), (5, "http://u:p@H.example:80/q", "<article><p>" + "long " * 50_000), (5, "http://h/", "<p>y")]
