@@ -7,11 +7,14 @@ one distributed pass per tree level; nothing is collected but the model."""
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 from loanlens import schemas as S
 from loanlens.operators import ensemble as E
 from loanlens.session import materialize as materialize_df
+from loanlens.sources.readers import read_optional
 
 # GBT refuses NaN/NULL inputs; missing values become a sentinel far below
 # every real value, so a split sends them left, as a native missing-value
@@ -81,7 +85,7 @@ def first_trees(model: PipelineModel, k: int) -> PipelineModel:
     assembler, gbt = model.stages
     if k >= gbt.getNumTrees:
         return model
-    sc = SparkSession.getActiveSession().sparkContext
+    sc = SparkContext.getOrCreate()  # folds run in threads without a session of their own
     ml = sc._jvm.org.apache.spark.ml
     trees, weights = sc._gateway.new_array(ml.regression.DecisionTreeRegressionModel, k), sc._gateway.new_array(sc._jvm.double, k)
     for i, (tree, w) in enumerate(zip(gbt._java_obj.trees()[:k], gbt.treeWeights)):
@@ -199,8 +203,39 @@ TRIAL_SCHEMA = T.StructType([
     T.StructField("maxIter", T.IntegerType()), T.StructField("maxDepth", T.IntegerType()),
     T.StructField("stepSize", T.DoubleType()), T.StructField("subsamplingRate", T.DoubleType()),
     T.StructField("featureSubsetStrategy", T.StringType()), T.StructField("minInstancesPerNode", T.IntegerType()),
-    T.StructField("minInfoGain", T.DoubleType()),
+    T.StructField("minInfoGain", T.DoubleType()), T.StructField("stopped", T.BooleanType()),
 ])
+PARAM_NAMES = [f.name for f in TRIAL_SCHEMA.fields[6:-1]]
+# One row per fold that has ended: what a restarted search reads instead of fitting again.
+FOLD_LOG = "trial int, fold int, params string, auc double, train_loss double, valid_loss double, trees int"
+
+
+class TrialLog:
+    """Fold results at a path any driver reaches, each written when its fold ends.  A row counts for the same trial, fold
+    and parameters only, so a log of another search is not mixed in; a fold logged twice counts once."""
+
+    def __init__(self, spark: SparkSession, path: str | None):
+        self.spark, self.path, self.done, self.lock = spark, path, {}, Lock()
+        if path and read_optional(spark, path) is not None:
+            for r in spark.read.schema(FOLD_LOG).parquet(path).collect():  # trials x folds rows
+                self.done[r["trial"], r["fold"], r["params"]] = (r["auc"], r["train_loss"], r["valid_loss"], r["trees"])
+
+    def result(self, trial: int, fold: int, params: dict, run) -> tuple:
+        """The logged result, or that of ``run()``, which is then logged."""
+        key = (trial, fold, json.dumps(params, sort_keys=True))
+        if key not in self.done:
+            found = run()
+            with self.lock:
+                self.done[key] = found
+                if self.path:
+                    self.spark.createDataFrame([(*key, *found)], FOLD_LOG).coalesce(1).write.mode("append").parquet(self.path)
+        return self.done[key]
+
+
+def loses(aucs: list[float], best: list[float] | None) -> bool:
+    """Whether a trial stops before its last folds: each of its folds so far is worse than every fold of the best
+    finished trial before it."""
+    return best is not None and max(aucs) < min(best)
 
 
 def fold_result(data: DataFrame, fold: int, params: dict, fold_col: str = "fold", patience: int | None = None,
@@ -216,32 +251,43 @@ def fold_result(data: DataFrame, fold: int, params: dict, fold_col: str = "fold"
 
 
 def random_search(df: DataFrame, n_trials: int = SEARCH_TRIALS, fold_col: str = "fold", parallelism: int = 2,
-                  space: SearchSpace | None = None, seed: int = 42, patience: int | None = None):
+                  space: SearchSpace | None = None, seed: int = 42, patience: int | None = None, log_path: str | None = None):
     """Cross-validated random search; ``df`` carries features, TARGET and a
     stratified ``fold`` column (``sampling.stratified_kfold``).  Returns
     (trial table, model of the best trial fitted on all rows with the mean
-    number of trees that its folds kept)."""
+    number of trees that its folds kept).
+
+    Trials run one after another, their folds ``parallelism`` at a time: the first half, and the others unless the
+    trial ``loses``.  With ``log_path`` every fold result is written when it ends; a search started again
+    after a lost driver, with the same arguments, reads them and goes on to the same table."""
+    spark = df.sparkSession
     data = materialize_df(prepare(df).withColumn(fold_col, F.col(fold_col).cast("int")))
     data, _ = with_class_weight(data)
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
+    log, rows, best = TrialLog(spark, log_path), [], None
     trials = sample_params(n_trials, space, seed)
+    half = -(-len(folds) // 2)
     with ThreadPoolExecutor(parallelism) as pool:
-        jobs = [[pool.submit(fold_result, data, f, t, fold_col, patience, seed) for f in folds] for t in trials]
-        results = [[j.result() for j in js] for js in jobs]
-    rows = []
-    for i, (t, rs) in enumerate(zip(trials, results)):
-        auc, train_loss, valid_loss, trees = zip(*rs)
-        rows.append((i, sum(auc) / len(auc), sum(train_loss) / len(auc), sum(valid_loss) / len(auc), list(auc), list(trees),
-                     *(t[f.name] for f in TRIAL_SCHEMA.fields[6:])))
-    best = max(rows, key=lambda r: (r[1], -r[0]))
-    kept = max(1, round(sum(best[5]) / len(best[5])))
-    model = gbt_pipeline({**trials[best[0]], "maxIter": kept}, seed).fit(data)
-    return df.sparkSession.createDataFrame(rows, TRIAL_SCHEMA), model
+        for i, t in enumerate(trials):
+            found: list = []
+            for part in (folds[:half], folds[half:]):
+                if found and loses([r[0] for r in found], best):
+                    break
+                jobs = [pool.submit(log.result, i, f, t, lambda f=f: fold_result(data, f, t, fold_col, patience, seed)) for f in part]
+                found += [j.result() for j in jobs]
+            auc, train_loss, valid_loss, trees = map(list, zip(*found))
+            n, stopped = len(auc), len(auc) < len(folds)
+            rows.append((i, sum(auc) / n, sum(train_loss) / n, sum(valid_loss) / n, auc, trees, *(t[p] for p in PARAM_NAMES), stopped))
+            if not stopped and (best is None or sum(auc) / n > sum(best) / len(best)):
+                best, chosen = auc, i
+    kept = max(1, round(sum(rows[chosen][5]) / len(rows[chosen][5])))
+    model = gbt_pipeline({**trials[chosen], "maxIter": kept}, seed).fit(data)
+    return spark.createDataFrame(rows, TRIAL_SCHEMA), model
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    """Highest mean AUC, lowest trial number on ties."""
-    return trials.orderBy(F.desc("mean_auc"), F.asc("trial")).limit(1)
+    """Highest mean AUC of the trials that ran all their folds, lowest trial number on ties."""
+    return trials.where("not stopped").orderBy(F.desc("mean_auc"), F.asc("trial")).limit(1)
 
 
 # ---------------------------------------------------------------------------

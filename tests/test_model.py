@@ -70,6 +70,45 @@ def test_random_search_and_best_trial(spark):
     assert MD.sample_params(3, space, seed=1) == MD.sample_params(3, space, seed=1)
 
 
+def test_a_search_killed_halfway_goes_on_from_its_log(spark, tmp_path, monkeypatch):
+    feats, _ = book.book_features(spark, "/root/testdata/sf0.001")
+    folds = stratified_kfold(feats, 2)
+    search = dict(n_trials=2, space=MD.SearchSpace(max_iter=(3, 6, 3), max_depth=(2, 3, 1)), patience=2, parallelism=1)
+    whole = sorted(map(tuple, MD.random_search(folds, **search)[0].collect()))
+    path, calls, fold_result = str(tmp_path / "log"), [], MD.fold_result
+
+    def dies(*args):
+        if len(calls) == 2:
+            raise RuntimeError("driver lost")
+        calls.append(args[1])
+        return fold_result(*args)
+
+    monkeypatch.setattr(MD, "fold_result", dies)
+    with pytest.raises(RuntimeError):
+        MD.random_search(folds, **search, log_path=path)
+    assert spark.read.parquet(path).count() == 2
+    again = []
+    monkeypatch.setattr(MD, "fold_result", lambda *a: again.append(a[1]) or fold_result(*a))
+    got = sorted(map(tuple, MD.random_search(folds, **search, log_path=path)[0].collect()))
+    assert got == whole and len(again) == sum(len(r[4]) for r in whole) - 2
+    third = []
+    monkeypatch.setattr(MD, "fold_result", lambda *a: third.append(a))
+    assert sorted(map(tuple, MD.random_search(folds, **search, log_path=path)[0].collect())) == whole and not third
+
+
+def test_losing_trials_stop_and_never_win(spark, monkeypatch):
+    assert MD.loses([0.5, 0.6], [0.7, 0.65]) and not MD.loses([0.5, 0.66], [0.7, 0.65]) and not MD.loses([0.1], None)
+    feats, _ = book.book_features(spark, "/root/testdata/sf0.001")
+    folds = stratified_kfold(feats, 3)
+    monkeypatch.setattr(MD, "fold_result", lambda data, f, t, *_: (0.9 if t is first else 0.4, 0.1, 0.2, 3))
+    trials = MD.sample_params(3, MD.SearchSpace(max_iter=(3, 6, 3), max_depth=(2, 3, 1)))
+    first = trials[0]
+    monkeypatch.setattr(MD, "sample_params", lambda *_: trials)
+    table, _ = MD.random_search(folds, 3)
+    assert [(r.stopped, len(r.fold_auc)) for r in sorted(table.collect())] == [(False, 3), (True, 2), (True, 2)]
+    assert MD.best_trial(table).first().trial == 0
+
+
 def test_model_info_in_stats(spark, trained, tmp_path):
     from loanlens.operators import monitoring as M
     _, model = trained
