@@ -101,9 +101,16 @@ def feature_sizes(vc: DataFrame) -> DataFrame:
         F.sum(F.when(p, F.col("r")).otherwise(0)).alias("n_reference"),
         F.sum(F.when(p, F.col("k")).otherwise(0)).alias("n_current"),
         F.sum(x * F.col("r")).alias("_sx_r"), F.sum(x * F.col("k")).alias("_sx_c"),
+        F.sum(x * x * F.col("r")).alias("_sxx_r"), F.sum(x * x * F.col("k")).alias("_sxx_c"),
         F.sum(F.when(x.isNotNull(), F.col("r"))).alias("_nx_r"), F.sum(F.when(x.isNotNull(), F.col("k"))).alias("_nx_c"))
+    def variance(side: str) -> F.Column:
+        """Of the sample; NULL for fewer than two rows."""
+        n, sx = F.col(f"_nx_{side}"), F.col(f"_sx_{side}")
+        return F.when(n > 1, F.greatest((F.col(f"_sxx_{side}") - sx * sx / n) / F.nullif(n - 1, F.lit(0)), F.lit(0.0)))
+
     return agg.select(
         "feature", F.col("n_reference").cast("long").alias("n_reference"),
+        variance("r").alias("var_reference"), variance("c").alias("var_current"),
         F.col("n_current").cast("long").alias("n_current"),
         F.when(F.col("_nx_r") > 0, F.col("_sx_r") / F.col("_nx_r")).alias("mean_reference"),
         F.when(F.col("_nx_c") > 0, F.col("_sx_c") / F.col("_nx_c")).alias("mean_current"),
@@ -187,17 +194,17 @@ def drift_features(reference: DataFrame, current: DataFrame, encoder=None, compa
     order = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
     j = sizes.join(ks, "feature", "left").join(chi, "feature", "left").join(psi, "feature", "left")
     kind = kinds[F.col("feature")]
-    # Reference default rate vs. current predicted rate
+    # Mean of the target on both sides.  Labels on one side and probabilities on the other have different
+    # variances, so each side brings its own.
     nr, nc = F.col("n_reference").cast("double"), F.col("n_current").cast("double")
     pr, pc = F.col("mean_reference"), F.col("mean_current")
-    pooled = (pr * nr + pc * nc) / (nr + nc)
-    var = pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / nr + F.lit(1.0) / nc)
+    var = F.col("var_reference") / nr + F.col("var_current") / nc
     z = F.when(var > 0, (pr - pc) / F.sqrt(var))
     stat = (F.when(kind == "numeric", F.col("ks_d")).when(kind == "categorical", F.col("chi2"))
              .otherwise(z))
     p = (F.when(kind == "numeric", ks_p_value(F.col("ks_d"), F.col("n_reference"), F.col("n_current")))
           .when(kind == "categorical", chi2_p_value(F.col("chi2"), F.col("dof")))
-          .otherwise(F.when(var > 0, two_sided_normal_p(z)).when(nr * nc > 0, F.lit(1.0))))
+          .otherwise(F.when(var > 0, two_sided_normal_p(z)).when(var == 0, (pr == pc).cast("double"))))
     p = F.coalesce(p, F.lit(1.0))  # J7: a missing p-value counts as no drift
     test = (F.when(kind == "numeric", F.lit("ks")).when(kind == "categorical", F.lit("chi_square"))
              .otherwise(F.lit("z_test")))

@@ -107,6 +107,8 @@ sizes AS (
     count_if(side = 'current' AND (x IS NOT NULL OR c IS NOT NULL)) AS n_current,
     avg(CASE WHEN side = 'reference' THEN x END) AS mean_reference,
     avg(CASE WHEN side = 'current' THEN x END) AS mean_current,
+    var_samp(CASE WHEN side = 'reference' THEN x END) AS var_reference,
+    var_samp(CASE WHEN side = 'current' THEN x END) AS var_current,
     CASE WHEN count_if(side = 'reference') > 0 THEN
       1e0 - CAST(count_if(side = 'reference' AND (x IS NOT NULL OR c IS NOT NULL)) AS DOUBLE) / count_if(side = 'reference') END AS null_share_reference,
     CASE WHEN count_if(side = 'current') > 0 THEN
@@ -157,11 +159,8 @@ psi AS (
 ),
 kinds(feature, feature_pos, kind) AS (VALUES {", ".join(f"('{c}', {i}, '{D.column_kind(c)}')" for i, c in enumerate(COLUMNS))}),
 zt AS (
-  SELECT feature, pooled * (1e0 - pooled) * (1e0 / n_reference + 1e0 / n_current) AS var,
-    (mean_reference - mean_current) AS diff FROM (
-    SELECT feature, n_reference, n_current, mean_reference, mean_current,
-      (mean_reference * n_reference + mean_current * n_current) / CAST(n_reference + n_current AS DOUBLE) AS pooled
-    FROM sizes WHERE feature = 'TARGET')
+  SELECT feature, var_reference / n_reference + var_current / n_current AS var, (mean_reference - mean_current) AS diff
+  FROM sizes WHERE feature = 'TARGET'
 ),
 feat AS (
   SELECT s.feature, kd.feature_pos, kd.kind,
@@ -172,7 +171,7 @@ feat AS (
     coalesce(CASE kd.kind WHEN 'numeric' THEN {_ks_p('ks.ks_d', 's.n_reference', 's.n_current')}
       WHEN 'categorical' THEN {_chi2_p('chi.chi2', 'chi.dof')}
       ELSE CASE WHEN zt.var > 0 THEN 2e0 * {_phi_upper('zt.diff / sqrt(zt.var)')}
-                WHEN CAST(s.n_reference AS DOUBLE) * s.n_current > 0 THEN 1e0 END END, 1e0) AS p_value,
+                WHEN zt.var = 0 THEN CASE WHEN zt.diff = 0 THEN 1e0 ELSE 0e0 END END END, 1e0) AS p_value,
     CASE WHEN kd.kind <> 'target' THEN psi.psi END AS psi,
     s.n_reference, s.n_current, s.null_share_reference, s.null_share_current, s.mean_reference, s.mean_current
   FROM sizes s JOIN kinds kd ON s.feature = kd.feature
@@ -235,8 +234,8 @@ def drift_ks(spark, sf):
 @query("drift_z", drift_ctes() + """SELECT feature, statistic AS z, p_value, mean_reference, mean_current
 FROM drift_features WHERE test = 'z_test'""", doubles=["z", "p_value", "mean_reference", "mean_current"])
 def drift_z(spark, sf):
-    """Two-proportion Z test of the reference default rate against the
-    current predicted rate."""
+    """Two-sample Z test, with the variances of both sides, of the reference
+    default rate against the current predicted rate."""
     return _features(spark, sf).where("test = 'z_test'").select(
         "feature", F.col("statistic").alias("z"), "p_value", "mean_reference", "mean_current")
 

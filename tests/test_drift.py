@@ -98,3 +98,22 @@ def test_drift_report_record(spark):
     broken = ref.withColumn("applicant_age", F.lit("not a number"))
     failed = D.drift_report(broken, cur, "2024-02-01 00:00:00", enc).first()
     assert failed.report_status == "ERROR" and failed.error and failed.features == []
+
+
+def test_target_test_uses_both_variances(spark):
+    """Probabilities with the mean of the labels are no drift, a pooled proportion's variance would hide a small shift."""
+    import random
+    from loanlens.operators import drift as D
+    rng = random.Random(3)
+    labels = [(float(i % 10 == 0),) for i in range(4000)]
+    same = [(min(1.0, max(0.0, rng.gauss(0.1, 0.02))),) for _ in range(4000)]
+    shifted = [(p + 0.012,) for (p,) in same]
+    made = lambda rows: spark.createDataFrame(rows, "TARGET double")
+    target = lambda a, b: D.drift_features(made(a), made(b)).where("feature = 'TARGET'").first()
+    assert not target(labels, same).is_drifted and not target(same, same[::-1]).is_drifted
+    assert target(labels, shifted).is_drifted and target(same, shifted).is_drifted
+    z = (0.1 - sum(p for p, in same) / 4000) / ((sum((y - 0.1) ** 2 for y, in labels) / 3999
+        + sum((p - sum(q for q, in same) / 4000) ** 2 for p, in same) / 3999) / 4000) ** 0.5
+    assert abs(target(labels, same).statistic - z) < 1e-6
+    constant = target([(0.5,)] * 5, [(0.5,)] * 7)
+    assert not constant.is_drifted and target([(0.5,)] * 5, [(0.25,)] * 7).is_drifted
