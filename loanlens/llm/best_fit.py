@@ -8,6 +8,8 @@ within their length and placing them are Spark jobs."""
 
 from __future__ import annotations
 
+import functools
+from bisect import bisect_right
 from collections import Counter
 
 
@@ -43,22 +45,33 @@ def best_fit(hist: dict[int, int], capacity: int) -> Counter:
     return Counter({kind: n for kinds in room.values() for kind, n in kinds.items()})
 
 
+@functools.lru_cache(maxsize=50_000)
+def _gives(kind: tuple) -> tuple[list, list, dict]:
+    """What a bin of this kind can give: its lengths, the sums of two of them, and the two of each sum."""
+    pairs: dict = {}
+    for i, a in enumerate(kind):
+        for b in kind[i + 1:]:
+            pairs[a + b] = max(pairs.get(a + b, ()), (a, b))
+    return sorted(set(kind)), sorted(pairs), pairs
+
+
 def _exchanges(receiver: tuple, donor: tuple, free: int):
     """The exchange that fills the receiver most: (gain, given by the donor, given back), or None.
-    Kinds of exchange: move one; one for one; two for one."""
+    Kinds of exchange: move one; one for one; two for one.  For each length given back the largest that fits is found in
+    sorted lists; of equal gains the one that gives back more, then the one that gives a longer piece."""
+    singles, sums, pairs = _gives(donor)
     best = None
-    singles = set(donor)
-    twos = {(a, b) for i, a in enumerate(donor) for b in donor[i + 1:]}
-    backs = [(), *((x,) for x in set(receiver))]
-    for back in backs:
-        out = sum(back)
-        for give in [*((y,) for y in singles), *(twos if back else ())]:
-            gain = sum(give) - out
-            if 0 < gain <= free and (best is None or (gain, back, give) > (best[0], best[2], best[1])):
-                best = (gain, give, back)
-                if gain == free:
-                    return best
-    return best
+    for back in (0, *_gives(receiver)[0]):
+        k = bisect_right(singles, free + back)
+        if k and singles[k - 1] > back:
+            found = (singles[k - 1] - back, back, (singles[k - 1],))
+            best = found if best is None or found > best else best
+        if back:
+            k = bisect_right(sums, free + back)
+            if k and sums[k - 1] > back:
+                found = (sums[k - 1] - back, back, pairs[sums[k - 1]])
+                best = found if best is None or found > best else best
+    return best and (best[0], best[2], (best[1],) if best[1] else ())
 
 
 def _changed(kind: tuple, less: tuple, more: tuple) -> tuple:
@@ -79,7 +92,7 @@ def local_search(bins: Counter, capacity: int) -> Counter:
     bins = bins_sorted(bins)
     bound = -(-sum(sum(k) * n for k, n in bins.items()) // capacity)
     number: dict[tuple, int] = {}
-    order: list[tuple] = []  # kinds by number
+    order: list[tuple] = []  # (free space, kind) by number
     by_free: dict[int, set] = {}  # free space -> underfull kinds there are
 
     def note(kind: tuple) -> None:
@@ -87,7 +100,7 @@ def local_search(bins: Counter, capacity: int) -> Counter:
         if kind and free:
             if kind not in number:
                 number[kind] = len(order)
-                order.append(kind)
+                order.append((free, kind))
             by_free.setdefault(free, set()).add(kind)
 
     for kind in sorted(bins):
@@ -101,11 +114,11 @@ def local_search(bins: Counter, capacity: int) -> Counter:
                 if begin == len(order):
                     continue
                 alone = False
-                for receiver in sorted(order[begin:], key=lambda r: (capacity - sum(r), r)):  # fullest receivers first
-                    if bins.get(receiver, 0) and sum(receiver) >= sum(donor):
+                for room, receiver in sorted(x for x in order[begin:] if x[1]):  # fullest receivers first
+                    if room <= free:
                         if donor == receiver and bins[donor] == 1:
                             alone = True  # may have a partner later
-                        elif found := _exchanges(receiver, donor, capacity - sum(receiver)):
+                        elif found := _exchanges(receiver, donor, room):
                             return donor, receiver, found
                 # kinds that are gone are noted anew, with a new number, when they come back
                 looked[donor] = number[donor] if alone else len(order)
@@ -123,7 +136,7 @@ def local_search(bins: Counter, capacity: int) -> Counter:
                     by_free[free].discard(kind)
                     if not by_free[free]:
                         del by_free[free]
-                    order[number.pop(kind)] = ()
+                    order[number.pop(kind)] = (free, ())
             else:
                 note(kind)
     return bins
