@@ -91,7 +91,7 @@ class Pieces:
         self.id_of = np.array([i for _, i in normal.values()], np.int64)
         self.bytes_of = [(bytes([int(p[3:5], 16)]) if t == 6 else b"" if t in (2, 3) else p.replace(SPACE, " ").encode())
                          for p, _, t in entries]
-        self.cache = Cache(self._learn, None, most=300_000)
+        self.cache = Cache(self._learn, None, most=700_000)
         self.lists: dict = {}
 
     @staticmethod
